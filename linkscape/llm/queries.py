@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from linkscape.llm import decontamination
+from linkscape.llm.decontamination import op9_benchmark_decontamination
 from linkscape.llm.ngram_join import op8_ngram_jaccard_join
 
 QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 #: Oracles in DuckDB SQL, over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": decontamination.OP9_SQL,
+}
