@@ -5,8 +5,10 @@ from __future__ import annotations
 from linkscape.llm import decontamination
 from linkscape.llm.decontamination import op9_benchmark_decontamination
 from linkscape.llm.ngram_join import op8_ngram_jaccard_join
+from linkscape.llm.secrets import op6_secret_scan
 
 QUERIES = {
+    "op6_secret_scan": op6_secret_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
