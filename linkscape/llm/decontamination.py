@@ -35,15 +35,25 @@ def word_list(text: Column) -> Column:
 
 def _window_minima(texts: DataFrame, window: int, keep: list[str]) -> DataFrame:
     """One row for each window: ``keep``, ``base``, ``words`` (the stretch of CHUNK windows that holds it, which starts at word ``base``), ``grams``, ``at`` (0-based first word in the stretch) and ``fingerprint``."""
+    # The outer forms of explode keep the optimizer from adding a filter on the list's size, which
+    # would work out every list twice, and inner ones once for each element.
     k = (window + 1) // 2
     w = window - k + 1
     starts = F.when(F.size("words") >= window, F.sequence(F.lit(0), F.size("words") - window, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
     stretches = F.transform(starts, lambda at: F.struct(at.alias("base"), F.slice("words", at + 1, CHUNK + window - 1).alias("words")))
-    words = texts.select(*keep, F.explode(stretches).alias("s")).select(*keep, "s.base", "s.words")
+    words = texts.select(*keep, F.explode_outer(stretches).alias("s")).select(*keep, "s.base", "s.words")
     none = F.array().cast("array<bigint>")
-    grams = words.withColumn("grams", F.when(F.size("words") >= window, F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.slice("words", i, k)))).otherwise(none))
-    minima = grams.withColumn("minima", F.when(F.size("grams") >= w, F.transform(F.sequence(F.lit(1), F.size("grams") - (w - 1)), lambda i: F.array_min(F.slice("grams", i, w)))).otherwise(none))
-    return minima.select(*keep, "base", "words", "grams", F.posexplode("minima").alias("at", "fingerprint"))
+
+    # elements are taken one by one: slice() inside a lambda would copy the whole list each time
+    def gram(i: Column) -> Column:
+        return F.xxhash64(*[F.get("words", i + j) for j in range(k)])
+
+    def least(i: Column) -> Column:
+        return F.least(*[F.get("grams", i + j) for j in range(w)]) if w > 1 else F.get("grams", i)
+
+    grams = words.withColumn("grams", F.transform(F.sequence(F.lit(0), F.size("words") - k), gram))
+    minima = grams.withColumn("minima", F.when(F.size("grams") >= w, F.transform(F.sequence(F.lit(0), F.size("grams") - w), least)).otherwise(none))
+    return minima.select(*keep, "base", "words", "grams", F.posexplode_outer("minima").alias("at", "fingerprint")).where("fingerprint is not null")
 
 
 def _first_gram(window: int) -> Column:
