@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from linkscape.llm import decontamination
+from linkscape.llm.bpe import op3_bpe
 from linkscape.llm.decontamination import op9_benchmark_decontamination
+from linkscape.llm.language import op10_language_id
 from linkscape.llm.ngram_join import op8_ngram_jaccard_join
 from linkscape.llm.secrets import op6_secret_scan
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 #: Oracles in DuckDB SQL, over whole tables.
