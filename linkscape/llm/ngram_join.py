@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,8 @@ from linkscape.llm.shingles import mix, shingle_sets
 
 #: Ids of representatives up to this number are broadcast to filter the second reading of the texts (8 bytes each); beyond, a shuffled join does it.
 BROADCAST_IDS = 1_000_000
-TEXT_STEP = 4 << 20
+#: Texts are shingled in steps of so many bytes.
+TEXT_STEP = 1 << 20
 
 
 def _levels(n: int, percent: int) -> list[int]:
@@ -77,19 +79,18 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
-    """Slices of about TEXT_STEP bytes of the batch's ``doc_id`` and ``text``."""
-    ids, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary())
+def _steps(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Slices of about TEXT_STEP bytes: the first row's place and the texts."""
     start, size, part = 0, 0, []
-    for k, x in enumerate(texts):
+    for k, x in enumerate(texts.cast(pa.binary())):
         v = x.as_py()
         part.append(v)
         size += len(v or b"")
         if size >= TEXT_STEP:
-            yield ids.slice(start, k + 1 - start), part
+            yield start, part
             start, size, part = k + 1, 0, []
     if part:
-        yield ids.slice(start), part
+        yield start, part
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType, dtype: type) -> pa.Array:
@@ -101,10 +102,10 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType, dtype: type) -> pa.Array
 def _describe(n: int, percent: int, with_signatures: bool):
     def run(batches):
         for batch in batches:
-            for ids, texts in _steps(batch):
+            for at, texts in _steps(batch.column("text")):
                 sets = shingle_sets(texts, n)
                 keys = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets]
-                columns = [ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.binary())]
+                columns = [batch.column("doc_id").slice(at, len(texts)), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.binary())]
                 if with_signatures:
                     columns.append(_lists([signatures(u, percent) for u in sets], pa.int64(), np.int64))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "signatures"][: len(columns)])
@@ -224,13 +225,34 @@ def _forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return links
 
 
-def _join_shard(percent: int):
+def _packed(batches):
+    """Texts travel to their shards compressed: they are shorter than their hashes."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for at, texts in _steps(batch.column("text")):
+            part = batch.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("shards"), pa.array([squeeze(t or b"") for t in texts], pa.binary())], names=["rep", "shards", "packed"])
+
+
+def _unpacked(packed: list[bytes], n: int) -> list[np.ndarray]:
+    expand, sets = zstandard.ZstdDecompressor().decompress, []
+    texts, size = [], 0
+    for k, x in enumerate(packed):
+        texts.append(expand(x))
+        size += len(texts[-1])
+        if size >= TEXT_STEP or k == len(packed) - 1:
+            sets += shingle_sets(texts, n)
+            texts, size = [], 0
+    return sets
+
+
+def _join_shard(n: int, percent: int):
     def run(shard: pa.Table) -> pa.Table:
         i, j = shard.column("block_a")[0].as_py(), shard.column("block_b")[0].as_py()
         reps, links = shard.column("rep").to_pylist(), []
         sides: dict[int, dict[bytes, int]] = {i: {}, j: {}}
-        for k, (block, held) in enumerate(zip(shard.column("block").to_pylist(), shard.column("shingles").to_pylist(), strict=True)):
-            at = sides[block].setdefault(held, k)
+        for k, (block, u) in enumerate(zip(shard.column("block").to_pylist(), _unpacked(shard.column("packed").to_pylist(), n), strict=True)):
+            at = sides[block].setdefault(u.tobytes(), k)
             if at != k:  # equal sets come only from a repeated doc_id
                 links.append((reps[at], reps[k]))
         left = sides[i]
@@ -271,29 +293,18 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 4, percent: int = 85, sh
     segments = classes.select("rep", "n_shingles", F.explode("signatures").alias("signature"))
     hubs = segments.groupBy("signature").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("signature", "hub")
     pairs = cut(segments.join(hubs, "signature").select("rep", "n_shingles", "hub").distinct())
-    # 4. shards with their sets
+    # 4. shards with their texts
     blocks = pairs.groupBy("hub").agg(F.sum("n_shingles").alias("size"), F.count("*").alias("members")).where("members > 1").select("hub", F.ceil(F.col("size") / shard_shingles).cast("int").alias("n_blocks"))
     placed = pairs.join(blocks, "hub").select("rep", "hub", "n_blocks", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"))
     placed = cut(placed.groupBy("rep").agg(F.collect_list(F.struct("hub", "n_blocks", "block")).alias("shards")))
     few = placed.count() <= BROADCAST_IDS
     picked = base.withColumnRenamed("doc_id", "rep").join(F.broadcast(placed) if few else placed, "rep")
-    carried = T.StructType([T.StructField("rep", kind), T.StructField("shards", placed.schema["shards"].dataType), T.StructField("shingles", T.BinaryType())])
-
-    def with_sets(batches):
-        for batch in batches:
-            done = 0
-            renamed = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("text")], names=["doc_id", "text"])
-            for ids, texts in _steps(renamed):
-                sets = [u.tobytes() for u in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([ids, batch.column("shards").slice(done, len(ids)), pa.array(sets, pa.binary())], names=["rep", "shards", "shingles"])
-                done += len(ids)
-
-    members = picked.select("rep", "shards", "text").mapInArrow(with_sets, carried).where(F.length("shingles") > 0)
-    spread = members.select("rep", "shingles", F.explode("shards").alias("s")).select("rep", "shingles", "s.hub", "s.n_blocks", "s.block")
+    packed = picked.select("rep", "shards", "text").mapInArrow(_packed, T.StructType([T.StructField("rep", kind), placed.schema["shards"], T.StructField("packed", T.BinaryType())]))
+    spread = packed.select("rep", "packed", F.explode("shards").alias("s")).select("rep", "packed", "s.hub", "s.n_blocks", "s.block")
     spread = spread.select(
-        "rep", "shingles", "hub", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("block_a"), F.greatest("block", o).alias("block_b")))).alias("p")
-    ).select("rep", "shingles", "hub", "block", "p.block_a", "p.block_b")
-    links = spread.groupBy("hub", "block_a", "block_b").applyInArrow(_join_shard(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        "rep", "packed", "hub", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("block_a"), F.greatest("block", o).alias("block_b")))).alias("p")
+    ).select("rep", "packed", "hub", "block", "p.block_a", "p.block_b")
+    links = spread.groupBy("hub", "block_a", "block_b").applyInArrow(_join_shard(words, percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     groups = components(links)
     # back to documents
     label = classes.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("label"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from linkscape.llm import decontamination
+from linkscape.llm import decontamination, line_dedup
 from linkscape.llm.bpe import op3_bpe
 from linkscape.llm.decontamination import op9_benchmark_decontamination
 from linkscape.llm.language import op10_language_id
+from linkscape.llm.line_dedup import op2_line_dedup
 from linkscape.llm.ngram_join import op8_ngram_jaccard_join
 from linkscape.llm.secrets import op6_secret_scan
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
@@ -19,5 +21,6 @@ QUERIES = {
 
 #: Oracles in DuckDB SQL, over whole tables.
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
