@@ -6,13 +6,17 @@ from linkscape.llm import decontamination, line_dedup
 from linkscape.llm.bpe import op3_bpe
 from linkscape.llm.decontamination import op9_benchmark_decontamination
 from linkscape.llm.language import op10_language_id
+from linkscape.llm.licenses import op5_license_scan
 from linkscape.llm.line_dedup import op2_line_dedup
 from linkscape.llm.ngram_join import op8_ngram_jaccard_join
 from linkscape.llm.secrets import op6_secret_scan
+from linkscape.llm.token_counts import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
+    "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,

@@ -13,6 +13,9 @@ import numpy as np
 CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Which bytes end a word: space and tab to carriage return; or every ASCII byte that is no digit or letter.
+WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+PUNCTUATION = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -50,8 +53,8 @@ def _chunk_hashes(b: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without space, tab, LF, VT, FF, CR; A-Z lowered) of all texts, and each text's first word index, with the total at the end."""
+def words(texts: list[bytes | None], separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without separators, A-Z lowered) of all texts, and each text's first word index, with the total at the end."""
     joined = b" ".join([t or b"" for t in texts]) + b" "
     b = np.frombuffer(joined, dtype=np.uint8)
     sizes = np.array([len(t or b"") + 1 for t in texts], dtype=np.int64)
@@ -59,11 +62,11 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     starts, hashes, at = [], [], 0
     while at < len(b):
         stop = min(at + CHUNK, len(b))
-        while stop < len(b) and not (joined[stop - 1] == 32 or 9 <= joined[stop - 1] <= 13):
+        while stop < len(b) and not separators[joined[stop - 1]]:
             stop += 1  # a chunk ends behind a separator
         part = b[at:stop]
         part = np.where((part >= 65) & (part <= 90), part | 32, part)
-        s, h = _chunk_hashes(part, (part == 32) | ((part >= 9) & (part <= 13)))
+        s, h = _chunk_hashes(part, separators[part])
         starts.append(s + at)
         hashes.append(h)
         at = stop
