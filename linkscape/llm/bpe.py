@@ -5,7 +5,7 @@ tokenizer's pre-splitting holds white space, so this equals encoding the text at
 
 A text over ``2 * leaf_chars`` is cut in halves, and these again, down to leaves.  Leaves
 are rows of their own and are encoded in parallel tasks, wherever the cuts fall (also inside a word without any space).
-The leaves of one text then meet, and neighbours are concatenated pairwise, level by level, up
+A leaf's inner words are done there; only the stretch between the spaces around a cut stays open.  The leaves of one text then meet, and neighbours are concatenated pairwise, level by level, up
 to the root: a window around the join is encoded again and doubled until it has a token in common with the
 left side (same id, same place) and one with the right side.  A sequence of BPE tokens is the encoding of its text
 if every two neighbours are the encoding of theirs, so left tokens up to the first common one, window tokens
@@ -123,10 +123,6 @@ def tree_cuts(codec: Codec, text: str, leaf_chars: int) -> list[int]:
         edges = more
 
 
-def _decoded(codec: Codec, ids: list[int]) -> str:
-    return codec.tokenizer.decode(ids, skip_special_tokens=False)
-
-
 _OUT = "ids array<int>, decoded string"
 
 
@@ -146,6 +142,9 @@ def _short(path: str):
     return run
 
 
+_LEAF = "row_key string, at long, head string, head_tokens binary, middle binary, tail string, tail_tokens binary"
+
+
 def _leaves(path: str, leaf_chars: int):
     def run(batches):
         codec = Codec.of(path)
@@ -159,12 +158,66 @@ def _leaves(path: str, leaf_chars: int):
     return run
 
 
+def _packed(tokens: list) -> bytes:
+    return np.array(tokens, np.int32).reshape(-1).tobytes()
+
+
+def _unpacked(raw: bytes) -> list:
+    return list(map(tuple, np.frombuffer(raw, np.int32).reshape(-1, 4).tolist()))
+
+
+def encode_leaf(codec: Codec, leaf: str) -> tuple[str, list, bytes | None, str, list]:
+    """``head, head tokens, middle ids, tail, tail tokens``: what touches the leaf's ends, with places from its own start, and the words between, which no cut can change.
+
+    A leaf without a space is all head, and its middle is None.
+    """
+    first, last = SPACES.search(leaf), None
+    if first is None:
+        return leaf, codec.encode_places(leaf, 0), None, "", []
+    for last in SPACES.finditer(leaf, max(first.start(), len(leaf) - 256)):
+        pass
+    if last is None:
+        for last in SPACES.finditer(leaf):
+            pass
+    head, tail = leaf[: first.start()], leaf[last.end() :]
+    return head, codec.encode_places(head, 0), codec.encode_words(leaf[first.end() : last.start()])[0], tail, codec.encode_places(tail, 0)
+
+
+def concatenate(codec: Codec, a: tuple, b: tuple) -> tuple:
+    """One part from two neighbours, each as ``encode_leaf`` gives them: only the run of characters that the cut splits is worked on."""
+    solid_a = a[2] is None
+    run, tokens = (a[0], a[1]) if solid_a else (a[3], a[4])
+    n = len(run)
+    right = [(s + n, k, i, e + n) for s, k, i, e in b[1]]
+    whole = run + b[0]
+    joined = codec.join(whole, 0, tokens, n, right, len(whole)) if run and b[0] else tokens + right
+    if solid_a:
+        return (whole, joined, *b[2:])
+    if b[2] is None:
+        return a[0], a[1], a[2], whole, joined
+    return a[0], a[1], a[2] + np.array([t[2] for t in joined], np.int32).tobytes() + b[2], b[3], b[4]
+
+
+def part_ids(part: tuple) -> np.ndarray:
+    ends = [np.array([t[2] for t in part[k]], np.int32) for k in (1, 4)]
+    return np.concatenate((ends[0], np.frombuffer(part[2] or b"", np.int32), ends[1]))
+
+
+def tree(codec: Codec, parts: list[tuple]) -> tuple:
+    """Neighbours joined pairwise, level by level, up to the root."""
+    while len(parts) > 1:
+        joined = [concatenate(codec, a, b) for a, b in zip(parts[::2], parts[1::2], strict=False)]
+        parts = joined + (parts[-1:] if len(parts) % 2 else [])
+    return parts[0]
+
+
 def _encode_leaves(path: str):
     def run(batches):
         codec = Codec.of(path)
         for batch in batches:
-            tokens = [np.array(codec.encode_places(x.as_py(), a.as_py()), np.int64).reshape(-1).tobytes() for a, x in zip(batch.column("at"), batch.column("leaf"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.binary())], names=[*batch.schema.names, "tokens"])
+            done = [encode_leaf(codec, x.as_py()) for x in batch.column("leaf")]
+            columns = [pa.array([d[0] for d in done], pa.string()), pa.array([_packed(d[1]) for d in done], pa.binary()), pa.array([d[2] for d in done], pa.binary()), pa.array([d[3] for d in done], pa.string()), pa.array([_packed(d[4]) for d in done], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "row_key", "at", "head", "head_tokens", "middle", "tail", "tail_tokens"])
 
     return run
 
@@ -172,14 +225,10 @@ def _encode_leaves(path: str):
 def _concatenate(path: str):
     def run(leaves: pa.Table) -> pa.Table:
         codec = Codec.of(path)
-        rows = sorted(zip(leaves.column("at").to_pylist(), leaves.column("leaf").to_pylist(), leaves.column("tokens").to_pylist(), strict=True))
-        text = "".join(r[1] for r in rows)
-        parts = [(a, a + len(x), list(map(tuple, np.frombuffer(t, np.int64).reshape(-1, 4).tolist()))) for a, x, t in rows]
-        while len(parts) > 1:  # one level of the tree
-            joined = [(a[0], b[1], codec.join(text, a[0], a[2], a[1], b[2], b[1])) for a, b in zip(parts[::2], parts[1::2], strict=False)]
-            parts = joined + (parts[-1:] if len(parts) % 2 else [])
-        ids = [t[2] for t in parts[0][2]]
-        return pa.table({"doc_id": leaves.column("doc_id").slice(0, 1), "row_key": leaves.column("row_key").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": pa.array([_decoded(codec, ids)], pa.string())})
+        rows = sorted(leaves.select(["at", "head", "head_tokens", "middle", "tail", "tail_tokens"]).to_pylist(), key=lambda r: r["at"])
+        ids = part_ids(tree(codec, [(r["head"], _unpacked(r["head_tokens"]), r["middle"], r["tail"], _unpacked(r["tail_tokens"])) for r in rows])).tolist()
+        decoded = " ".join([codec.tokens[i] for i in ids])
+        return pa.table({"doc_id": leaves.column("doc_id").slice(0, 1), "row_key": leaves.column("row_key").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": pa.array([decoded], pa.string())})
 
     return run
 
@@ -202,7 +251,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, *, leaf_chars: int = 16_3
     long_rows = rows.where(long_text).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("row_key", F.sha2("text", 256))
     leaf_schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("row_key string, at long, leaf string").fields])
     leaves = long_rows.select("doc_id", "row_key", "text").mapInArrow(_leaves(tokenizer, leaf_chars), leaf_schema)
-    leaves = leaves.repartition("row_key", "at").mapInArrow(_encode_leaves(tokenizer), leaf_schema.add("tokens", T.BinaryType()))
+    leaves = leaves.repartition("row_key", "at").mapInArrow(_encode_leaves(tokenizer), T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL(_LEAF).fields]))
     keyed = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL(f"row_key string, {_OUT}").fields])
     whole = leaves.groupBy("doc_id", "row_key").applyInArrow(_concatenate(tokenizer), keyed)
     again = long_rows.where("copies > 1").select(F.col("doc_id").alias("again_id"), F.col("row_key").alias("again_key"), "copies")

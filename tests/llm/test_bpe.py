@@ -36,11 +36,8 @@ def test_tree_concatenation(tokenizer):
     letters = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=3000)), "a" * 3000, "!?" * 1500, "ab" * 1500 + " " + "日本" * 800]
     for text in texts(2, 60, 400) + letters:
         edges = [0, *B.tree_cuts(codec, text, 40), len(text)]
-        parts = [(a, z, codec.encode_places(text[a:z], a)) for a, z in zip(edges, edges[1:])]
-        while len(parts) > 1:
-            joined = [(a[0], b[1], codec.join(text, a[0], a[2], a[1], b[2], b[1])) for a, b in zip(parts[::2], parts[1::2])]
-            parts = joined + (parts[-1:] if len(parts) % 2 else [])
-        assert [t[2] for t in parts[0][2]] == tokenizer.encode(text, add_special_tokens=False).ids
+        parts = [B.encode_leaf(codec, text[a:z]) for a, z in zip(edges, edges[1:])]
+        assert B.part_ids(B.tree(codec, parts)).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_rows(spark, tokenizer):
