@@ -9,6 +9,7 @@ probabilities summed; ``score`` is the posterior of the predicted language under
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -26,7 +27,9 @@ FLOOR = 1e-7
 SMOOTH = 0.5
 #: Words are scored in runs of so many characters; a longer stretch without a space is several.
 LONGEST = 64
-MEMO_WORDS = 150_000
+#: Words remembered in a task, and texts whose words are learned together.
+MEMO_WORDS = 300_000
+PART = 64
 #: Words: runs of letters and marks, lower case.
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,34 +53,46 @@ class Model:
     def __init__(self, languages: list[str], table: dict[str, tuple[float, ...]]):
         self.languages, self.table = languages, table
         self.longest = max(map(len, table), default=1)
-        self.memo: dict[str, np.ndarray] = {}
 
     def cuts(self, word: str) -> list[list[tuple[int, str]]]:
         """For each end, the pieces that end there, with their starts."""
         return [[(i, word[i:j]) for i in range(max(0, j - self.longest), j) if word[i:j] in self.table] for j in range(1, len(word) + 1)]
 
-    def forward(self, word: str) -> list[np.ndarray]:
-        """Sums over the segmentations of each prefix, a value a language."""
-        alpha = [np.ones(len(self.languages))]
-        for j, ends in enumerate(self.cuts(word), 1):
+
+class Scorer:
+    """The forward algorithm for many words at once, with the words seen so far remembered as rows of a matrix."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows = model, {}
+        self.place = {p: k for k, p in enumerate(model.table, 1)}
+        self.table = np.zeros((len(model.table) + 1, len(model.languages)))  # row 0: no piece
+        for p, k in self.place.items():
+            self.table[k] = model.table[p]
+        self.logs = np.zeros((0, len(model.languages)))
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word (all of one length), a column a language: the sum over all segmentations."""
+        n, longest, get = len(words[0]), self.model.longest, self.place.get
+        alpha = [np.ones((len(words), len(self.model.languages)))]
+        for j in range(1, n + 1):
             total = alpha[j - 1] * FLOOR
-            for i, p in ends:
-                total = total + alpha[i] * self.table[p]
+            for i in range(max(0, j - longest), j):
+                total += alpha[i] * self.table[[get(w[i:j], 0) for w in words]]
             alpha.append(total)
-        return alpha
+        return np.log(alpha[n])
+
+    def learn(self, words: list[str]) -> None:
+        new = sorted({w for w in words if w not in self.rows}, key=lambda w: (len(w), w))
+        if len(self.rows) + len(new) > MEMO_WORDS:
+            self.rows, self.logs, new = {}, self.logs[:0], sorted(set(words), key=lambda w: (len(w), w))
+        found = [self.forward(list(g)) for _, g in itertools.groupby(new, key=len)]
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.logs = np.concatenate([self.logs, *found])
 
-    def log_words(self, words: list[str]) -> np.ndarray:
+    def total(self, words: list[str]) -> np.ndarray:
         """Sum of the words' log probabilities, a value a language."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        try:
-            return np.sum([memo[w] for w in words], axis=0)
-        except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = np.log(self.forward(w)[-1])
-            return np.sum([memo[w] for w in words], axis=0)
+        rows = self.rows
+        return self.logs[[rows[w] for w in words]].sum(axis=0)
 
 
 def _expected(model: Model):
@@ -85,8 +100,7 @@ def _expected(model: Model):
     at = {x: k for k, x in enumerate(model.languages)}
 
     def run(batches):
-        table = {p: np.array(v) for p, v in model.table.items()}
-        own = Model(model.languages, table)
+        table, own = model.table, model
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
             for lang, word, n in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
@@ -148,19 +162,22 @@ def fit(labelled: DataFrame, vocabulary: list[str], *, sample_chars: int = 1_500
 
 def _predict(model: Model):
     def run(batches):
-        own = Model(model.languages, {p: np.array(v) for p, v in model.table.items()})
+        own = Scorer(model)
         for batch in batches:
             languages, scores = [], []
-            for x in batch.column("text"):
-                words = split_words(x.as_py() or "")
-                if not own.languages or not any(any(map(str.isalpha, w)) for w in words):
-                    languages.append("und")
-                    scores.append(0.0)
-                    continue
-                total = own.log_words(words)
-                k = int(np.argmax(total))
-                languages.append(own.languages[k])
-                scores.append(float(1.0 / np.exp(total - total[k]).sum()))
+            for part in range(0, len(batch), PART):  # the words of some texts are learned together
+                split = [split_words(x.as_py() or "") for x in batch.column("text").slice(part, PART)]
+                if model.languages:
+                    own.learn([w for words in split for w in words])
+                for words in split:
+                    if not model.languages or not any(any(map(str.isalpha, w)) for w in words):
+                        languages.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = own.total(words)
+                    k = int(np.argmax(total))
+                    languages.append(model.languages[k])
+                    scores.append(float(1.0 / np.exp(total - total[k]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run

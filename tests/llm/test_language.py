@@ -19,7 +19,9 @@ def test_forward_sums_all_segmentations():
                 p = word[i:j]
                 product = product * (table.get(p, 0.0) + (L.FLOOR if j - i == 1 else 0.0))
             total += product
-        assert np.allclose(model.forward(word)[-1], total, rtol=1e-12)
+        scorer = L.Scorer(model)
+        scorer.learn([word, "a"])
+        assert np.allclose(np.exp(scorer.total([word])), total, rtol=1e-12)
 
 
 def test_held_out_accuracy_and_edges(spark):
