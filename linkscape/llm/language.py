@@ -27,6 +27,8 @@ FLOOR = 1e-7
 SMOOTH = 0.5
 #: Words are scored in runs of so many characters; a longer stretch without a space is several.
 LONGEST = 64
+#: Sums over runs of so many characters stay far above the least double (FLOOR ** 40 is 1e-280); longer runs are summed in logs.
+PLAIN = 40
 #: Words remembered in a task, and texts whose words are learned together.
 MEMO_WORDS = 300_000
 PART = 64
@@ -68,11 +70,21 @@ class Scorer:
         self.table = np.zeros((len(model.table) + 1, len(model.languages)))  # row 0: no piece
         for p, k in self.place.items():
             self.table[k] = model.table[p]
+        with np.errstate(divide="ignore"):
+            self.log_table = np.log(self.table)
         self.logs = np.zeros((0, len(model.languages)))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (all of one length), a column a language: the sum over all segmentations."""
         n, longest, get = len(words[0]), self.model.longest, self.place.get
+        if n > PLAIN:
+            logs = [np.zeros((len(words), len(self.model.languages)))]
+            for j in range(1, n + 1):
+                total = logs[j - 1] + math.log(FLOOR)
+                for i in range(max(0, j - longest), j):
+                    total = np.logaddexp(total, logs[i] + self.log_table[[get(w[i:j], 0) for w in words]])
+                logs.append(total)
+            return logs[n]
         alpha = [np.ones((len(words), len(self.model.languages)))]
         for j in range(1, n + 1):
             total = alpha[j - 1] * FLOOR
@@ -95,6 +107,39 @@ class Scorer:
         return self.logs[[rows[w] for w in words]].sum(axis=0)
 
 
+def _log_sum(logs: list[float]) -> float:
+    most = max(logs)
+    return most + math.log(sum(math.exp(x - most) for x in logs))
+
+
+def _shares(ends: list[list[tuple[int, str]]], table: dict[str, tuple[float, ...]], k: int) -> list[tuple[str, float]]:
+    """Expected count of each piece at each of its places in one word, for language k."""
+    n = len(ends)
+    if n > PLAIN:
+        logs = [[(i, p, math.log(table[p][k])) for i, p in found if table[p][k] > 0] for found in ends]
+        alpha = [0.0]
+        for j, found in enumerate(logs, 1):
+            alpha.append(_log_sum([alpha[j - 1] + math.log(FLOOR), *[alpha[i] + q for i, _, q in found]]))
+        onward: list[list[float]] = [[] for _ in range(n)]
+        beta = [0.0] * (n + 1)
+        for j in range(n, 0, -1):
+            if j < n:
+                beta[j] = _log_sum(onward[j])
+            onward[j - 1].append(beta[j] + math.log(FLOOR))
+            for i, _, q in logs[j - 1]:
+                onward[i].append(beta[j] + q)
+        return [(p, math.exp(alpha[i] + q + beta[j] - alpha[n])) for j, found in enumerate(logs, 1) for i, p, q in found]
+    alpha = [1.0]
+    for j, found in enumerate(ends, 1):
+        alpha.append(alpha[j - 1] * FLOOR + sum(alpha[i] * table[p][k] for i, p in found))
+    beta = [0.0] * n + [1.0]
+    for j in range(n, 0, -1):
+        beta[j - 1] += beta[j] * FLOOR
+        for i, p in ends[j - 1]:
+            beta[i] += beta[j] * table[p][k]
+    return [(p, alpha[i] * table[p][k] * beta[j] / alpha[-1]) for j, found in enumerate(ends, 1) for i, p in found]
+
+
 def _expected(model: Model):
     """Expected piece counts from rows ``lang, word, n``."""
     at = {x: k for k, x in enumerate(model.languages)}
@@ -104,20 +149,10 @@ def _expected(model: Model):
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
             for lang, word, n in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                k, ends = at[lang], own.cuts(word)
-                alpha = [1.0]
-                for j, found in enumerate(ends, 1):
-                    alpha.append(alpha[j - 1] * FLOOR + sum(alpha[i] * table[p][k] for i, p in found))
-                beta = [0.0] * len(word) + [1.0]
-                for j in range(len(word), 0, -1):
-                    beta[j - 1] += beta[j] * FLOOR
-                    for i, p in ends[j - 1]:
-                        beta[i] += beta[j] * table[p][k]
-                for j, found in enumerate(ends, 1):
-                    for i, p in found:
-                        share = alpha[i] * table[p][k] * beta[j] / alpha[-1] * n
-                        if share > 1e-9:
-                            sums[lang, p] = sums.get((lang, p), 0.0) + share
+                for p, x in _shares(own.cuts(word), table, at[lang]):
+                    share = x * n
+                    if share > 1e-9:
+                        sums[lang, p] = sums.get((lang, p), 0.0) + share
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([sums[x] for x in keys], pa.float64())], names=["lang", "piece", "n"])
 

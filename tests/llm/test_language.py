@@ -44,3 +44,28 @@ def test_nothing_learned(spark):
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in L.predict(one, L.fit(one, ["a"])).collect()] == [(1, "und", 0.0)]
     assert math.isfinite(L.FLOOR)
+
+
+def test_long_runs_outside_all_languages(spark):
+    french, english = "le chat est dans la maison et il dort ", "the cat is in the house and it sleeps "
+    run = "".join(chr(0x4E00 + 7 * k) for k in range(150))
+    rows = [(1, french * 20, "fr"), (2, english * 20, "en"), (3, french + run, "fr"), (4, english + run, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    vocabulary = sorted({w for t in (french, english) for w in t.split()} | set(french + english) - {" "})
+    model = L.fit(docs, vocabulary)  # divided by zero before
+    assert all(math.isfinite(x) and x > 0 for row in model.table.values() for x in row)
+    asked = spark.createDataFrame([(1, french + run + " " + french), (2, run + english), (3, run)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.predict(asked, model).collect()}
+    assert got[1].lang_pred == "fr" and got[2].lang_pred == "en" and got[1].score > 0.99 and got[2].score > 0.99
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_logs_agree_with_plain_sums(monkeypatch):
+    table = {p: (0.01 * (k + 1), 0.3 / (k + 1)) for k, p in enumerate(["a", "b", "ab", "ba", "aba"])}
+    model, word = L.Model(["x", "y"], table), "abaabcab"
+    plain = L.Scorer(model).forward([word]), [L._shares(model.cuts(word), table, k) for k in range(2)]
+    monkeypatch.setattr(L, "PLAIN", 0)
+    assert np.allclose(L.Scorer(model).forward([word]), plain[0], rtol=1e-12)
+    for k in range(2):
+        logs = L._shares(model.cuts(word), table, k)
+        assert [p for p, _ in logs] == [p for p, _ in plain[1][k]] and np.allclose([x for _, x in logs], [x for _, x in plain[1][k]], rtol=1e-9)
