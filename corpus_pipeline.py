@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscape.llm import bpe, decontamination, language, line_dedup, ngram_join
@@ -15,15 +15,23 @@ from linkscape.llm.common import cut, table
 LANGUAGE_SCORE = 0.5
 
 
+def _text_key() -> Column:
+    """Tells rows of one ``doc_id`` with different texts apart, as ``text_key`` of the operators does."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose ``doc_id`` (null equals null) is not among the rejected ones; the short side is what is rejected."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Rows whose ``doc_id`` (null equals null) and text are not among the rejected ``doc_id, text_key``; the short side is what is rejected."""
+    gone = rejected.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (_text_key() == gone["_key"]), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or with no language that is likelier than all others together, go."""
-    found = language.predict(docs, language.train(docs))
+    """Documents without a letter, or with no language that is likelier than all others together, go.
+
+    Each row is judged by its own text, also where ``doc_id`` is null or shared.
+    """
+    found = language.predict(docs, language.train(docs), with_key=True)
     return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_SCORE)))
 
 
@@ -37,13 +45,30 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by four-word shingles at 85 percent, the one with the smallest ``doc_id`` stays."""
-    found = ngram_join.ngram_jaccard_join(docs, words=4, percent=85)
-    return _without(docs, found.where("component_id <> doc_id"))
+    """Of documents linked by four-word shingles at 85 percent, the one with the smallest ``doc_id`` stays.
+
+    Rows with a null or shared ``doc_id`` are documents of their own, null ids after all others and one id's texts in
+    the order of their keys; of rows with the same id and text one stays.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        found = ngram_join.ngram_jaccard_join(docs, words=4, percent=85)
+        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # numbers stand for the ids: in the order of ids and keys, fixed by writing them
+    keys = docs.select("doc_id", _text_key().alias("_key")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_key")
+    keys = cut(keys.withColumn("_row", F.monotonically_increasing_id())).withColumnRenamed("doc_id", "_id")
+    rows = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (_text_key() == keys["_key"])).select("_row", *[docs[c] for c in docs.columns])
+    rows = cut(rows.dropDuplicates(["_row"]))
+    found = ngram_join.ngram_jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), words=4, percent=85)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def unseen_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten consecutive words with a benchmark item go."""
+    """Documents that share ten consecutive words with a benchmark item go.
+
+    Each row is judged by its own text, also where ``doc_id`` is null or shared.
+    """
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
     return _without(docs, found.where("contaminated"))
 

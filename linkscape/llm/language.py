@@ -195,7 +195,7 @@ def fit(labelled: DataFrame, vocabulary: list[str], *, sample_chars: int = 1_500
     return model
 
 
-def _predict(model: Model):
+def _predict(model: Model, ids: list[str]):
     def run(batches):
         own = Scorer(model)
         for batch in batches:
@@ -213,15 +213,21 @@ def _predict(model: Model):
                     k = int(np.argmax(total))
                     languages.append(model.languages[k])
                     scores.append(float(1.0 / np.exp(total - total[k]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*ids, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row; a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.  Ties go to the first language by name; further columns are ignored."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_predict(model), schema)
+def predict(docs: DataFrame, model: Model, *, with_key: bool = False) -> DataFrame:
+    """``doc_id, lang_pred, score`` for each row; a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.  Ties go to the first language by name; further columns are ignored.
+
+    ``with_key`` adds ``text_key`` after ``doc_id``, which tells rows of one ``doc_id`` with different texts apart.
+    """
+    ids = ["doc_id", "text_key"] if with_key else ["doc_id"]
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).select(*ids, "text")
+    schema = T.StructType([*[rows.schema[c] for c in ids], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(model, ids), schema)
 
 
 def held_out() -> Column:

@@ -54,3 +54,34 @@ def test_against_brute_force(spark, tmp_path, empty):
     assert {r["doc_id"]: list(r["ids"]) for r in found.collect()} == ids
     if not empty:
         assert bad == {8, 14} and not {21, 23, 40} & first
+
+
+def test_null_and_shared_ids_are_judged_by_row(spark, tmp_path):
+    r = random.Random(9)
+
+    def text(lang="en", n=60):
+        return " ".join(r.choices(WORDS[lang], k=n))
+
+    item, one, two, three, four, five, six = text("de", 14), text(), text("de"), text(), text("de"), text(), text()
+    bad = text("de") + " " + item
+    labelled = [(k, text("en" if k % 2 else "de"), "en" if k % 2 else "de") for k in range(20, 40)]
+    rows = [(None, one, "en"), (None, one, "en"), (None, None, "en"), (None, bad, "de"), (None, two, "de"), (7, three, "en"), (7, three, "en"), (7, "12 + 34", "de"), (7, bad + " haus", "de"), (7, four, "de"), (8, five, "en"), (None, five, "en"), (9, six, "en"), (9, six + " day", "en")]
+    folder = write(spark, tmp_path, [(i, t, lang, "s", None) for i, t, lang in rows + labelled], [("q1", item)])
+    docs = corpus_pipeline.table(spark, folder, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, given):
+        return sorted(((x.doc_id, x.text) for x in stages[name](spark, given, folder).collect()), key=str)
+
+    def expected(dropped):
+        return sorted(((i, t) for i, t, _ in rows + labelled if t not in dropped), key=str)
+
+    assert after("language_id", docs) == expected({None, "12 + 34"})
+    assert after("benchmark_decontamination", docs) == expected({bad, bad + " haus"})
+    clean = docs.where("text is not null and text <> '12 + 34'")
+    got = after("ngram_jaccard_join", clean)
+    assert got.count((None, one)) == 1 and got.count((7, three)) == 1 and (7, four) in got and (None, two) in got
+    assert (8, five) in got and (None, five) not in got  # a null id comes after all others
+    assert sum(i == 9 for i, _ in got) == 1  # near copies under one id
+    assert {(i, t) for i, t, _ in labelled} <= set(got)
+    assert corpus_pipeline.run(spark, folder).count() > 0
