@@ -47,3 +47,24 @@ def test_alignment_finds_shifted_and_copied_recordings(spark):
     got = M.align(prints, spark.createDataFrame([(2,), (5,)], "rec_id long")).collect()
     assert [(x.query_id, x.rec_id, x.copies, x.offset) for x in got] == [(2, 1, 2, 20)] and got[0].bit_error == 0
     assert M.align(prints.limit(0), df.select("rec_id")).collect() == []
+
+
+def test_repeated_passages_match_at_every_offset(spark):
+    r = np.random.default_rng(5)
+    a, b, c = (r.integers(0, 1 << 32, n).tolist() for n in (40, 30, 15))
+    rows = [(1, a + b + a + c), (2, a + c), (3, a), (4, [7] * 30 + b), (5, r.integers(0, 1 << 32, 90).tolist())]
+    got = {(x.query_id, x.rec_id): x for x in M.align(spark.createDataFrame(rows, "rec_id long, prints array<long>"), spark.createDataFrame([(2,), (3,)], "rec_id long")).collect()}
+    assert set(got) == {(2, 1), (2, 3), (3, 1), (3, 2)}
+    assert got[2, 1].offset == 70 and got[2, 1].bit_error == 0 and got[2, 1].votes == 55
+    assert [(x.offset, x.votes, x.frames, x.bit_error) for x in got[3, 1].offsets] == [(0, 40, 40, 0.0), (70, 40, 40, 0.0)] and got[3, 1].offset == 0
+
+
+def test_query_lists_all_matches(spark, tmp_path):
+    r = np.random.default_rng(6)
+    vectors = [(100, r.random(64).tolist())]
+    vectors += [(1, vectors[0][1][10:] + r.random(10).tolist()), (2, vectors[0][1][20:] + r.random(20).tolist()), (3, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x.rec_id: x for x in M.op7_media_fingerprints(spark, str(tmp_path)).collect()}
+    # queries stand for their class; the two others match it
+    assert got[100].n_matches == 2 == len(got[100].matches) and [x.rec_id for x in got[100].matches] == [1, 2]
+    assert all(x.offsets for x in got[100].matches) and got[1].matches is None
