@@ -68,3 +68,12 @@ def test_query_lists_all_matches(spark, tmp_path):
     # queries stand for their class; the two others match it
     assert got[100].n_matches == 2 == len(got[100].matches) and [x.rec_id for x in got[100].matches] == [1, 2]
     assert all(x.offsets for x in got[100].matches) and got[1].matches is None
+
+
+def test_all_components_are_played(spark):
+    r = np.random.default_rng(4)
+    first = r.random(32).tolist()
+    df = spark.createDataFrame([(1, first + r.random(32).tolist()), (2, first + r.random(32).tolist()), (3, None), (4, [])], "vec_id long, embedding array<double>")
+    apart = {x.rec_id: x.prints for x in M.fingerprints(M.recordings_of(df)).collect()}
+    assert {i: len(p) for i, p in apart.items()} == {1: 115, 2: 115, 3: 0, 4: 0} and apart[1] != apart[2]
+    assert {x.rec_id: x.prints for x in M.fingerprints_of_vectors(df).collect()} == apart
