@@ -3,7 +3,9 @@
 Templates are grouped by their number of words, rounded up to a power of two c.  A text is covered by windows of
 2c words with a step of c, so every stretch of c words lies whole in one.  A window that holds
 ``CONTAINMENT`` of a template's shingles has a Jaccard similarity of at least J = CONTAINMENT * t / (t + window); with bands of one
-row, ``bands`` is chosen so that 1 - (1 - J)**bands misses at most ``MISS``.  Matches of any band are verified exactly.
+row, ``bands`` is chosen so that (1 - J)**bands, the chance to miss one, is at most ``MISS``.  Matches of any band are verified exactly.  Only blocks
+of a text that hold a shingle of some template go through the bands: no other window can match.
+Notices of fewer than ``SHINGLE`` words are one shingle, the whole sequence, and are looked up exactly.
 Everything happens in one pass over the texts, with the templates (a fixed list) in each task.
 """
 
@@ -26,7 +28,9 @@ MISS = 1e-4
 STEP_BYTES = 1 << 20
 #: Names and notices, the default list.
 TEMPLATES = {
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "BSD-2-Clause": "This work is licensed under the BSD 2-Clause License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -34,50 +38,75 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT-release": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without permission.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "all-rights-reserved": "All rights reserved.",
+    "no-reproduction": "All rights reserved. No part of this work may be reproduced without permission.",
 }
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(max(len(h) - SHINGLE + 1, 0), np.uint64)
-    for k in range(SHINGLE):
+def _grams(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
+    for k in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(out)]
     return mix(out)
 
 
+def _among(g: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, g), len(ordered) - 1)] == g
+
+
 class Templates:
     def __init__(self, notices: dict[str, str]):
-        """Notices need at least five words."""
+        """Notices need at least one word."""
+        self.short: dict[int, list[tuple[str, np.uint64]]] = {}
         self.classes: dict[int, list[tuple[str, int, np.ndarray]]] = {}
         for name, text in sorted(notices.items()):
             h, _ = words([text.encode()], PUNCTUATION)
+            if not len(h):
+                raise ValueError(f"{name}: no words")
             if len(h) < SHINGLE:
-                raise ValueError(f"{name}: fewer than {SHINGLE} words")
+                self.short.setdefault(len(h), []).append((name, _grams(h, len(h))[0]))
+                continue
             self.classes.setdefault(1 << (len(h) - 1).bit_length(), []).append((name, len(h), np.unique(_grams(h))))
         self.bands = {}
         for c, own in self.classes.items():
             least = min(CONTAINMENT * len(g) / (len(g) + 2 * c) for _, _, g in own)
             self.bands[c] = math.ceil(math.log(MISS) / math.log(1 - least))
-        self.seeds = mix(np.arange(1, 2 * max(self.bands.values()) + 1, dtype=np.uint64)) | np.uint64(1)
+        self.seeds = mix(np.arange(1, 2 * max(self.bands.values(), default=0) + 1, dtype=np.uint64)) | np.uint64(1)
+        self.lows = {c: [[mix(t * self.seeds[b]).min() for _, _, t in own] for b in range(self.bands[c])] for c, own in self.classes.items()}
+        self.all = {c: np.unique(np.concatenate([t for _, _, t in own])) for c, own in self.classes.items()}
 
     def scan(self, h: np.ndarray) -> list[tuple[str, int, int, float]]:
         """``(name, first word, end word, containment)`` in one text's word hashes, overlapping finds of a template merged."""
         g, found = _grams(h), []
-        if not len(g):
-            return found
-        for c, own in self.classes.items():
-            starts = np.arange(0, len(g), c)
+        for n, own in self.short.items():
+            sequences = _grams(h, n)
+            found += [(name, int(at), int(at) + n, 1.0) for name, t in own for at in np.flatnonzero(sequences == t)]
+        for c, own in self.classes.items() if len(g) else ():
+            near = np.unique(np.flatnonzero(_among(g, self.all[c])) // c)  # blocks with a shingle of a template
+            if not len(near):
+                continue
+            blocks = np.unique(np.concatenate((near - 1, near, near + 1)))  # and their neighbours: a window is two blocks
+            blocks = blocks[(blocks >= 0) & (blocks * c < len(g))]
+            sizes = np.minimum(c, len(g) - blocks * c)
+            starts = np.cumsum(sizes) - sizes
+            part = g[np.repeat(blocks * c - starts, sizes) + np.arange(sizes.sum())]
+            follows = np.append(blocks[1:] == blocks[:-1] + 1, False)
             hit: set[tuple[int, int]] = set()
             for b in range(self.bands[c]):
-                lows = np.minimum.reduceat(mix(g * self.seeds[b]), starts)
-                lows = np.minimum(lows, np.append(lows[1:], lows[-1]))  # a window is two blocks
-                for k, (_, _, t) in enumerate(own):
-                    hit.update((k, int(i)) for i in np.flatnonzero(lows == mix(t * self.seeds[b]).min()))
+                lows = np.minimum.reduceat(mix(part * self.seeds[b]), starts)
+                lows = np.where(follows, np.minimum(lows, np.append(lows[1:], lows[-1])), lows)
+                for k, low in enumerate(self.lows[c][b]):
+                    hit.update((k, int(i)) for i in blocks[lows == low])
             for k, i in sorted(hit):
                 name, size, t = own[k]
-                at = int(starts[i])
+                at = i * c
                 window = g[at : at + 2 * c]
                 inside = np.isin(window, t)
                 share = len(np.unique(window[inside])) / len(t)

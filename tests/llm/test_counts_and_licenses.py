@@ -50,3 +50,15 @@ def test_finds_every_planted_notice(spark):
         # windows are wider than templates, so they may add a notice whose shingles lie further apart
         assert brute(t or "", templates) <= got[i], i
     assert L.license_scan(df.limit(0)).collect() == []
+
+
+def test_short_and_further_notices(spark):
+    filler = " ".join(f"w{k}" for k in range(100))
+    rows = {1: ("Released under the MIT License.", "MIT-release"), 2: ("All rights reserved.", "all-rights-reserved"), 3: (L.TEMPLATES["Unlicense"], "Unlicense"), 4: (L.TEMPLATES["LGPL-3.0"], "LGPL-3.0"), 5: (L.TEMPLATES["no-reproduction"], "no-reproduction")}
+    df = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()] + [(k + 10, f"{filler} {t} {filler}") for k, (t, _) in rows.items()] + [(30, "all rights are reserved")], "doc_id long, text string")
+    got = {x.doc_id: [(f.license, f.first_word, f.end_word, f.containment) for f in x.found] for x in L.license_scan(df).collect()}
+    for k, (_, name) in rows.items():
+        assert name in {f[0] for f in got[k]} and name in {f[0] for f in got[k + 10]}
+    assert got[2] == [("all-rights-reserved", 0, 3, 1.0)] and got[12] == [("all-rights-reserved", 100, 103, 1.0)] and got[30] == []
+    own = {x.doc_id: x.found for x in L.license_scan(df, {"one": "Reserved"}).collect()}
+    assert [(f.first_word, f.end_word) for f in own[12]] == [(102, 103)] and own[11] == []
