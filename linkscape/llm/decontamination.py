@@ -1,27 +1,30 @@
 """Benchmark decontamination by winnowing, in DataFrame operations alone.
 
-A window of ``window`` consecutive words holds ``w = window - k + 1`` consecutive k-grams
-(``k = (window + 1) // 2``).  Winnowing keeps the smallest k-gram hash of every ``w``
-consecutive ones, so a window shared by a document and an item leaves the same fingerprint at the same place
-in both: every shared span of ``window`` words is met, whatever surrounds it.  Fingerprints of
-documents are joined with those of the benchmark, each hit is extended word by word to both sides,
-and what stays shorter than the window is dropped, so hash collisions cannot report anything.
-
-Documents are read once, with no shuffle of their texts or words: the benchmark's fingerprints
-are broadcast when they are counted as few, and only hits leave the scan.
+A window of ``window`` consecutive words holds ``w = window - k + 1`` consecutive k-grams.  Winnowing keeps the smallest
+k-gram hash of every ``w`` consecutive ones, each place once, so a window shared by a document and an item leaves the same
+fingerprint at the same place of both: every shared span of ``window`` words is met, whatever surrounds it.
+Fingerprints of documents are looked up among those of the benchmark.  A hit is extended to the windows around it, and
+those that stand word for word in an item count, so hash collisions cannot report anything.
+
+Documents are read once, with no shuffle of their texts or words: the benchmark's fingerprints are broadcast, at most
+PRINTS of them at a time (a larger benchmark is several passes), and a hit leaves the scan with the words
+one window reaches to both sides, never with its text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscape.llm.common import cut, table
 
-#: Up to so many benchmark fingerprints (a few KB each, with the words around them) are broadcast; more are joined by a shuffle.
-BROADCAST_FINGERPRINTS = 20_000
-#: Texts are worked on in stretches of so many windows, so that what goes with a hit doesn't grow with the text.
-CHUNK = 256
+#: Most benchmark fingerprints that one pass broadcasts (about 40 bytes each).
+PRINTS = 1_000_000
+#: Low bits of a fingerprint's number hold its place in the text (a text has fewer words than that), the rest its hash.
+PLACE_BITS = 30
 
 
 def word_list(text: Column) -> Column:
@@ -33,93 +36,116 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.decode(text.cast("binary"), "ISO-8859-1")), F.lit(r"([0-9a-z\x80-\xff]+)"), F.lit(1))
 
 
-def _window_minima(texts: DataFrame, window: int, keep: list[str]) -> DataFrame:
-    """One row for each window: ``keep``, ``base``, ``words`` (the stretch of CHUNK windows that holds it, which starts at word ``base``), ``grams``, ``at`` (0-based first word in the stretch) and ``fingerprint``."""
-    # The outer forms of explode keep the optimizer from adding a filter on the list's size, which
-    # would work out every list twice, and inner ones once for each element.
-    k = (window + 1) // 2
-    w = window - k + 1
-    starts = F.when(F.size("words") >= window, F.sequence(F.lit(0), F.size("words") - window, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
-    stretches = F.transform(starts, lambda at: F.struct(at.alias("base"), F.slice("words", at + 1, CHUNK + window - 1).alias("words")))
-    words = texts.select(*keep, F.explode_outer(stretches).alias("s")).select(*keep, "s.base", "s.words")
+def gram_size(window: int) -> int:
+    """Words of a k-gram: half a window, but three where the window has them, as single words are met everywhere."""
+    return max((window + 1) // 2, min(window, 3))
+
+
+# Lists are worked out once by exploding a list of one, in the outer form: a plain column would be inlined into
+# each use, and an inner explode adds a filter that works the list out a second time.
+def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def _gram(k: int) -> Callable[[Column], Column]:
+    # elements are taken one by one: slice() would copy the whole list each time
+    return lambda i: F.shiftleft(F.xxhash64(*[F.get("words", i + j) for j in range(k)]), PLACE_BITS).bitwiseOR(i.cast("long"))
+
+
+def _least(grams: str, w: int) -> Callable[[Column], Column]:
+    return lambda i: F.least(*[F.get(grams, i + j) for j in range(w)]) if w > 1 else F.get(grams, i)
+
+
+def _winnowed(df: DataFrame, windows: list[int]) -> DataFrame:
+    """``df`` (with ``words``) and ``prints``: the fingerprints of all the given window sizes, as hash and place in one number."""
     none = F.array().cast("array<bigint>")
+    size = F.coalesce(F.size("words"), F.lit(0))
+    kept = []
+    for k in sorted({gram_size(n) for n in windows}):
+        df = _with(df, f"grams_{k}", F.when(size >= k, F.transform(F.sequence(F.lit(0), size - k), _gram(k))).otherwise(none))
+        for w in sorted({n - k + 1 for n in windows if gram_size(n) == k}):
+            name = f"grams_{k}"
+            kept.append(F.when(F.size(name) >= w, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(name) - w), _least(name, w)))).otherwise(none))
+    return _with(df, "prints", kept[0] if len(kept) == 1 else F.array_distinct(F.concat(*kept)) if kept else none)
 
-    # elements are taken one by one: slice() inside a lambda would copy the whole list each time
-    def gram(i: Column) -> Column:
-        return F.xxhash64(*[F.get("words", i + j) for j in range(k)])
 
-    def least(i: Column) -> Column:
-        return F.least(*[F.get("grams", i + j) for j in range(w)]) if w > 1 else F.get("grams", i)
+def _place(number: Column) -> Column:
+    return number.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
-    grams = words.withColumn("grams", F.transform(F.sequence(F.lit(0), F.size("words") - k), gram))
-    minima = grams.withColumn("minima", F.when(F.size("grams") >= w, F.transform(F.sequence(F.lit(0), F.size("grams") - w), least)).otherwise(none))
-    return minima.select(*keep, "base", "words", "grams", F.posexplode_outer("minima").alias("at", "fingerprint")).where("fingerprint is not null")
 
+def _windows(hits: DataFrame, reach: int, keep: list[str]) -> DataFrame:
+    """``keep, first_word, size, content``: the windows of each of ``sizes`` words around the hits (``place``, and ``around``: ``reach`` words before it, itself, and the words after)."""
+    rows = hits.select(*keep, "n_words", "place", "around", F.explode("sizes").alias("size"))
+    back = F.col("size") - F.greatest(F.floor((F.col("size") + 1) / 2), F.least("size", F.lit(3))).cast("int")
+    starts = F.filter(F.sequence(F.col("place") - back, F.col("place")), lambda i: (i >= 0) & (i + F.col("size") <= F.col("n_words")))
+    rows = rows.select(*keep, "place", "around", "size", F.explode(starts).alias("first_word"))
+    return rows.select(*keep, "first_word", "size", F.array_join(F.slice("around", F.col("first_word") - F.col("place") + reach + 1, F.col("size")), " ").alias("content"))
 
-def _first_gram(window: int) -> Column:
-    w = window - (window + 1) // 2 + 1
-    return F.col("at") + F.array_position(F.slice("grams", F.col("at") + 1, w), F.col("fingerprint")).cast("int") - 1
 
+def _around(window: int) -> tuple[int, Column]:
+    reach = window - gram_size(window)
+    reach = max([reach, *[n - gram_size(n) for n in range(1, window)]])
+    return reach, F.array(*[F.get("words", F.col("place") + o) for o in range(-reach, window)])
 
-def _run(a: Column, b: Column) -> Column:
-    """How many leading elements of two equally long lists agree."""
-    differs = F.array_position(F.zip_with(a, b, lambda x, y: x == y), False)
-    return F.when(differs == 0, F.size(a)).otherwise((differs - 1).cast("int"))
 
+def benchmark_windows(benchmark: DataFrame, *, window: int = 10) -> DataFrame:
+    """``size, content, item_ids``: every window of the benchmark, its words joined by a space, with the items (as sorted strings) that hold it; an item of fewer words is one window."""
+    items = _with(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")), "words", word_list(F.col("text"))).where(F.size("words") > 0)
+    items = items.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("size"))
+    placed = items.select("item_id", "words", "size", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
+    rows = placed.select("item_id", "size", F.array_join(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.get("words", F.col("at") + j)), " ").alias("content"))
+    return rows.groupBy("size", "content").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
-def benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """Spans of documents that repeat benchmark text: ``doc_id, text_key, item_id, first_word, last_word`` (0-based, inclusive), distinct.
 
-    A span is a common run of a document and an item with at least ``window`` words, as long as it can be within a
-    stretch of CHUNK windows (a longer run gives several spans that overlap); an item of
-    fewer words counts with all of them.  ``text_key`` tells rows of one ``doc_id`` with different texts apart.
-    Null or empty texts and items have no words and no spans; repeated rows give their spans once; further columns are ignored.
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, prints_a_pass: int = PRINTS) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: ``doc_id, text_key, n_words`` for each row of ``docs``, and ``doc_id, text_key, first_word, last_word, item_ids``, the windows of documents that stand in items.
+
+    ``text_key`` tells rows of one ``doc_id`` with different texts apart.
     """
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").alias("item_id"), word_list(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
-    items = items.withColumn("window", F.least(F.size("words"), F.lit(window))).distinct()
-    lengths = sorted(r[0] for r in items.select("window").distinct().collect())  # at most ``window`` values
-    words = text.select("doc_id", F.xxhash64("text").alias("text_key"), word_list(F.col("text")).alias("words"))
-    spans = None
-    for length in lengths:
-        own = _window_minima(items.where(F.col("window") == length).select("item_id", "words"), length, ["item_id"])
-        own = cut(own.select("item_id", F.col("words").alias("item_words"), "fingerprint", _first_gram(length).alias("item_gram")).distinct())
-        prints = F.broadcast(own) if own.count() <= BROADCAST_FINGERPRINTS else own
-        met = _window_minima(words, length, ["doc_id", "text_key"]).join(prints, "fingerprint")
-        met = met.withColumn("gram", _first_gram(length))
-        back, ahead = F.least("gram", "item_gram"), F.least(F.size("words") - F.col("gram"), F.size("item_words") - F.col("item_gram"))
-        near = met.select(
-            "doc_id", "text_key", "item_id", "base", "gram",
-            F.reverse(F.slice("words", F.col("gram") - back + 1, back)).alias("left"), F.reverse(F.slice("item_words", F.col("item_gram") - back + 1, back)).alias("item_left"),
-            F.slice("words", F.col("gram") + 1, ahead).alias("right"), F.slice("item_words", F.col("item_gram") + 1, ahead).alias("item_right"),
-        )
-        found = near.select("doc_id", "text_key", "item_id", (F.col("base") + F.col("gram") - _run(F.col("left"), F.col("item_left"))).alias("first_word"), (F.col("base") + F.col("gram") + _run(F.col("right"), F.col("item_right")) - 1).alias("last_word"))
-        found = found.where(F.col("last_word") - F.col("first_word") + 1 >= length)
-        spans = found if spans is None else spans.unionByName(found)
-    if spans is None:
-        spans = words.select("doc_id", "text_key", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word")).limit(0)
-    return spans.distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
+    known = cut(benchmark_windows(benchmark, window=window))
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most ``window`` values
+    each = [_winnowed(known.where(F.col("size") == n).select("size", F.split("content", " ").alias("words")), [n]) for n in sizes or [window]]
+    own = reduce(DataFrame.unionByName, [x.select("size", F.explode("prints").alias("number")) for x in each]).select(F.shiftright("number", PLACE_BITS).alias("print"), "size")
+    prints = cut(own.groupBy("print").agg(F.collect_set("size").alias("sizes")))
+    passes = max(1, -(-prints.count() // prints_a_pass))
+    reach, around = _around(window)
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    rows = _with(rows, "words", word_list(F.col("text"))).drop("text")
+    rows = _winnowed(rows.withColumn("n_words", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0))), sizes or [window])
+    numbers = rows.select("doc_id", "text_key", "n_words", "words", F.posexplode_outer("prints").alias("nth", "number"))
+    numbers = numbers.select("doc_id", "text_key", "n_words", "words", (F.coalesce("nth", F.lit(0)) == 0).alias("head"), F.shiftright("number", PLACE_BITS).alias("print"), _place(F.col("number")).alias("place"))
+    seen = None
+    for k in range(passes):
+        part = prints if passes == 1 else prints.where(F.pmod("print", F.lit(passes)) == k)
+        met = numbers.join(F.broadcast(part), "print", "left").where(F.col("sizes").isNotNull() | (F.col("head") & F.lit(k == 0)))
+        met = cut(met.select("doc_id", "text_key", "n_words", (F.col("head") & F.lit(k == 0)).alias("head"), "sizes", "place", F.when(F.col("sizes").isNotNull(), around).alias("around")))
+        seen = met if seen is None else seen.unionByName(met)
+    base = seen.where("head").select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"))
+    near = _windows(seen.where("sizes is not null"), reach, ["doc_id", "text_key"]).distinct()
+    found = near.join(known, ["size", "content"]).select("doc_id", "text_key", "first_word", (F.col("first_word") + F.col("size") - 1).alias("last_word"), "item_ids")
+    return base, cut(found)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, prints_a_pass: int = PRINTS) -> DataFrame:
     """One row for each input row: ``doc_id, text_key, n_words, n_hit, n_items, item_ids, contaminated``.
 
-    ``n_hit`` counts words inside any span, overlaps once; ``item_ids`` are the items met, as sorted strings.  A null
-    ``doc_id`` is a value like any other here; a null ``item_id`` adds hits but no name.
+    ``n_hit`` counts words inside any shared window, overlaps once; ``item_ids`` are the items met, as sorted strings.
+
+    * null or empty texts and items have no words and meet nothing; an item of fewer than ``window`` words counts with all of them;
+    * a null ``doc_id`` is a value like any other; a null ``item_id`` adds hits but no name;
+    * repeated rows come back each, with the same result; empty tables give an empty result or one without hits; further columns are ignored.
     """
-    spans = benchmark_spans(docs, benchmark, window=window)
-    # overlapping spans count once: walk them in order of their start
+    base, found = scan(docs, benchmark, window=window, prints_a_pass=prints_a_pass)
+    # overlapping windows count once: walk them in order of their start
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("first_word", "last_word"))),
         F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["last"], x["last_word"]).alias("last"), (acc["n"] + F.greatest(F.lit(0), x["last_word"] - F.greatest(acc["last"], x["first_word"] - 1))).alias("n")),
         lambda acc: acc["n"],
     )
-    hit = spans.groupBy("doc_id", "text_key").agg(covered.alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    n_words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.coalesce(n_words, F.lit(0)).cast("long").alias("n_words"))
+    hit = found.groupBy("doc_id", "text_key").agg(covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "n_hit", "item_ids")
-    joined = rows.join(hit, rows["doc_id"].eqNullSafe(hit["hit_id"]) & (rows["text_key"] == hit["hit_key"]), "left")
+    joined = base.join(hit, base["doc_id"].eqNullSafe(hit["hit_id"]) & (base["text_key"] == hit["hit_key"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return joined.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))

@@ -26,10 +26,10 @@ def brute(docs, items, window=10):
     return sorted(out, key=str)
 
 
-def run(spark, docs, items):
+def run(spark, docs, items, **options):
     d = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
-    return sorted((tuple(r) for r in D.contamination(d, b).drop("text_key").collect()), key=str)
+    return sorted((tuple(r) for r in D.contamination(d, b, **options).drop("text_key").collect()), key=str)
 
 
 def test_against_brute_force(spark):
@@ -49,6 +49,7 @@ def test_against_brute_force(spark):
     docs += [(None, docs[3][1]), (7, docs[7][1]), (8, docs[9][1]), (100, None), (101, ""), (102, "--"), (103, "w1 " * 20_000)]
     items += [(90, None), (91, "!!"), (3, items[5][1])]
     assert run(spark, docs, items) == brute(docs, items)
+    assert run(spark, docs, items, prints_a_pass=400) == brute(docs, items)  # a benchmark of several passes
 
 
 def test_empty_tables(spark):
