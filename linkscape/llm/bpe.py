@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from linkscape.llm.common import table
 
 #: Unicode white space, as the tokenizer's normaliser sees it.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Words remembered in a worker before it starts anew.
-MEMO_WORDS = 200_000
+#: What ``str.split`` takes for white space and the normaliser doesn't.
+SEPARATORS = tuple(map(chr, range(0x1C, 0x20)))
+#: Words remembered in a worker, at about 200 bytes each: half of them the latest, half those before them that may be used again.
+MEMO_WORDS = 800_000
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -40,9 +43,11 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        named = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.tokens = [named.get(i, "") for i in range(max(named, default=-1) + 1)]
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> "Codec":
@@ -54,24 +59,33 @@ class Codec:
         return _loaded[path]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = list({w for w in words if w not in self.memo})
+        if len(self.memo) > MEMO_WORDS // 2:  # what isn't asked for again until this half is full is forgotten
+            self.memo, self.older = {}, self.memo
+        new = {w for w in words if w not in self.memo}
+        self.memo.update({w: self.older[w] for w in new if w in self.older})
+        new = [w for w in new if w not in self.older]
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.memo[w] = np.array(ids, np.int32).tobytes(), " ".join([self.tokens[i] for i in ids])
+            self.memo[w] = array("i", e.ids).tobytes()
 
-    def encode_words(self, text: str) -> tuple[bytes, str]:
-        """Token ids as little-endian 32-bit integers, and the decoded text."""
-        words = [w for w in SPACES.split(text) if w]
-        memo = self.memo
+    def words(self, text: str) -> list[str]:
+        """The runs without white space; of plain ASCII lower case at once, as the normaliser makes it, unless an added token could come from that."""
+        if any(x in text for x in SEPARATORS):
+            return [w for w in SPACES.split(text) if w]
+        return (text.lower() if text.isascii() and "<|" not in text else text).split()
+
+    def encode_words(self, text: str) -> bytes:
+        """Token ids as 32-bit integers."""
+        words, memo = self.words(text), self.memo
         try:
-            got = [memo[w] for w in words]
+            return b"".join([memo[w] for w in words])
         except KeyError:
             self._learn(words)
             memo = self.memo
-            got = [memo[w] for w in words]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+            return b"".join([memo[w] for w in words])
+
+    def decoded(self, ids: np.ndarray) -> str:
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids.tolist()])
 
     def encode_places(self, text: str, base: int) -> list[tuple[int, int, int, int]]:
         """Tokens as ``(start, number among those that start there, id, end)``, places counted from ``base``."""
@@ -132,11 +146,10 @@ def _short(path: str):
         for batch in batches:
             ids, decoded = [], []
             for x in batch.column("text"):
-                i, d = codec.encode_words(x.as_py() or "")
-                ids.append(i)
-                decoded.append(d)
-            offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())
+                ids.append(np.frombuffer(codec.encode_words(x.as_py() or ""), np.int32))
+                decoded.append(codec.decoded(ids[-1]))
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
@@ -180,7 +193,7 @@ def encode_leaf(codec: Codec, leaf: str) -> tuple[str, list, bytes | None, str,
         for last in SPACES.finditer(leaf):
             pass
     head, tail = leaf[: first.start()], leaf[last.end() :]
-    return head, codec.encode_places(head, 0), codec.encode_words(leaf[first.end() : last.start()])[0], tail, codec.encode_places(tail, 0)
+    return head, codec.encode_places(head, 0), codec.encode_words(leaf[first.end() : last.start()]), tail, codec.encode_places(tail, 0)
 
 
 def concatenate(codec: Codec, a: tuple, b: tuple) -> tuple:
@@ -226,9 +239,8 @@ def _concatenate(path: str):
     def run(leaves: pa.Table) -> pa.Table:
         codec = Codec.of(path)
         rows = sorted(leaves.select(["at", "head", "head_tokens", "middle", "tail", "tail_tokens"]).to_pylist(), key=lambda r: r["at"])
-        ids = part_ids(tree(codec, [(r["head"], _unpacked(r["head_tokens"]), r["middle"], r["tail"], _unpacked(r["tail_tokens"])) for r in rows])).tolist()
-        decoded = " ".join([codec.tokens[i] for i in ids])
-        return pa.table({"doc_id": leaves.column("doc_id").slice(0, 1), "row_key": leaves.column("row_key").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": pa.array([decoded], pa.string())})
+        ids = part_ids(tree(codec, [(r["head"], _unpacked(r["head_tokens"]), r["middle"], r["tail"], _unpacked(r["tail_tokens"])) for r in rows]))
+        return pa.table({"doc_id": leaves.column("doc_id").slice(0, 1), "row_key": leaves.column("row_key").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": pa.array([codec.decoded(ids)], pa.string())})
 
     return run
 

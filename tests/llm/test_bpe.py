@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -24,10 +25,19 @@ def tokenizer():
 def test_words_one_by_one(tokenizer):
     codec = B.Codec(PATH)
     for text in texts(1, 300, 40):
-        ids, decoded = codec.encode_words(text)
+        ids = np.frombuffer(codec.encode_words(text), np.int32)
         want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert list(memoryview(ids).cast("i")) == want
-        assert decoded == tokenizer.decode(want, skip_special_tokens=False)
+        assert ids.tolist() == want
+        assert codec.decoded(ids) == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_forgotten_words_are_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(B, "MEMO_WORDS", 12)
+    codec = B.Codec(PATH)
+    plain = ["THE Cat", "don't <|STARTOFTEXT|> X", "A\x1cB C", "Don'T <|endoftext|>STOP", "ÀB Cd"]
+    for text in (texts(5, 60, 12) + plain) * 2:
+        assert np.frombuffer(codec.encode_words(text), np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(codec.memo) + len(codec.older) < 60
 
 
 def test_tree_concatenation(tokenizer):
