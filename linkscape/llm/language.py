@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from linkscape.llm.common import cut, table
 #: Probability kept for a character that no piece covers, and weight of the uniform share of every piece.
 FLOOR = 1e-7
 SMOOTH = 0.5
-#: Words are scored in runs of so many characters; a longer stretch without a space is several.
-LONGEST = 64
-#: Sums over runs of so many characters stay far above the least double (FLOOR ** 40 is 1e-280); longer runs are summed in logs.
+#: Sums over words of so many characters stay far above the least double (FLOOR ** 40 is 1e-280); longer ones are scaled on the way, or summed in logs.
 PLAIN = 40
+#: Characters after which a long word's sums are scaled again.
+STRIDE = 16
 #: Words remembered in a task, and texts whose words are learned together.
 MEMO_WORDS = 300_000
 PART = 64
@@ -46,7 +47,7 @@ def pieces(path: str) -> list[str]:
 
 
 def split_words(text: str) -> list[str]:
-    return [w[i : i + LONGEST] for w in WORD.findall(text.lower()) for i in range(0, len(w), LONGEST)]
+    return WORD.findall(text.lower())
 
 
 class Model:
@@ -70,21 +71,11 @@ class Scorer:
         self.table = np.zeros((len(model.table) + 1, len(model.languages)))  # row 0: no piece
         for p, k in self.place.items():
             self.table[k] = model.table[p]
-        with np.errstate(divide="ignore"):
-            self.log_table = np.log(self.table)
         self.logs = np.zeros((0, len(model.languages)))
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word (all of one length), a column a language: the sum over all segmentations."""
+        """Log probability of each word (all of one length, PLAIN at most), a column a language: the sum over all segmentations."""
         n, longest, get = len(words[0]), self.model.longest, self.place.get
-        if n > PLAIN:
-            logs = [np.zeros((len(words), len(self.model.languages)))]
-            for j in range(1, n + 1):
-                total = logs[j - 1] + math.log(FLOOR)
-                for i in range(max(0, j - longest), j):
-                    total = np.logaddexp(total, logs[i] + self.log_table[[get(w[i:j], 0) for w in words]])
-                logs.append(total)
-            return logs[n]
         alpha = [np.ones((len(words), len(self.model.languages)))]
         for j in range(1, n + 1):
             total = alpha[j - 1] * FLOOR
@@ -93,10 +84,29 @@ class Scorer:
             alpha.append(total)
         return np.log(alpha[n])
 
+    def forward_long(self, word: str) -> np.ndarray:
+        """The same for one word of any length: the last sums are kept, divided by the latest of them every STRIDE characters, and the logs of the divisors add up."""
+        longest, get = self.model.longest, self.place.get
+        width = len(self.model.languages)
+        scale, last = np.zeros(width), deque([np.ones(width)], maxlen=longest)
+        for j in range(1, len(word) + 1):
+            total = last[-1] * FLOOR
+            for back in range(1, len(last) + 1):
+                row = get(word[j - back : j])
+                if row is not None:
+                    total = total + last[-back] * self.table[row]
+            last.append(total)
+            if j % STRIDE == 0:
+                scale += np.log(total)
+                last = deque([x / total for x in last], maxlen=longest)
+        return scale + np.log(last[-1])
+
     def learn(self, words: list[str]) -> None:
-        new = sorted({w for w in words if w not in self.rows}, key=lambda w: (len(w), w))
+        """Remember these words, but for long ones."""
+        short = {w for w in words if len(w) <= PLAIN}
+        new = sorted({w for w in short if w not in self.rows}, key=lambda w: (len(w), w))
         if len(self.rows) + len(new) > MEMO_WORDS:
-            self.rows, self.logs, new = {}, self.logs[:0], sorted(set(words), key=lambda w: (len(w), w))
+            self.rows, self.logs, new = {}, self.logs[:0], sorted(short, key=lambda w: (len(w), w))
         found = [self.forward(list(g)) for _, g in itertools.groupby(new, key=len)]
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
         self.logs = np.concatenate([self.logs, *found])
@@ -104,7 +114,8 @@ class Scorer:
     def total(self, words: list[str]) -> np.ndarray:
         """Sum of the words' log probabilities, a value a language."""
         rows = self.rows
-        return self.logs[[rows[w] for w in words]].sum(axis=0)
+        known = self.logs[[rows[w] for w in words if len(w) <= PLAIN]].sum(axis=0)
+        return sum((self.forward_long(w) for w in words if len(w) > PLAIN), known)
 
 
 def _log_sum(logs: list[float]) -> float:

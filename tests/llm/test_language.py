@@ -60,12 +60,64 @@ def test_long_runs_outside_all_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_logs_agree_with_plain_sums(monkeypatch):
-    table = {p: (0.01 * (k + 1), 0.3 / (k + 1)) for k, p in enumerate(["a", "b", "ab", "ba", "aba"])}
-    model, word = L.Model(["x", "y"], table), "abaabcab"
-    plain = L.Scorer(model).forward([word]), [L._shares(model.cuts(word), table, k) for k in range(2)]
+TABLE = {p: (0.01 * (k + 1), 0.3 / (k + 1)) for k, p in enumerate(["a", "b", "ab", "ba", "aba"])}
+
+
+def test_scaled_sums_and_logs_agree_with_plain_sums(monkeypatch):
+    model, word = L.Model(["x", "y"], TABLE), "abaabcababbaacccccccccccabaabcab"
+    plain = L.Scorer(model).forward([word])[0], [L._shares(model.cuts(word), TABLE, k) for k in range(2)]
+    monkeypatch.setattr(L, "STRIDE", 3)
+    assert np.allclose(L.Scorer(model).forward_long(word), plain[0], rtol=1e-12)
     monkeypatch.setattr(L, "PLAIN", 0)
-    assert np.allclose(L.Scorer(model).forward([word]), plain[0], rtol=1e-12)
     for k in range(2):
-        logs = L._shares(model.cuts(word), table, k)
+        logs = L._shares(model.cuts(word), TABLE, k)
         assert [p for p, _ in logs] == [p for p, _ in plain[1][k]] and np.allclose([x for _, x in logs], [x for _, x in plain[1][k]], rtol=1e-9)
+
+
+def test_very_long_words_are_one_word():
+    model = L.Model(["x", "y"], TABLE)
+    scorer = L.Scorer(model)
+    for word in ("\u12c8" * 100_000, "ab" * 50_000):
+        scorer.learn([word])
+        assert np.isfinite(scorer.total([word])).all() and not scorer.rows
+    # a word without any piece has one segmentation
+    assert np.allclose(scorer.total(["\u12c8" * 100_000]), 100_000 * math.log(L.FLOOR))
+    assert np.isfinite(sum(x for _, x in L._shares(model.cuts("ab" * 5_000), TABLE, 0)))
+
+
+def segmentations(word, table, k):
+    """All ways to cut ``word``, as (pieces, probability); a character that is no piece's use has FLOOR."""
+    if not word:
+        yield [], 1.0
+    for j in range(1, len(word) + 1):
+        for head, weight in ([(word[:j], table[word[:j]][k])] if word[:j] in table else []) + ([(None, L.FLOOR)] if j == 1 else []):
+            for rest, p in segmentations(word[j:], table, k):
+                yield [head, *rest], weight * p
+
+
+def test_training_and_prediction_against_enumeration(spark):
+    vocabulary = ["a", "b", "c", "ab", "bc", "abc", "cab"]
+    rows = [(1, "abc cab abab", "x"), (2, "cc abc bbb", "x"), (3, "ba ba cb d", "y"), (4, "bcbc \u12c8a", "y"), (5, None, "x"), (6, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, vocabulary, rounds=2)
+    languages = ["x", "y"]
+    table = {p: (1 / len(vocabulary),) * 2 for p in vocabulary}
+    for _ in range(2):
+        weight = {p: [L.SMOOTH * 0.01] * 2 for p in vocabulary}
+        for _, text, lang in rows:
+            for word in (text or "").split() if lang else []:
+                k = languages.index(lang)
+                ways = list(segmentations(word, table, k))
+                total = sum(p for _, p in ways)
+                for found, p in ways:
+                    for piece in filter(None, found):
+                        weight[piece][k] += p / total
+        totals = [sum(w[k] for w in weight.values()) for k in range(2)]
+        table = {p: tuple(x / t for x, t in zip(w, totals)) for p, w in weight.items()}
+    assert model.languages == languages and all(np.allclose(model.table[p], table[p], rtol=1e-6) for p in vocabulary)
+    asked = [(1, "abc ba"), (2, "bcb"), (3, "cab c d")]
+    got = {r.doc_id: r for r in L.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        logs = [sum(math.log(sum(p for _, p in segmentations(w, table, k))) for w in text.split()) for k in range(2)]
+        assert got[i].lang_pred == languages[int(np.argmax(logs))]
+        assert math.isclose(got[i].score, 1 / sum(math.exp(x - max(logs)) for x in logs), rel_tol=1e-6)
