@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscape.llm.common import table
+from linkscape.llm.common import cut, table
 
 BLOCK = 1024
 _loaded: dict = {}
@@ -54,7 +54,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
     An empty table gives an empty histogram.
     """
-    own = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    own = cut(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))  # used twice, encoded once
+    own = own.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = own.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     above = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
