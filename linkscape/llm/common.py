@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkscape.storage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; any path that Spark's readers open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests, one machine) a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later stages start from files every executor sees, so a lost executor costs only its own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/linkscape-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def rename_apart(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns, in that order, whatever else the table carries."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
-
-
-def same(a: Column, b: Column) -> Column:
-    """Equality under which null equals null."""
-    return a.eqNullSafe(b)
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add, none of which ``df`` has: underscores are put before those it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

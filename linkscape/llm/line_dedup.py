@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkscape.llm.common import cut, table
+from linkscape.llm.common import apart, cut, table
 
 DOC = ["doc_id", "text_key"]
 
@@ -90,8 +90,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     return gone.groupBy(*DOC).agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
 
 
-def line_dedup(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
-    """All columns of ``docs`` with ``text`` freed of later copies, and ``n_lines``, ``n_removed`` (columns of these names are replaced).
+def line_dedup(docs: DataFrame, *, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of ``docs`` with ``text`` freed of later copies, and the two named by ``counts``: lines before and lines removed (columns of these names are replaced).
 
     A line goes if it lies in a run of lines, blank ones aside, of ``min_words`` words or more whose exact lines stand earlier:
     in a document of smaller ``doc_id`` (null first; then the smaller hash of the text), or further up in the same one.
@@ -99,16 +99,20 @@ def line_dedup(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
 
     * null text: stays null, no lines; empty text: one blank line, nothing removed;
     * repeated rows (same id and text) are one document, and each comes back with the same result;
-    * an empty table gives an empty result.
+    * an empty table gives an empty result; further columns come back as they are, whatever their names.
     """
-    gone = repeated_lines(docs, min_words=min_words).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), "line_nos")
-    rows = docs.drop("n_lines", "n_removed").withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_gone_id"]) & (rows["_key"] == gone["_gone_key"]), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    joined = joined.withColumn("_lines", lines).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")).withColumn("n_removed", F.coalesce(F.size("line_nos"), F.lit(0)).cast("long"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("line_nos"))
-    text = F.when(F.col("line_nos").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    return joined.withColumn("text", text).drop("_gone_id", "_gone_key", "_key", "_lines", "line_nos")
+    rows = docs.drop(*counts)
+    n_lines, n_removed = counts
+    gone_id, gone_key, numbers, key, lines = apart(rows, "gone_id", "gone_key", "line_nos", "key", "lines")
+    gone = repeated_lines(docs, min_words=min_words).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key), F.col("line_nos").alias(numbers))
+    text = F.col("text").cast("string")
+    rows = rows.withColumn(key, F.xxhash64(text))
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone[gone_id]) & (rows[key] == gone[gone_key]), "left")
+    joined = joined.withColumn(lines, F.split(text, "\n", -1))
+    joined = joined.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn(n_removed, F.coalesce(F.size(numbers), F.lit(0)).cast("long"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
+    shorter = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(shorter)).drop(gone_id, gone_key, key, lines, numbers)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,12 @@ def test_edge_cases(spark):
     line = " ".join("abcdefghij")
     assert run(spark, [], 5) == []
     assert run(spark, [(None, line), (1, line), (1, line), (2, "x\n" + line)], 5) == sorted([(None, 1, 0, line), (1, 1, 1, ""), (1, 1, 1, ""), (2, 2, 1, "x")], key=str)
+
+
+def test_clashing_names(spark):
+    line = " ".join("abcdefghij")
+    names = ["line_nos", "_key", "key", "_lines", "LINES", "text_key", "gone_id", "seq", "rank_0"]
+    df = spark.createDataFrame([(1, line, *range(9)), (2, "y\n" + line, *range(10, 19))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = D.line_dedup(df, min_words=5)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, line, *range(9), 1, 0), (2, "y", *range(10, 19), 2, 1)]
