@@ -2,7 +2,7 @@
 
 The method is a prefix-tree join.  Every set is kept in one global order (ascending
 64-bit shingle hash).  Candidate shards come from ordered segments of the sets, and in
-each shard the sets are stored in a trie and every set walks it: a node's overlap is
+each shard the sets, in one order of their own (frequent shingles first, so that paths are shared), are stored in a trie and every set walks it: a node's overlap is
 computed once for all sets below it, and a subtree is left as soon as the overlap so far
 plus the longest possible rest cannot reach the threshold.
 
@@ -41,8 +41,6 @@ from pyspark.sql import types as T
 from linkscape.llm.common import components, cut, table
 from linkscape.llm.shingles import mix, shingle_sets
 
-#: Ids of representatives up to this number are broadcast to filter the second reading of the texts (8 bytes each); beyond, a shuffled join does it.
-BROADCAST_IDS = 1_000_000
 #: Texts are shingled in steps of so many bytes.
 TEXT_STEP = 1 << 20
 
@@ -297,8 +295,8 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 4, percent: int = 85, sh
     blocks = pairs.groupBy("hub").agg(F.sum("n_shingles").alias("size"), F.count("*").alias("members")).where("members > 1").select("hub", F.ceil(F.col("size") / shard_shingles).cast("int").alias("n_blocks"))
     placed = pairs.join(blocks, "hub").select("rep", "hub", "n_blocks", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"))
     placed = cut(placed.groupBy("rep").agg(F.collect_list(F.struct("hub", "n_blocks", "block")).alias("shards")))
-    few = placed.count() <= BROADCAST_IDS
-    picked = base.withColumnRenamed("doc_id", "rep").join(F.broadcast(placed) if few else placed, "rep")
+    # a file by now, so Spark knows its size: broadcast below spark.sql.autoBroadcastJoinThreshold, else shuffled with the texts
+    picked = base.withColumnRenamed("doc_id", "rep").join(placed, "rep")
     packed = picked.select("rep", "shards", "text").mapInArrow(_packed, T.StructType([T.StructField("rep", kind), placed.schema["shards"], T.StructField("packed", T.BinaryType())]))
     spread = packed.select("rep", "packed", F.explode("shards").alias("s")).select("rep", "packed", "s.hub", "s.n_blocks", "s.block")
     spread = spread.select(
