@@ -1,4 +1,9 @@
-"""From raw documents to token ids in five stages, each over all that its predecessor kept."""
+"""From raw documents to token ids in five stages, each over all that its predecessor kept.
+
+Null ids are ids like any other, and rows that share an id are judged each by its own text; repeated rows are dropped by the
+third stage.  Null and empty texts have no letter and go in the first.  Columns beyond ``doc_id`` and ``text`` pass through the
+stages unread (``lang`` trains the first, ``n_chars`` follows the second), whatever their names.  Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscape.llm import bpe, decontamination, language, line_dedup, ngram_join
-from linkscape.llm.common import cut, table
+from linkscape.llm.common import apart, cut, table
 
 #: Least posterior of a predicted language.
 LANGUAGE_SCORE = 0.5
@@ -22,8 +27,9 @@ def _text_key() -> Column:
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows whose ``doc_id`` (null equals null) and text are not among the rejected ``doc_id, text_key``; the short side is what is rejected."""
-    gone = rejected.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (_text_key() == gone["_key"]), "left_anti")
+    gone_id, gone_key = apart(docs, "gone_id", "gone_key")
+    gone = rejected.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[gone_id]) & (_text_key() == gone[gone_key]), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +42,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more go from the texts (``n_chars`` follows); a document of which nothing is left goes."""
-    found = line_dedup.line_dedup(docs, min_words=50)
-    kept = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Later copies of line runs of 50 words or more go from the texts (``n_chars`` follows); a document of which nothing is left goes.
+
+    Rows of the same id and text are one document and keep the same lines; null ids come before all others; other columns stay as they are.
+    """
+    n_lines, n_removed = apart(docs, "n_lines", "n_removed")
+    found = line_dedup.line_dedup(docs, min_words=50, counts=(n_lines, n_removed))
+    kept = found.where((F.col(n_removed) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
@@ -50,18 +60,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows with a null or shared ``doc_id`` are documents of their own, null ids after all others and one id's texts in
     the order of their keys; of rows with the same id and text one stays.
     """
-    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+    gone_id, row_id, key, number = apart(docs, "gone_id", "row_id", "row_key", "row_number")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").isEmpty():
         found = ngram_join.ngram_jaccard_join(docs, words=4, percent=85)
-        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+        return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
     # numbers stand for the ids: in the order of ids and keys, fixed by writing them
-    keys = docs.select("doc_id", _text_key().alias("_key")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_key")
-    keys = cut(keys.withColumn("_row", F.monotonically_increasing_id())).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (_text_key() == keys["_key"])).select("_row", *[docs[c] for c in docs.columns])
-    rows = cut(rows.dropDuplicates(["_row"]))
-    found = ngram_join.ngram_jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), words=4, percent=85)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    keys = docs.select(F.col("doc_id").alias(row_id), _text_key().alias(key)).distinct().orderBy(F.col(row_id).asc_nulls_last(), key)
+    keys = cut(keys.withColumn(number, F.monotonically_increasing_id()))
+    rows = docs.join(keys, docs["doc_id"].eqNullSafe(keys[row_id]) & (_text_key() == keys[key])).select(number, *[docs[c] for c in docs.columns])
+    rows = cut(rows.dropDuplicates([number]))
+    found = ngram_join.ngram_jaccard_join(rows.select(F.col(number).alias("doc_id"), "text"), words=4, percent=85)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def unseen_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
