@@ -85,3 +85,15 @@ def test_null_and_shared_ids_are_judged_by_row(spark, tmp_path):
     assert sum(i == 9 for i, _ in got) == 1  # near copies under one id
     assert {(i, t) for i, t, _ in labelled} <= set(got)
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_clashing_names_pass_through(spark, tmp_path):
+    names = ["n_lines", "n_removed", "gone_id", "gone_key", "row_id", "row_key", "row_number", "component_id", "text_key"]
+    r = random.Random(3)
+    texts = [" ".join(r.choices(WORDS["en"], k=60)) for _ in range(3)]
+    rows = [(k, t, "en", None, None, *range(9)) for k, t in enumerate([texts[0], texts[0], texts[1], texts[2] + "\n" + texts[1]])] * 2
+    docs = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"{n} int" for n in names))
+    folder = write(spark, tmp_path, [], [("q1", "ab")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns and all(tuple(x)[5:] == tuple(range(9)) for x in got.collect()), name
