@@ -1,19 +1,24 @@
 """Best paths and what sums over them.
 
 The closure is a fixpoint of joins: only pairs that became better in a round go on, and each round
-takes the best way to each pair by a partial maximum before its shuffle.
+takes the best way to each pair by a partial maximum before its shuffle.  What a round found is written once and
+never rewritten; the pieces are merged when there are many of them, and at the end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
-from linkscape.storage import cut
+from linkscape.storage import cut, cut_counted
 
 MAX_ROUNDS = 100_000
+#: Rounds whose finds are kept apart before they are merged.
+PIECES = 6
 
 
 def best_path_closure(arcs: DataFrame, sources: DataFrame, *, scope: tuple[str, ...] = ("case_id",), min_probability: float | None = None, max_hops: int | None = None) -> DataFrame:
@@ -22,23 +27,31 @@ def best_path_closure(arcs: DataFrame, sources: DataFrame, *, scope: tuple[str,
     ``sources``: ``scope..., vertex_id``.  With ``min_probability`` or ``max_hops`` set, weaker or longer paths are left out, and sums are lower bounds.
     """
     keys = [*scope, "s", "t"]
-    start = sources.select(*scope, F.col("vertex_id").alias("s"), F.col("vertex_id").alias("t"), F.lit(1.0).alias("p")).distinct()
-    steps = arcs.where("probability > 0 and src <> dst").groupBy(*scope, F.col("src").alias("t"), F.col("dst").alias("to")).agg(F.max("probability").alias("q"))
-    best = frontier = cut(start)
+    start = cut(sources.select(*scope, F.col("vertex_id").alias("s"), F.col("vertex_id").alias("t"), F.lit(1.0).alias("p")).distinct())
+    steps = cut(arcs.where("probability > 0 and src <> dst").groupBy(*scope, F.col("src").alias("t"), F.col("dst").alias("to")).agg(F.max("probability").alias("q")))
+    pieces, frontier = [start], start
     for hop in range(1, MAX_ROUNDS + 1):
-        reach = frontier.join(steps, [*scope, "t"]).groupBy(*scope, "s", F.col("to").alias("t")).agg(F.max(F.col("p") * F.col("q")).alias("p"))
+        reach = frontier.join(steps, [*scope, "t"]).select(*scope, "s", F.col("to").alias("t"), (F.col("p") * F.col("q")).alias("p"))
         if min_probability is not None:
             reach = reach.where(F.col("p") >= min_probability)
-        better = cut(reach.join(best.withColumnRenamed("p", "old"), keys, "left").where("old is null or p > old").select(*keys, "p"))
-        if better.isEmpty():
-            return best
-        best = cut(best.unionByName(better).groupBy(*keys).agg(F.max("p").alias("p")))
-        if hop == max_hops:
-            return best
-        frontier = better
+        reach = reach.groupBy(*keys).agg(F.max("p").alias("p"))
+        frontier, n = cut_counted(reach.join(merged(pieces, keys).withColumnRenamed("p", "old"), keys, "left").where("old is null or p > old").select(*keys, "p"))
+        if n:
+            pieces.append(frontier)
+        if not n or hop == max_hops:
+            return pieces[0] if len(pieces) == 1 else cut(merged(pieces, keys))
+        if len(pieces) == PIECES:
+            pieces = [cut(merged(pieces, keys))]
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
+def merged(pieces: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The best of each pair over all pieces."""
+    if len(pieces) == 1:
+        return pieces[0]
+    return reduce(DataFrame.unionByName, pieces).groupBy(*keys).agg(F.max("p").alias("p"))
+
+
 def closure(land: Landscape, **options) -> DataFrame:
     """Best paths from every vertex with source quality."""
     return best_path_closure(land.arcs, R.sources(land.vertices), **options)

@@ -211,16 +211,19 @@ parts AS (
   UNION ALL SELECT option_id, source_gain * r FROM vi JOIN rho ON rho.u = vi.vertex_id)
 SELECT option_id, round(sum(part), 4) AS score FROM parts GROUP BY 1""")(lambda land: M.option_bound_scores(land, G.potentials(land), G.improved_inflow(land)).select("option_id", F.round("score", 4).alias("score")))
 
-# --- the large, sparse landscape: paths of at most two steps with a least probability
-query("ps_inflow", """WITH e AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, pow(2.0, -(1 + min(l_linenumber))) AS q FROM lineitem GROUP BY 1, 2),
-d AS (SELECT s AS a, p AS b, q FROM e UNION ALL SELECT s, s, 1.0 FROM e UNION ALL SELECT x.s, y.s, x.q * y.q FROM e x JOIN e y ON x.p = y.p WHERE x.q * y.q >= 0.0625),
-best AS (SELECT a, b, max(q) AS q FROM d GROUP BY 1, 2)
-SELECT 'ps' AS case_id, b AS t, sum(q) AS inflow FROM best WHERE q >= 0.0625 GROUP BY 1, 2""")(lambda spark, d: _ps(spark, d))
+# --- the large, sparse landscape: from every tenth supplier to everything, all paths; eight rounds are more than any best path has steps
+_ROUNDS = ",\n".join(f"r{k} AS MATERIALIZED (SELECT s, t, max(q) AS q FROM (SELECT * FROM r{k - 1} UNION ALL SELECT r.s, a.b, r.q * a.q FROM r{k - 1} r JOIN arcs a ON a.a = r.t) GROUP BY 1, 2)" for k in range(1, 9))
 
 
+@query("ps_inflow", f"""WITH e AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, pow(2.0, -(1 + min(l_linenumber))) AS q FROM lineitem GROUP BY 1, 2),
+arcs AS (SELECT s AS a, p AS b, q FROM e UNION ALL SELECT p, s, q FROM e),
+r0 AS (SELECT DISTINCT s, s AS t, CAST(1 AS DOUBLE) AS q FROM e WHERE CAST(substr(s, 2) AS BIGINT) % 10 = 0),
+{_ROUNDS}
+SELECT 'ps' AS case_id, t, sum(q) AS inflow FROM r8 GROUP BY 1, 2""")
 def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
     land = part_supplier_landscape(spark, sf_dir)
-    return G.inflow(land, G.closure(land, min_probability=0.0625, max_hops=2))
+    asked = F.col("vertex_id").startswith("s") & (F.substring("vertex_id", 2, 20).try_cast("long") % 10 == 0)
+    return G.inflow(land.with_(vertices=land.vertices.withColumn("source_quality", F.when(asked, 1.0).otherwise(0.0))))
 
 
 # --- criterion: five cases, one for each market segment
@@ -253,9 +256,9 @@ on_nations("b8_ranking", RANKED + "SELECT option_id, cost, gain, round(gain / co
 def _fill_sql(head: str, order: str) -> str:
     """Whatever fits, in order, as a recursion over ranks."""
     head = head.replace("WITH ", "WITH RECURSIVE ", 1)
-    return head + f""", o AS (SELECT *, row_number() OVER (ORDER BY {order}) AS at FROM k),
-walk AS (SELECT CAST(0 AS BIGINT) AS at, CAST(40.0 AS DOUBLE) AS rest, CAST('' AS VARCHAR) AS option_id, false AS took
-  UNION ALL SELECT o.at, CASE WHEN o.cost <= walk.rest THEN walk.rest - o.cost ELSE walk.rest END, o.option_id, o.cost <= walk.rest FROM walk JOIN o ON o.at = walk.at + 1)
+    return head + f""", o AS (SELECT *, row_number() OVER (ORDER BY {order}) AS pos FROM k),
+walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(40.0 AS DOUBLE) AS rest, CAST('' AS VARCHAR) AS option_id, false AS took
+  UNION ALL SELECT o.pos, CASE WHEN o.cost <= walk.rest THEN walk.rest - o.cost ELSE walk.rest END, o.option_id, o.cost <= walk.rest FROM walk JOIN o ON o.pos = walk.pos + 1)
 SELECT option_id FROM walk WHERE took"""
 
 
@@ -268,14 +271,24 @@ def _method(name: str, budget: float) -> Callable[[Landscape], DataFrame]:
 
 
 on_nations("b1_static_incr", _fill_sql(RANKED, "round(gain / cost, 9) DESC, option_ord"))(_method("static_incr", BUDGET))
-on_nations("b2_greedy_incr")(_method("greedy_incr", BUDGET / 2))
-on_nations("b3_static_decr")(_method("static_decr", BUDGET))
-on_nations("b4_greedy_decr")(_method("greedy_decr", 150.0))
-on_nations("b5_worst_greedy_decr")(_method("worst_greedy_decr", 150.0))
-on_nations("b6_budget_fill", f"WITH RECURSIVE {O.landscape()}, k AS (SELECT * FROM op), o AS (SELECT *, row_number() OVER (ORDER BY cost % 5 DESC, option_ord) AS at FROM k), walk AS (SELECT CAST(0 AS BIGINT) AS at, CAST(40.0 AS DOUBLE) AS rest, CAST('' AS VARCHAR) AS option_id, false AS took UNION ALL SELECT o.at, CASE WHEN o.cost <= walk.rest THEN walk.rest - o.cost ELSE walk.rest END, o.option_id, o.cost <= walk.rest FROM walk JOIN o ON o.at = walk.at + 1) SELECT option_id FROM walk WHERE took")(
+on_nations("b2_greedy_incr")(_method("greedy_incr", BUDGET))
+# all but one each, the cheapest losses gone until 40 is kept, then what was removed ranked on top of what was kept
+LESS = f"""WITH RECURSIVE {O.landscape()}, {O.scenario_parts("SELECT x.option_id AS scenario_id, y.option_id FROM op x, op y WHERE x.option_id <> y.option_id UNION ALL SELECT 'all', option_id FROM op")},
+loss AS (SELECT op.option_id, option_ord, cost, round(((SELECT pc FROM sp WHERE scenario_id = 'all') - sp.pc) / cost, 9) AS ratio FROM sp JOIN op ON op.option_id = sp.scenario_id),
+kept AS (SELECT option_id, cost FROM (SELECT *, sum(cost) OVER () - sum(cost) OVER w + cost AS rest, row_number() OVER w AS pos FROM loss WINDOW w AS (ORDER BY ratio, option_ord ROWS UNBOUNDED PRECEDING)) WHERE rest <= 40 AND pos > 1),
+{O.scenario_parts("SELECT option_id AS scenario_id, option_id FROM op WHERE option_id NOT IN (SELECT option_id FROM kept) UNION ALL SELECT op.option_id, kept.option_id FROM op, kept WHERE op.option_id NOT IN (SELECT option_id FROM kept) UNION ALL SELECT 'kept', option_id FROM kept", "_2")},
+k AS (SELECT op.option_id, option_ord, cost, round((sp_2.pc - (SELECT pc FROM sp_2 WHERE scenario_id = 'kept')) / cost, 9) AS ratio FROM sp_2 JOIN op ON op.option_id = sp_2.scenario_id),
+o AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, option_ord) AS pos FROM k),
+walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(40.0 - (SELECT sum(cost) FROM kept) AS DOUBLE) AS rest, CAST('' AS VARCHAR) AS option_id, false AS took
+  UNION ALL SELECT o.pos, CASE WHEN o.cost <= walk.rest THEN walk.rest - o.cost ELSE walk.rest END, o.option_id, o.cost <= walk.rest FROM walk JOIN o ON o.pos = walk.pos + 1)
+SELECT option_id FROM kept UNION ALL SELECT option_id FROM walk WHERE took"""
+on_nations("b3_static_decr", LESS)(_method("static_decr", BUDGET))
+on_nations("b4_greedy_decr")(_method("greedy_decr", BUDGET))
+on_nations("b5_worst_greedy_decr")(_method("worst_greedy_decr", BUDGET))
+on_nations("b6_budget_fill", f"WITH RECURSIVE {O.landscape()}, k AS (SELECT * FROM op), o AS (SELECT *, row_number() OVER (ORDER BY cost % 5 DESC, option_ord) AS pos FROM k), walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(40.0 AS DOUBLE) AS rest, CAST('' AS VARCHAR) AS option_id, false AS took UNION ALL SELECT o.pos, CASE WHEN o.cost <= walk.rest THEN walk.rest - o.cost ELSE walk.rest END, o.option_id, o.cost <= walk.rest FROM walk JOIN o ON o.pos = walk.pos + 1) SELECT option_id FROM walk WHERE took")(
     lambda land: B.budget_fill(land.options, BUDGET, [F.desc(F.col("cost") % 5), F.col("option_ord")]).select("option_id")
 )
-on_nations("b7_budget_cut", N + "SELECT option_id FROM (SELECT option_id, sum(cost) OVER () - coalesce(sum(cost) OVER (ORDER BY option_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, row_number() OVER (ORDER BY option_ord) AS at FROM op) WHERE rest > 40 OR at = 1")(
+on_nations("b7_budget_cut", N + "SELECT option_id FROM (SELECT option_id, sum(cost) OVER () - coalesce(sum(cost) OVER (ORDER BY option_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, row_number() OVER (ORDER BY option_ord) AS pos FROM op) WHERE rest > 40 OR pos = 1")(
     lambda land: B.budget_cut(land.options, BUDGET, [F.col("option_ord")]).select("option_id")
 )
 on_nations("b9_evaluation", SOME + ",\n" + O.closure("f", "ax", "vx") + f", z AS (SELECT f.case_id, sum(x.a * y.b * f.p) AS pc FROM f JOIN vx x ON f.s = x.v JOIN vx y ON f.t = y.v GROUP BY 1) SELECT sp.case_id, z.pc AS base_pc, sp.pc, z.pc AS base_score, sp.pc AS score, (SELECT sum(cost) FROM op WHERE option_id IN {PICKED_SQL}) AS cost FROM sp JOIN z ON z.case_id = sp.case_id")(

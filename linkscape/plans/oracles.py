@@ -43,15 +43,20 @@ def base(by_segment: bool = False) -> str:
     return f"WITH {landscape(by_segment)},\n{closure('d', 'ax', 'vx')}"
 
 
-#: Scores with all, and of each option alone or left out; ``sc`` lists scenario_id, option_id.
+def scenario_parts(sc: str, tag: str = "") -> str:
+    """Scores of the selections that ``sc`` lists as scenario_id, option_id, in ``sp``; ``tag`` ends every name."""
+    part = f"""
+sc{tag} AS ({sc}), ids{tag} AS (SELECT DISTINCT scenario_id FROM sc{tag}),
+sv{tag} AS (
+  SELECT scenario_id, vx.case_id, v, a + coalesce((SELECT sum(source_gain) FROM vi JOIN sc{tag} USING (option_id) WHERE sc{tag}.scenario_id = ids{tag}.scenario_id AND vi.case_id = vx.case_id AND vi.vertex_id = v), 0) AS a,
+         b + coalesce((SELECT sum(target_gain) FROM vi JOIN sc{tag} USING (option_id) WHERE sc{tag}.scenario_id = ids{tag}.scenario_id AND vi.case_id = vx.case_id AND vi.vertex_id = v), 0) AS b
+  FROM vx, ids{tag}),
+sq{tag} AS (SELECT sc{tag}.scenario_id, ai.case_id, ai.arc_id, max(q) AS q FROM ai JOIN sc{tag} USING (option_id) GROUP BY ALL),
+sa{tag} AS (SELECT ids{tag}.scenario_id, ax.case_id, ax.src, ax.dst, greatest(p, coalesce(q, 0)) AS p FROM ax CROSS JOIN ids{tag} LEFT JOIN sq{tag} ON sq{tag}.scenario_id = ids{tag}.scenario_id AND sq{tag}.case_id = ax.case_id AND sq{tag}.arc_id = ax.arc_id),
+{closure(f'e{tag}', f'sa{tag}', f'sv{tag}', ('scenario_id', 'case_id'))},
+sp{tag} AS (SELECT e.scenario_id, e.case_id, sum(x.a * y.b * e.p) AS pc FROM e{tag} e JOIN sv{tag} x ON x.scenario_id = e.scenario_id AND x.case_id = e.case_id AND x.v = e.s JOIN sv{tag} y ON y.scenario_id = e.scenario_id AND y.case_id = e.case_id AND y.v = e.t GROUP BY 1, 2)"""
+    return part
+
+
 def scenarios(sc: str, by_segment: bool = False) -> str:
-    return f"""WITH {landscape(by_segment)},
-sc AS ({sc}), ids AS (SELECT DISTINCT scenario_id FROM sc),
-sv AS (
-  SELECT scenario_id, vx.case_id, v, a + coalesce((SELECT sum(source_gain) FROM vi JOIN sc USING (option_id) WHERE sc.scenario_id = ids.scenario_id AND vi.case_id = vx.case_id AND vi.vertex_id = v), 0) AS a,
-         b + coalesce((SELECT sum(target_gain) FROM vi JOIN sc USING (option_id) WHERE sc.scenario_id = ids.scenario_id AND vi.case_id = vx.case_id AND vi.vertex_id = v), 0) AS b
-  FROM vx, ids),
-sq AS (SELECT sc.scenario_id, ai.case_id, ai.arc_id, max(q) AS q FROM ai JOIN sc USING (option_id) GROUP BY ALL),
-sa AS (SELECT ids.scenario_id, ax.case_id, ax.src, ax.dst, greatest(p, coalesce(q, 0)) AS p FROM ax CROSS JOIN ids LEFT JOIN sq ON sq.scenario_id = ids.scenario_id AND sq.case_id = ax.case_id AND sq.arc_id = ax.arc_id),
-{closure('e', 'sa', 'sv', ('scenario_id', 'case_id'))},
-sp AS (SELECT e.scenario_id, e.case_id, sum(x.a * y.b * e.p) AS pc FROM e JOIN sv x ON x.scenario_id = e.scenario_id AND x.case_id = e.case_id AND x.v = e.s JOIN sv y ON y.scenario_id = e.scenario_id AND y.case_id = e.case_id AND y.v = e.t GROUP BY 1, 2)"""
+    return f"WITH {landscape(by_segment)}, {scenario_parts(sc)}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    found = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return found, seen.get["n"]
+
+
 def local_frame(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
     """A few rows of the driver as a frame, by way of Arrow (no Python worker reads them)."""
     import pyarrow as pa
