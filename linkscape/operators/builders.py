@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Land cover classes that are sent to every task.
+MOST_CLASSES = 10_000
+
 
 def _suffixed(c: str, end: str) -> Column:
     return F.concat(F.col(c), F.lit(end))
@@ -45,7 +48,9 @@ def link_adjacency(links: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def land_cover(cells: DataFrame, classes: DataFrame) -> DataFrame:
-    """Cells ``id, value`` with the row of ``classes`` (``low, high`` inclusive, and any values) that their value lies in; classes are few and must not overlap."""
+    """Cells ``id, value`` with the row of ``classes`` (``low, high`` inclusive, and any values) that their value lies in; classes must not overlap, and more than MOST_CLASSES are an error, as every task gets them all."""
+    if classes.count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     return cells.join(F.broadcast(classes), (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).drop("low", "high")
 
 

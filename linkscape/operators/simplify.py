@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
-from linkscape.storage import cut
+from linkscape.storage import cut, cut_counted
 
 ROUNDS = 10_000
+#: Trimming steps before each colouring, and finds kept apart before they are merged.
+TRIMS, PIECES = 1_000, 100
 #: Step of the integer lengths, and the probability that stands for none.
 GRAIN = 1e-8
 
@@ -29,16 +33,28 @@ def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
 def strong_components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """``case_id, vertex_id, component``: strongly connected components, named by their smallest vertex.
 
-    Each round colours every vertex with the smallest one that reaches it; of each colour, what reaches its root again is a component.
+    Each round first trims: vertices without a live arc in or none out are components of their own, again and again, up to TRIMS times,
+    so that paths such as rivers go from both ends.  What is left is coloured, every vertex with the smallest one that reaches it; of each colour, what reaches its root again is a component.
     """
     left = cut(vertices.select("case_id", "vertex_id").distinct())
     links = cut(arcs.where("src <> dst").select(F.col("case_id").alias("c"), "src", "dst").distinct())
-    done = None
+    pieces: list[DataFrame] = [left.limit(0).withColumn("component", F.col("vertex_id"))]
     for _ in range(ROUNDS):
         if left.isEmpty():
-            return done if done is not None else left.withColumn("component", F.col("vertex_id"))
-        ends = left.select(F.col("case_id").alias("c"), F.col("vertex_id"))
-        live = cut(links.join(ends.withColumnRenamed("vertex_id", "src"), ["c", "src"], "left_semi").join(ends.withColumnRenamed("vertex_id", "dst"), ["c", "dst"], "left_semi").select("c", "src", "dst"))
+            return cut(reduce(DataFrame.unionByName, pieces))
+        for _ in range(TRIMS):
+            ends = left.select(F.col("case_id").alias("c"), F.col("vertex_id"))
+            live = cut(links.join(ends.withColumnRenamed("vertex_id", "src"), ["c", "src"], "left_semi").join(ends.withColumnRenamed("vertex_id", "dst"), ["c", "dst"], "left_semi").select("c", "src", "dst"))
+            inner = live.select(F.col("c").alias("case_id"), F.col("src").alias("vertex_id")).intersect(live.select(F.col("c").alias("case_id"), F.col("dst").alias("vertex_id")))
+            kept = cut(inner)
+            single = left.join(kept, ["case_id", "vertex_id"], "left_anti").withColumn("component", F.col("vertex_id"))
+            single, n = cut_counted(single.select("case_id", "vertex_id", "component"))
+            links, left = live, kept
+            if not n:
+                break
+            pieces.append(single)
+        if left.isEmpty():
+            continue
         colour = _spread(left.withColumn("label", F.col("vertex_id")), live)
         inner = live.join(colour.select(F.col("case_id").alias("c"), F.col("vertex_id").alias("src"), F.col("label").alias("x")), ["c", "src"]).join(
             colour.select(F.col("case_id").alias("c"), F.col("vertex_id").alias("dst"), F.col("label").alias("y")), ["c", "dst"]
@@ -51,8 +67,9 @@ def strong_components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
             if frontier.isEmpty():
                 break
             found = cut(found.unionByName(frontier))
-        own = found.withColumnRenamed("label", "component")
-        done = cut(own if done is None else done.unionByName(own))
+        pieces.append(found.withColumnRenamed("label", "component").select("case_id", "vertex_id", "component"))
+        if len(pieces) > PIECES:
+            pieces = [cut(reduce(DataFrame.unionByName, pieces))]
         left = cut(left.join(found, ["case_id", "vertex_id"], "left_anti"))
     raise RuntimeError("components did not settle")
 
@@ -97,35 +114,63 @@ def _length(p):
     return F.floor(-F.log(F.greatest(p, F.lit(GRAIN))) / F.log1p(F.lit(GRAIN))).cast("long")
 
 
-def _race(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``case_id, arc_id, vertex_id, wave``: who reaches each vertex first without the arc in question.
+def _race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFrame:
+    """``case_id, mu, arc_id, vertex_id, wave``: who reaches each vertex first without the arc in question, for each penalty.
 
     State is recomputed each round from the seeds and all in-neighbours, so that a wave that loses a vertex stops spreading from it. Wave 0 wins ties.
+    Paths of more than ``most_hops`` arcs are left out: around a cycle of length zero a lost wave would feed itself for ever.
     """
-    keys = ["case_id", "arc_id", "vertex_id"]
-    state = cut(seeds.groupBy(*keys).agg(F.min(F.struct("dist", "wave")).alias("s")))
-    steps = arcs.select("case_id", F.col("arc_id").alias("via"), F.col("src").alias("vertex_id"), F.col("dst").alias("to"), "base", "best")
+    keys = ["case_id", "mu", "arc_id", "vertex_id"]
+    state = cut(seeds.groupBy(*keys).agg(F.min(F.struct("dist", "wave", "hops")).alias("s")))
+    steps = cut(arcs.select("case_id", "mu", F.col("arc_id").alias("via"), F.col("src").alias("vertex_id"), F.col("dst").alias("to"), "base", "best"))
     for _ in range(ROUNDS):
-        moved = state.join(steps, ["case_id", "vertex_id"]).where("via <> arc_id")
+        moved = state.join(steps, ["case_id", "mu", "vertex_id"]).where((F.col("via") != F.col("arc_id")) & (F.col("s.hops") < most_hops))
         length = F.when(F.col("s.wave") == 1, F.col("base")).otherwise(F.col("best"))
-        moved = moved.select("case_id", "arc_id", F.col("to").alias("vertex_id"), (F.col("s.dist") + length).alias("dist"), F.col("s.wave").alias("wave"))
-        after = cut(moved.unionByName(seeds.select(moved.columns)).groupBy(*keys).agg(F.min(F.struct("dist", "wave")).alias("s")))
-        if after.exceptAll(state).isEmpty():
+        moved = moved.select("case_id", "mu", "arc_id", F.col("to").alias("vertex_id"), (F.col("s.dist") + length).alias("dist"), F.col("s.wave").alias("wave"), (F.col("s.hops") + 1).alias("hops"))
+        after = moved.unionByName(seeds.select(moved.columns)).groupBy(*keys).agg(F.min(F.struct("dist", "wave", "hops")).alias("s"))
+        after = cut(after.join(state.withColumnRenamed("s", "old"), keys, "left").withColumn("new", F.col("old").isNull() | (F.col("old") != F.col("s"))).drop("old"))
+        # a vertex once reached stays reached, if by whom may change, so new values are all there is to look for
+        if after.where("new").isEmpty():
             return state.select(*keys, F.col("s.wave").alias("wave"))
-        state = after
+        state = after.drop("new")
     raise RuntimeError("race did not settle")
 
 
-def arc_criticality(land: Landscape) -> DataFrame:
-    """``case_id, arc_id, t, kind``: ``strong`` if the arc wins the race from its tail to target t in every scenario of improvements, ``useless`` if it never does."""
-    best = R.fully_improved_arcs(land).select("case_id", "arc_id", F.col("probability").alias("p1"))
-    arcs = cut(land.arcs.join(best, ["case_id", "arc_id"]).select("case_id", "arc_id", "src", "dst", _length(F.col("probability")).alias("base"), _length(F.col("p1")).alias("best")))
-    seed = lambda v, dist, wave: arcs.select("case_id", "arc_id", F.col(v).alias("vertex_id"), dist.cast("long").alias("dist"), F.lit(wave).alias("wave"))
-    strong = _race(arcs, seed("dst", F.col("base"), 1).unionByName(seed("src", F.lit(0), 0)))
-    useless = _race(arcs, seed("src", F.lit(0), 1).unionByName(seed("dst", F.col("best"), 0)))
+def _penalties(land: Landscape, raised: DataFrame, n: int) -> DataFrame:
+    """``case_id, mu``: 0, and ``n`` + 1 numbers in geometric steps from the least to the most that a unit of cost can be worth in length."""
+    worth = raised.where("share > 0 and gained > 0").groupBy("case_id").agg(F.min(1 / F.col("share")).alias("least"), F.max(F.col("gained") / F.col("share")).alias("most"))
+    series = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.col("least") * F.pow(F.greatest(F.col("most") / F.col("least"), F.lit(1.0)), k / n))
+    none = land.vertices.select("case_id").distinct().withColumn("mu", F.lit(0.0))
+    return none.unionByName(worth.select("case_id", F.explode(series).alias("mu"))).distinct()
+
+
+def arc_criticality(land: Landscape, budget: float | None = None, *, n_penalties: int = 10) -> DataFrame:
+    """``case_id, arc_id, t, kind``: ``strong`` if the arc wins the race from its tail to target t in every scenario of improvements, ``useless`` if it never does.
+
+    Without a budget the scenarios are all selections.  With one they are those that cost at most ``budget``, which makes more arcs critical:
+    for penalties mu, improving an arc costs mu times the option's cost, shared by its arcs, in length, so that a path's length less mu * budget is at most what it
+    is under any selection within the budget; the wave that must win starts mu * budget late.  A win under any penalty counts.
+    """
+    best = R.arcs_by_option(land).join(land.options.select("option_id", "cost"), "option_id")
+    arcs_of = best.groupBy("case_id", "option_id").agg(F.count_distinct("arc_id").alias("n"))
+    base = _length(F.col("probability"))
+    raised = best.join(arcs_of, ["case_id", "option_id"]).select("case_id", "arc_id", (F.col("cost") / F.col("n")).alias("share"), _length(F.col("improved_probability")).alias("improved"), (base - _length(F.col("improved_probability"))).alias("gained"))
+    raised = cut(raised)
+    mus = cut(_penalties(land, raised, n_penalties)) if budget is not None else land.vertices.select("case_id").distinct().withColumn("mu", F.lit(0.0))
+    late = F.floor(F.col("mu") * float(budget or 0.0)).cast("long")
+    shortest = raised.join(mus, "case_id").groupBy("case_id", "mu", "arc_id").agg(F.min(F.col("improved") + F.floor(F.col("mu") * F.col("share")).cast("long")).alias("improved"))
+    arcs = land.arcs.select("case_id", "arc_id", "src", "dst", base.alias("base")).join(mus, "case_id").join(shortest, ["case_id", "mu", "arc_id"], "left")
+    arcs = cut(arcs.select("case_id", "mu", "arc_id", "src", "dst", "base", F.least("base", F.coalesce("improved", "base")).alias("best"), late.alias("late")))
+    most_hops = land.vertices.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
+
+    def seed(v: str, dist, wave: int) -> DataFrame:
+        return arcs.select("case_id", "mu", "arc_id", F.col(v).alias("vertex_id"), dist.cast("long").alias("dist"), F.lit(wave).alias("wave"), F.lit(0).alias("hops"))
+
+    strong = _race(arcs, seed("dst", F.col("base") + F.col("late"), 1).unionByName(seed("src", F.lit(0), 0)), most_hops)
+    useless = _race(arcs, seed("src", F.col("late"), 1).unionByName(seed("dst", F.col("best"), 0)), most_hops)
     targets = land.vertices.where("target_quality > 0").select("case_id", "vertex_id").unionByName(land.vertex_improvements.where("target_gain > 0").select("case_id", "vertex_id")).distinct()
     won = strong.where("wave = 1").withColumn("kind", F.lit("strong")).unionByName(useless.where("wave = 1").withColumn("kind", F.lit("useless")))
-    return won.join(targets, ["case_id", "vertex_id"], "left_semi").select("case_id", "arc_id", F.col("vertex_id").alias("t"), "kind")
+    return won.join(targets, ["case_id", "vertex_id"], "left_semi").select("case_id", "arc_id", F.col("vertex_id").alias("t"), "kind").distinct()
 
 
 def prune_for_targets(land: Landscape, critical: DataFrame, targets: DataFrame) -> DataFrame:

@@ -176,6 +176,7 @@ lx AS (SELECT case_id, src, dst, CASE WHEN p = 0.5 THEN 1.0 ELSE p END AS p FROM
 query("g8_lossless_components", SCC + "SELECT x.case_id, x.s AS vertex_id, min(x.t) AS component FROM r x JOIN r y ON x.s = y.t AND x.t = y.s GROUP BY 1, 2")(lambda spark, d: M.lossless_components(_lossless(spark, d)))
 query("g8_contracted_pc", f"WITH {O.landscape()}, lx AS (SELECT case_id, src, dst, CASE WHEN p = 0.5 THEN 1.0 ELSE p END AS p FROM ax), {O.closure('d', 'lx', 'vx')} SELECT d.case_id, sum(x.a * y.b * d.p) AS pc {JOINED} GROUP BY 1")(lambda spark, d: G.pc(M.contract_lossless(_lossless(spark, d))))
 on_nations("g11_arc_criticality")(M.arc_criticality)
+on_nations("g12_budgeted_criticality")(lambda land: M.arc_criticality(land, BUDGET))
 
 
 def _pruned_inflow(land: Landscape, contract: bool) -> DataFrame:
@@ -338,13 +339,22 @@ on_cells("l7_distance_decay", ", arcs AS (SELECT a || '>' || b AS arc_id, a AS s
     lambda c, k: L.distance_decay(k.select(F.concat_ws(">", "a", "b").alias("arc_id"), F.col("a").alias("src"), F.col("b").alias("dst"), (F.length("a") % 2 == 0).alias("blocked")), c.select(F.col("id").alias("vertex_id"), F.col("value").alias("length"))).select("arc_id", "src", "dst", F.round("probability", 9).alias("probability"), F.round("improved_probability", 9).alias("improved_probability"))
 )
 on_cells("l8_neighbour_max", ", n AS (SELECT p AS id, max(flag) AS f FROM (SELECT a AS p, b AS q FROM links UNION ALL SELECT b, a FROM links) JOIN cells ON cells.id = q GROUP BY 1) SELECT id, greatest(flag, coalesce(f, flag)) AS flag FROM cells LEFT JOIN n USING (id)")(lambda c, k: L.neighbour_max(c, k, "flag"))
-on_cells("l10_options_from_cells", "SELECT option_id, sum(value) AS cost FROM cells WHERE option_id IS NOT NULL GROUP BY 1")(
-    lambda c, _: L.options_from_cells(c.withColumns({"cost": F.col("value"), "gain": F.col("quality"), "improved_probability": F.col("probability")}))[0]
-)
+
+
+def _options_of(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return L.options_from_cells(cells.withColumns({"cost": F.col("value"), "gain": F.col("quality"), "improved_probability": F.col("probability")}))
+
+
+on_cells("l10_options_from_cells", "SELECT option_id, sum(value) AS cost FROM cells WHERE option_id IS NOT NULL GROUP BY 1")(lambda c, _: _options_of(c)[0])
+on_cells("l10_vertex_gains", "SELECT id AS vertex_id, option_id, quality AS source_gain, quality AS target_gain FROM cells WHERE option_id IS NOT NULL AND quality > 0")(lambda c, _: _options_of(c)[1])
+on_cells("l10_arc_improvements", "SELECT CASE WHEN e = '_in' THEN id || '_in>' || id ELSE id || '>' || id || '_out' END AS arc_id, option_id, sqrt(probability) AS improved_probability FROM cells, (VALUES ('_in'), ('_out')) t(e) WHERE option_id IS NOT NULL")(lambda c, _: _options_of(c)[2])
 on_cells("l11_in_area", "SELECT id, area1 FROM cells WHERE area1 = 1")(lambda c, _: L.in_area(c, "area1").select("id", "area1"))
 
 
-@query("l9_options_from_reference", "SELECT 'o' || user_id AS option_id, CAST(count(*) AS DOUBLE) AS cost FROM events GROUP BY 1")
-def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ref = table(spark, sf_dir, "events").select(F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("option_id"), F.col("event_id").cast("string").alias("id"))
-    return L.options_from_reference(ref, _cells(spark, sf_dir), F.col("flag") == 1)[0]
+    return L.options_from_reference(ref, _cells(spark, sf_dir), F.col("flag") == 1)
+
+
+query("l9_options_from_reference", "SELECT 'o' || user_id AS option_id, CAST(count(*) AS DOUBLE) AS cost FROM events GROUP BY 1")(lambda spark, d: _reference(spark, d)[0])
+query("l9_qualifying_cells", "SELECT 'o' || user_id AS option_id, CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 3 = 0")(lambda spark, d: _reference(spark, d)[1])

@@ -6,12 +6,13 @@ import json
 import posixpath
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscape.functions.criterion import parse
 from linkscape.landscape import SCHEMAS, Landscape
 from linkscape.operators.validation import checked
+from linkscape.storage import cut
 
 #: Logical column names of a manifest's tables and ours.
 COLUMNS = {
@@ -24,12 +25,12 @@ COLUMNS = {
 _NUMBERS = {"cost", "source_quality", "target_quality", "probability", "source_gain", "target_gain", "improved_probability"}
 
 
-def _typed(df: DataFrame, table: str, aliases: dict[str, str]) -> DataFrame:
-    """Physical columns under our names and types; one physical column may serve several; others are left out."""
+def _typed(df: DataFrame, table: str, aliases: dict[str, str], keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Physical columns under our names and types, and ``keep``; one physical column may serve several; others are left out."""
     missing = [aliases.get(k, k) for k in COLUMNS[table] if aliases.get(k, k) not in df.columns]
     if missing:
         raise ValueError(f"{table}: no column {', '.join(missing)}")
-    return df.select(*[F.col(f"`{aliases.get(k, k)}`").cast("double" if v in _NUMBERS else "string").alias(v) for k, v in COLUMNS[table].items()])
+    return df.select(*[F.col(f"`{aliases.get(k, k)}`").cast("double" if v in _NUMBERS else "string").alias(v) for k, v in COLUMNS[table].items()], *keep)
 
 
 def read_table(spark: SparkSession, table: str, spec, folder: str) -> DataFrame:
@@ -44,12 +45,15 @@ def read_table(spark: SparkSession, table: str, spec, folder: str) -> DataFrame:
     path = spec.get("csv_file") or spec["parquet_file"]
     path = path if re.match(r"^(/|\w+:)", path) else posixpath.join(folder, path)
     df = spark.read.csv(path, header=True, inferSchema=False) if "csv_file" in spec else spark.read.parquet(path)
-    if table == "options":
-        df = df.withColumn("_place", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
-    typed = _typed(df, table, spec.get("csv_columns", {}))
-    if table == "options" and "option_ord" in df.columns:
-        typed = _typed(df, table, spec.get("csv_columns", {})).join(df.select(F.col(spec.get("csv_columns", {}).get("id", "id")).cast("string").alias("option_id"), F.col("option_ord").cast("long")), "option_id")
-    return typed
+    aliases = spec.get("csv_columns", {})
+    if table != "options":
+        return _typed(df, table, aliases)
+    if "option_ord" in df.columns:
+        return _typed(df, table, aliases, (F.col("option_ord").cast("long").alias("option_ord"),))
+    # a file's blocks may be read in any order: sorted by file, block and place in the block, and numbered once
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    placed = _typed(df, table, aliases, place).orderBy("_file", "_block", "_row")
+    return cut(placed.withColumn("option_ord", F.monotonically_increasing_id()).drop("_file", "_block", "_row"))
 
 
 def read_landscape(spark: SparkSession, manifest: str) -> Landscape:

@@ -100,6 +100,12 @@ def test_files_round_trip(spark, small, tmp_path):
     chosen = spark.createDataFrame([("x", 1)], "option_id string, value int")
     S.report(small, chosen, B.evaluation(small, chosen), algorithm="m", budget=1, seconds=0).coalesce(1).write.json(f"file://{tmp_path}/r")
     assert sorted(map(tuple, S.read_selection(spark, f"file://{tmp_path}/r").collect())) == [("x", 1), ("y", 0)]
+    names = [f"o{(7 * k) % 50}" for k in range(50)]
+    (tmp_path / "ordered").mkdir()
+    for part in (0, 1):  # two files of one table, in the order of their names
+        (tmp_path / "ordered" / f"part-{part}.csv").write_text("id,cost\n" + "".join(f"{n},1\n" for n in names[25 * part : 25 * part + 25]))
+    ordered = S.read_table(spark, "options", {"csv_file": f"file://{tmp_path}/ordered"}, "")
+    assert [r.option_id for r in ordered.orderBy("option_ord").collect()] == names
     (tmp_path / "m.json").write_text(json.dumps({"options": [{"id": "o", "cost": 2}], "cases": {"k": {"vertices": [{"id": "v", "source_quality": 1, "target_quality": 1}], "arcs": []}}, "criterion": [2, "k"]}))
     inline = S.read_landscape(spark, f"file://{tmp_path}/m.json")
     assert C.score(G.pc(inline).withColumn("scenario_id", F.lit("s")), inline.criterion).first().score == 2
