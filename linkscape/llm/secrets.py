@@ -43,26 +43,46 @@ def _log_term(c: Column) -> Column:
 
 
 def entropy_extent(chars: Column, bits: Column, window: int = ENTROPY_WINDOW) -> Column:
-    """``struct(first, last, peak)`` over all windows of the list ``chars``: 1-based start of the first and end of the last window with at least ``bits`` bits a character (first 0 if none), and the highest entropy."""
+    """``struct(first, last, peak)`` over all windows of the list ``chars``: 1-based start of the first and end of the last window with at least ``bits`` bits a character (first 0 if none), and the highest entropy.
 
-    def count(start: Column, end: Column, x: Column) -> Column:
-        """How often ``x`` is among the characters from ``start`` to ``end``; ``slice`` would copy the whole list."""
-        return F.when(end >= start, F.size(F.filter(F.sequence(start, end), lambda j: F.element_at(chars, j) == x))).otherwise(F.lit(0))
+    Characters are those of candidates, ``+`` to ``z``.  Their counts are kept from one window to the next, five bits each, twelve to a number (``window`` is at most 31).
+    """
+    slots = ord("z") - ord("+") + 1
+    one = F.lit(1).cast("long")
+
+    def code(i: Column) -> Column:
+        return F.ascii(F.element_at(chars, i)) - ord("+")
+
+    def place(k: Column) -> Column:
+        return F.floor(k / 12).cast("int")
+
+    def unit(k: Column) -> Column:
+        return F.call_function("shiftleft", one, k % 12 * 5)
+
+    def held(counts: Column, k: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, place(k)), k % 12 * 5).bitwiseAND(F.lit(31)).cast("int")
 
     def step(acc: Column, i: Column) -> Column:
-        out = F.when(i > window, count(i - window, i - 1, F.get(chars, i - (window + 1)))).otherwise(F.lit(0))
-        into = count(F.greatest(i - (window - 1), F.lit(1)), i - 1, F.element_at(chars, i))
-        total = acc["total"] + F.when(i > window, _log_term(out - 1) - _log_term(out)).otherwise(F.lit(0.0)) + _log_term(into + 1) - _log_term(into)
+        into, full = code(i), i > window
+        gone = F.when(full, code(F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
+        same = gone == into  # what leaves is what enters: counts stay
+        less = F.when(full, held(acc["counts"], F.greatest(gone, F.lit(0)))).otherwise(F.lit(0))
+        more = held(acc["counts"], into)
+        moved = F.when(full, _log_term(less - 1) - _log_term(less)).otherwise(F.lit(0.0)) + _log_term(more + 1) - _log_term(more)
+        total = acc["total"] + F.when(same, F.lit(0.0)).otherwise(moved)
+        counts = F.transform(acc["counts"], lambda x, j: x + F.when(j == place(into), unit(into)).otherwise(F.lit(0)) - F.when(full & (j == place(gone)), unit(gone)).otherwise(F.lit(0)))
         here = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(-1.0))
         over = here >= bits - 1e-9
         return F.struct(
+            F.when(same, acc["counts"]).otherwise(counts).alias("counts"),
             total.alias("total"),
             F.when(over & (acc["first"] == 0), i - (window - 1)).otherwise(acc["first"]).alias("first"),
             F.when(over, i).otherwise(acc["last"]).alias("last"),
             F.greatest(acc["peak"], here).alias("peak"),
         )
 
-    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(-1.0).alias("peak"))
+    none = F.array_repeat(F.lit(0).cast("long"), -(-slots // 12))
+    zero = F.struct(none.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(-1.0).alias("peak"))
     return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step)
 
 
