@@ -1,11 +1,15 @@
 """Chat formatting by quotation linking, in DataFrame operations alone.
 
-A line's quote level is the number of ``>`` before its text.  Every line is normalised (lower case, white space
-folded) and hashed; a quoted line is linked with the latest earlier message of its conversation that has it as a line of its
-own.  The message that most lines of level one lead to, the later one in a tie, is what a message answers; one without such lines answers the turn before it.
-Quotes and the line that announces them are dropped from the text.  Links are found by one ordered pass
-over (conversation, line) rather than by pairing every quote with every message, so that a common line in a long
-conversation costs its own rows only.
+A line's quote level is the number of ``>`` before its text, and a passage is a run of lines of one level.  A passage is normalised (lower
+case, words alone, so that wrapping doesn't matter) and hashed: every SHINGLE consecutive words, and each line of fewer words, are a key.
+A key leads to the latest earlier message of the conversation that has it in its own words (level 0), and a passage links to the message that most of
+its keys lead to, the later one in a tie, if these are at least half of them.  All levels are linked, each to its own origin.
+What a message answers is where most keys of its shallowest linked level lead; one without a linked passage answers the turn before it.
+Quotes and the lines that announce them are dropped from the text, and a conversation becomes a tree of answers: each message has
+the first message of its thread and its depth below it, found by pointer doubling.
+
+Keys are led to their origins by one ordered pass over (conversation, key) rather than by pairing quotes with messages, so that a common
+passage in a long conversation costs its own rows only; conversations without a quote have no keys made.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkscape.llm.common import table
+from linkscape.llm.common import cut, table
 
 QUOTE = r"^(?:[ \t]*>)+"
 ANNOUNCES = r"(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$"
-ROLES = ("system", "user", "assistant", "tool")
+SHINGLE = 4
 
 
 def _lines(text: Column) -> Column:
@@ -29,46 +33,97 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, QUOTE, 0), r"[^>]", ""))
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, QUOTE, "")), r"\s+", " "))
+def _words(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.regexp_replace(line, QUOTE, "")), F.lit(r"(\S+)"), F.lit(1))
+
+
+def _keyed(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and one row for each distinct key ``h1, h2`` of ``lines`` (a list of lists of words), with their number ``n_keys``; rows without words go."""
+    words = df.select(*keep, "lines", F.explode_outer(F.array(F.flatten("lines"))).alias("words"))
+    pair = lambda *x: F.struct(F.xxhash64(*x, F.lit(1)).alias("h1"), F.xxhash64(*x, F.lit(2)).alias("h2"))
+    size = F.size("words")
+    starts = F.when(size >= SHINGLE, F.sequence(F.lit(0), size - SHINGLE)).otherwise(F.array().cast("array<int>"))
+    shingles = F.transform(starts, lambda i: pair(*[F.get("words", i + j) for j in range(SHINGLE)]))
+    short = F.transform(F.filter("lines", lambda x: (F.size(x) > 0) & (F.size(x) < SHINGLE)), lambda x: pair(F.array_join(x, " "), F.lit("line")))
+    keys = words.select(*keep, F.explode_outer(F.array(F.array_distinct(F.concat(shingles, short)))).alias("keys"))
+    return keys.select(*keep, F.size("keys").alias("n_keys"), F.explode_outer("keys").alias("k")).where("k is not null").select(*keep, "n_keys", "k.h1", "k.h2")
+
+
+def _passages(quoting: DataFrame) -> DataFrame:
+    """``conv_id, turn, passage, level, lines`` of messages ``conv_id, turn, text``; ``passage`` numbers those of one turn."""
+    rows = quoting.withColumn("text_key", F.xxhash64("text")).select("conv_id", "turn", "text_key", F.posexplode_outer(_lines(F.col("text"))).alias("no", "line"))
+    rows = rows.select("conv_id", "turn", "text_key", "no", _level(F.col("line")).alias("level"), _words(F.col("line")).alias("words"))
+    message = W.partitionBy("conv_id", "turn", "text_key").orderBy("no")
+    rows = rows.withColumn("starts", (F.col("level") != F.coalesce(F.lag("level").over(message), F.lit(-1))).cast("int"))
+    rows = rows.withColumn("run", F.sum("starts").over(message)).where("level > 0")
+    found = rows.groupBy("conv_id", "turn", "text_key", "run", "level").agg(F.array_sort(F.collect_list(F.struct("no", "words"))).alias("x"))
+    return found.select("conv_id", "turn", F.struct("text_key", "run").alias("passage"), "level", F.col("x.words").alias("lines"))
+
+
+def passage_links(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, passage, level, origin, votes`` of the passages that link to an earlier message of their conversation."""
+    rows = messages.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", F.col("text").cast("string").alias("text")).distinct()
+    quoting = cut(rows.where(F.col("text").rlike("(?m)" + QUOTE)))
+    talks = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    own_lines = F.filter(_lines(F.col("text")), lambda x: ~x.rlike(QUOTE) & ~x.rlike(ANNOUNCES))
+    own = _keyed(talks.select("conv_id", "turn", F.transform(own_lines, _words).alias("lines")), "conv_id", "turn")
+    quoted = _keyed(_passages(quoting), "conv_id", "turn", "passage", "level")
+    nobody = F.lit(None).cast("struct<passage: struct<text_key: long, run: long>, level: int, n_keys: int>")
+    events = own.select("conv_id", "turn", "h1", "h2", F.lit(True).alias("own"), nobody.alias("by")).unionByName(quoted.select("conv_id", "turn", "h1", "h2", F.lit(False).alias("own"), F.struct("passage", "level", "n_keys").alias("by")))
+    events = events.groupBy("conv_id", "h1", "h2", "turn").agg(F.max(F.when(F.col("own"), F.col("turn"))).alias("own"), F.collect_list("by").alias("by"))
+    before = W.partitionBy("conv_id", "h1", "h2").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    led = events.withColumn("origin", F.max("own").over(before)).where("origin is not null and size(by) > 0")
+    votes = led.select("conv_id", "turn", "origin", F.explode("by").alias("by")).groupBy("conv_id", "turn", "by", "origin").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("conv_id", "turn", "by").agg(F.max(F.struct("votes", "origin")).alias("best"))
+    return best.where("best.votes * 2 >= by.n_keys").select("conv_id", "turn", "by.passage", "by.level", "best.origin", "best.votes")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_turn, n_linked`` for messages with a quoted line that an earlier message of the conversation has as its own (level one lines)."""
-    rows = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode_outer(_lines(F.col("text").cast("string"))).alias("line")).where("line is not null")
-    rows = rows.select("conv_id", "turn", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("passage")).where("level <= 1 and passage <> ''")
-    rows = rows.select("conv_id", "turn", (F.col("level") > 0).alias("quoted"), F.xxhash64("passage", F.lit(1)).alias("h1"), F.xxhash64("passage", F.lit(2)).alias("h2"))
-    rows = rows.groupBy("conv_id", "h1", "h2", "turn").agg(F.count_if("quoted").alias("quotes"), F.max(F.when(~F.col("quoted"), F.col("turn"))).alias("own"))
-    before = W.partitionBy("conv_id", "h1", "h2").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    linked = rows.withColumn("origin", F.max("own").over(before)).where("quotes > 0 and origin is not null")
-    votes = linked.groupBy("conv_id", "turn", "origin").agg(F.sum("quotes").alias("n"))
-    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "origin")).alias("best"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked")
+    """``conv_id, turn, parent_turn, n_linked`` for messages with a linked passage."""
+    links = passage_links(messages)
+    votes = links.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("votes").alias("votes"), F.count("*").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("shallow"), "votes", "origin"))
+    return votes.groupBy("conv_id", "turn").agg(best.alias("best"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked")
+
+
+def threads(answers: DataFrame) -> DataFrame:
+    """``conv_id, turn, parent_turn, n_linked, thread_turn, depth`` from the first four: the turn without a parent above each, and how many answers lie between.
+
+    Each round doubles how far every pointer reaches, so that a conversation of n turns takes log2(n) rounds.
+    """
+    now = cut(answers.withColumn("up", F.col("parent_turn")).withColumn("thread_turn", F.coalesce("parent_turn", "turn")).withColumn("depth", F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long")))
+    while not now.where("up is not null").isEmpty():
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("thread_turn").alias("top"), F.col("depth").alias("more"))
+        now = now.join(above, ["conv_id", "up"], "left")
+        now = cut(now.select("conv_id", "turn", "parent_turn", "n_linked", F.col("next").alias("up"), F.coalesce("top", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return now.drop("up")
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
-    """One row for each input row: ``conv_id, turn, role, parent_turn, n_quoted, n_linked, deepest, text, formatted``; ordered by
-    ``conv_id, turn`` every message follows the one it answers.
+    """One row for each input row: ``conv_id, turn, role, parent_turn, thread_turn, depth, n_quoted, n_linked, deepest, text, formatted``.
 
-    ``text`` has the lines of level 0 without announcements of quotes, trailing blank lines dropped; ``formatted`` puts the role before it.
+    Ordered by ``conv_id, thread_turn, depth, parent_turn, turn`` every message follows the one it answers, answers to one message
+    stand together, and threads follow each other.  ``n_quoted`` counts quoted lines, ``n_linked`` linked passages.
+    ``text`` has the lines of level 0 without announcements of quotes, trailing white space dropped; ``formatted`` puts the role before it.
 
     * null text: treated as empty; null role: ``user``; other roles stay as they are, lower case;
-    * null ``conv_id`` or ``turn``: formatted, but answers nothing and is answered by nothing;
-    * repeated rows come back each; several messages of one turn share what they answer, and cannot answer each other; further columns are ignored.
+    * null ``conv_id`` or ``turn``: formatted, but answers nothing and is answered by nothing (null thread and depth);
+    * repeated rows come back each and count once; several messages of one turn share what they answer, and cannot answer each other;
+    * an empty table gives an empty result; further columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = messages.select("conv_id", "turn", F.lower(F.coalesce(F.col("role").cast("string"), F.lit("user"))).alias("role"), text.alias("text"))
     turns = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     turns = turns.withColumn("previous", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
-    answers = turns.join(reply_links(messages), ["conv_id", "turn"], "left").select(
-        F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.coalesce("parent_turn", "previous").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")
-    )
+    answers = turns.join(reply_links(messages), ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("parent_turn", "previous").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    answers = threads(answers).withColumnsRenamed({"conv_id": "a_conv", "turn": "a_turn"})
     joined = rows.join(answers, (rows["conv_id"] == answers["a_conv"]) & (rows["turn"] == answers["a_turn"]), "left")
     lines = _lines(F.col("text"))
     own = F.filter(lines, lambda x: ~x.rlike(QUOTE) & ~x.rlike(ANNOUNCES))
     kept = F.when(F.exists(lines, lambda x: x.rlike(QUOTE)), F.array_join(own, "\n")).otherwise(F.col("text"))
     clean = F.regexp_replace(kept, r"\s+\z", "")
     return joined.select(
-        "conv_id", "turn", "role", "parent_turn",
+        "conv_id", "turn", "role", "parent_turn", "thread_turn", "depth",
         F.size(F.filter(lines, lambda x: x.rlike(QUOTE))).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.array_max(F.transform(lines, _level)).cast("long").alias("deepest"), clean.alias("text"),
     ).withColumn("formatted", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n")))
@@ -80,28 +135,44 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH m AS (SELECT conv_id, turn, lower(coalesce(role, 'user')) AS role, coalesce(text, '') AS text FROM conversations),
-l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m),
+WITH RECURSIVE m AS (SELECT conv_id, turn, lower(coalesce(role, 'user')) AS role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT conv_id, turn, text, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT conv_id, turn, text FROM m)),
 n AS (
-  SELECT conv_id, turn, len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
-         trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '\s+', ' ', 'g'), ' ') AS passage
+  SELECT conv_id, turn, text, no, len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+         regexp_extract_all(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '\S+') AS w,
+         regexp_matches(line, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$') AS announces
   FROM l),
-own AS (SELECT DISTINCT conv_id, turn, passage FROM n WHERE level = 0 AND passage <> ''),
-hit AS (
-  SELECT q.conv_id, q.turn, max(own.turn) AS origin
-  FROM (SELECT row_number() OVER () AS id, * FROM n WHERE level = 1 AND passage <> '') q JOIN own ON own.conv_id = q.conv_id AND own.passage = q.passage AND own.turn < q.turn
-  GROUP BY q.id, q.conv_id, q.turn),
-votes AS (SELECT conv_id, turn, origin, count(*) AS n FROM hit GROUP BY ALL),
-links AS (SELECT conv_id, turn, arg_max(origin, n * 1000000 + origin) AS parent_turn, sum(n) AS n_linked FROM votes GROUP BY ALL),
-turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m)),
-c AS (
-  SELECT m.*, string_split(m.text, chr(10)) AS ls FROM m),
+u AS (
+  SELECT conv_id, turn, text, level, run, list(w ORDER BY no) AS ls
+  FROM (SELECT *, CASE WHEN level > 0 THEN no - row_number() OVER (PARTITION BY conv_id, turn, text, level ORDER BY no) ELSE 0 END AS run FROM n WHERE level > 0 OR NOT announces)
+  GROUP BY ALL),
+f AS (SELECT *, flatten(ls) AS w FROM u),
+g AS (
+  SELECT *, list_distinct(list_concat(
+      list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' ')),
+      list_transform(list_filter(ls, lambda x: len(x) > 0 AND len(x) < 4), lambda x: '> ' || array_to_string(x, ' ')))) AS ks
+  FROM f),
+k AS (SELECT conv_id, turn, text, level, run, len(ks) AS n_keys, unnest(ks) AS k FROM g),
+own AS (SELECT DISTINCT conv_id, turn, k FROM k WHERE level = 0),
+led AS (
+  SELECT q.conv_id, q.turn, q.text, q.run, q.level, q.n_keys, q.k, max(own.turn) AS origin
+  FROM k q JOIN own ON own.conv_id = q.conv_id AND own.k = q.k AND own.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+votes AS (SELECT conv_id, turn, text, run, level, n_keys, origin, count(*) AS votes FROM led GROUP BY ALL),
+linked AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn, text, run, level ORDER BY votes DESC, origin DESC) = 1 AND 2 * votes >= n_keys),
+per AS (SELECT conv_id, turn, level, origin, sum(votes) AS votes, count(*) AS n FROM linked GROUP BY ALL),
+links AS (SELECT conv_id, turn, origin AS parent_turn, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked FROM per QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, origin DESC) = 1),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+a AS (SELECT t.conv_id, t.turn, coalesce(links.parent_turn, t.previous) AS parent_turn, coalesce(links.n_linked, 0) AS n_linked FROM turns t LEFT JOIN links USING (conv_id, turn)),
+tree AS (
+  SELECT conv_id, turn, parent_turn, n_linked, turn AS thread_turn, CAST(0 AS BIGINT) AS depth FROM a WHERE parent_turn IS NULL
+  UNION ALL SELECT a.conv_id, a.turn, a.parent_turn, a.n_linked, tree.thread_turn, tree.depth + 1 FROM tree JOIN a ON a.conv_id = tree.conv_id AND a.parent_turn = tree.turn),
 d AS (
   SELECT conv_id, turn, role, ls, len(list_filter(ls, lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))) AS n_quoted,
          list_max(list_transform(ls, lambda x: len(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')))) AS deepest, text
-  FROM c)
-SELECT d.conv_id, d.turn, d.role, coalesce(links.parent_turn, turns.previous) AS parent_turn, d.n_quoted, CAST(coalesce(links.n_linked, 0) AS BIGINT) AS n_linked, d.deepest,
-       regexp_replace(CASE WHEN n_quoted > 0 THEN array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+') AND NOT regexp_matches(x, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$')), chr(10)) ELSE text END, '\s+$', '') AS text,
-       '<|' || d.role || '|>' || chr(10) || regexp_replace(CASE WHEN n_quoted > 0 THEN array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+') AND NOT regexp_matches(x, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$')), chr(10)) ELSE text END, '\s+$', '') || chr(10) AS formatted
-FROM d LEFT JOIN turns ON turns.conv_id = d.conv_id AND turns.turn = d.turn LEFT JOIN links ON links.conv_id = d.conv_id AND links.turn = d.turn
+  FROM (SELECT m.*, string_split(m.text, chr(10)) AS ls FROM m)),
+c AS (
+  SELECT *, regexp_replace(CASE WHEN n_quoted > 0 THEN array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+') AND NOT regexp_matches(x, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$')), chr(10)) ELSE text END, '\s+$', '') AS own
+  FROM d)
+SELECT c.conv_id, c.turn, c.role, tree.parent_turn, tree.thread_turn, tree.depth, c.n_quoted, CAST(coalesce(tree.n_linked, 0) AS BIGINT) AS n_linked, c.deepest, c.own AS text, '<|' || c.role || '|>' || chr(10) || c.own || chr(10) AS formatted
+FROM c LEFT JOIN tree ON tree.conv_id = c.conv_id AND tree.turn = c.turn
 """

@@ -1,3 +1,7 @@
+import random
+import re
+
+import duckdb
 import numpy as np
 
 from linkscape.llm import chat as C
@@ -21,6 +25,91 @@ def test_quotes_are_linked_and_dropped(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_chat(rows):
+    """Parents, threads and linked passages by comparing every passage with every earlier message."""
+
+    def level(line):
+        return re.match(r"(?:[ \t]*>)*", line)[0].count(">")
+
+    def keys(lines):
+        words = [w for x in lines for w in x]
+        return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} | {("line", *x) for x in lines if 0 < len(x) < 4}
+
+    def split(line):
+        return re.sub(r"^(?:[ \t]*>)+", "", line).lower().split()
+
+    out, texts = {}, {(c, t, x) for c, t, x in rows}
+    own: dict = {}
+    for c, t, x in texts:
+        own.setdefault((c, t), set()).update(keys([split(y) for y in x.split("\n") if not level(y) and not re.match(C.ANNOUNCES, y)]))
+    for c, t in {(c, t) for c, t, _ in texts}:
+        by_level: dict = {}
+        n_linked = 0
+        for x in [x for c2, t2, x in texts if (c2, t2) == (c, t)]:
+            runs: list = []
+            for y in x.split("\n"):
+                if not runs or runs[-1][0] != level(y):
+                    runs.append((level(y), []))
+                runs[-1][1].append(split(y))
+            for lv, lines in runs:
+                votes: dict = {}
+                for k in keys(lines) if lv else ():
+                    earlier = [t2 for (c2, t2), ks in own.items() if c2 == c and t2 < t and k in ks]
+                    if earlier:
+                        votes[max(earlier)] = votes.get(max(earlier), 0) + 1
+                if votes:
+                    v, o = max((v, o) for o, v in votes.items())
+                    if 2 * v >= len(keys(lines)):
+                        n_linked += 1
+                        by_level.setdefault(lv, {}).setdefault(o, 0)
+                        by_level[lv][o] += v
+        before = [t2 for c2, t2, _ in texts if c2 == c and t2 < t]
+        parent = max((v, o) for o, v in by_level[min(by_level)].items())[1] if by_level else max(before, default=None)
+        out[c, t] = (parent, n_linked)
+    done = {}
+    for (c, t), (parent, n) in out.items():
+        top, depth = t, 0
+        while out[c, top][0] is not None:
+            top, depth = out[c, top][0], depth + 1
+        done[c, t] = (parent, n, top, depth)
+    return done
+
+
+def talks(seed):
+    """Conversations whose messages quote earlier ones: whole, in part, wrapped anew, in other case, nested."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(25)] + ["Yes", "No"]
+    rows = []
+    for conv in range(6):
+        said: list = []
+        for turn in range(12):
+            lines = [" ".join(r.choices(words, k=r.choice([1, 2, 3, 6, 9]))) for _ in range(r.randint(0, 3))]
+            for _ in range(r.choice([0, 1, 1, 2]) if said else 0):
+                source = r.choice(said).split("\n")
+                a = r.randrange(len(source))
+                part = " ".join(source[a : a + r.randint(1, 3)]) if r.random() < 0.5 else source[a]
+                flat = part.replace(">", " ").split()
+                flat = flat[r.randint(0, len(flat) // 3) :]
+                width, mark = r.choice([3, 5, 50]), r.choice(["> ", ">> ", " > > ", ">"])
+                lines += (["On Monday X wrote:"] if r.random() < 0.4 else []) + [mark + " ".join(w.upper() if r.random() < 0.1 else w for w in flat[i : i + width]) for i in range(0, len(flat), width)]
+                lines += [r.choice(words) + " end"] if r.random() < 0.5 else []
+            said.append("\n".join(lines))
+            rows.append((conv, turn, said[-1]))
+    return rows + rows[5:8] + [(0, 3, "> w1 w2\n>> Yes"), (0, 40, "")]
+
+
+def test_links_against_brute_force_and_sql(spark):
+    rows = talks(3)
+    df = spark.createDataFrame([(c, t, "User", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    found = C.chat_format(df)
+    got = found.collect()
+    want = brute_chat(rows)
+    assert len(got) == len(rows) and {(x.conv_id, x.turn): (x.parent_turn, x.n_linked, x.thread_turn, x.depth) for x in got} == want
+    assert sum(n > 0 for _, n, *_ in want.values()) > 15 and len({x.level for x in C.passage_links(df).collect()}) > 1
+    conversations = df.toPandas()  # noqa: F841
+    assert sorted(map(repr, duckdb.sql(C.OP4_SQL).select(*found.columns).fetchall())) == sorted(repr(tuple(x)) for x in got)
+
+
 def tune(notes):
     t = np.arange(1000) / M.RATE
     return (np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) for n in notes]) * 9000).astype("<i2")
