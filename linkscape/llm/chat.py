@@ -87,16 +87,26 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
 
 def threads(answers: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_turn, n_linked, thread_turn, depth`` from the first four: the turn without a parent above each, and how many answers lie between.
+    """``conv_id, turn, parent_turn, n_linked, thread_turn, depth`` from ``conv_id, turn, previous, parent_turn, n_linked``: the turn without a parent above each, and how many answers lie between.
 
-    Each round doubles how far every pointer reaches, so that a conversation of n turns takes log2(n) rounds.
+    A run of turns that each answer the one before is counted by one ordered pass.  Only the heads of runs that answer something else have pointers,
+    and each round doubles how far these reach, so that n of them take log2(n) rounds.
     """
-    now = cut(answers.withColumn("up", F.col("parent_turn")).withColumn("thread_turn", F.coalesce("parent_turn", "turn")).withColumn("depth", F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long")))
-    while not now.where("up is not null").isEmpty():
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("thread_turn").alias("top"), F.col("depth").alias("more"))
-        now = now.join(above, ["conv_id", "up"], "left")
-        now = cut(now.select("conv_id", "turn", "parent_turn", "n_linked", F.col("next").alias("up"), F.coalesce("top", "thread_turn").alias("thread_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-    return now.drop("up")
+    turns = W.partitionBy("conv_id").orderBy("turn")
+    sofar = turns.rowsBetween(W.unboundedPreceding, 0)
+    rows = answers.withColumn("heads", F.col("parent_turn").isNull() | ~F.col("parent_turn").eqNullSafe(F.col("previous"))).withColumn("nth", F.row_number().over(turns))
+    rows = rows.withColumn("head", F.max(F.when(F.col("heads"), F.col("turn"))).over(sofar)).withColumn("offset", F.col("nth") - F.max(F.when(F.col("heads"), F.col("nth"))).over(sofar))
+    rows = cut(rows.select("conv_id", "turn", "parent_turn", "n_linked", "heads", "head", "offset"))
+    pointing = rows.where("heads and parent_turn is not null").select("conv_id", F.col("turn").alias("from"), F.col("parent_turn").alias("turn"))
+    now = cut(pointing.join(rows.select("conv_id", "turn", F.col("head").alias("top"), F.col("offset").alias("steps")), ["conv_id", "turn"]).select("conv_id", "from", "top", (F.col("steps") + 1).cast("long").alias("steps")))
+    moved = not now.isEmpty()
+    while moved:
+        above = now.select("conv_id", F.col("from").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"))
+        now = cut(now.join(above, ["conv_id", "top"], "left").select("conv_id", "from", F.coalesce("next", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        moved = not now.where("moved").isEmpty()
+        now = now.drop("moved")
+    joined = rows.join(now.withColumnRenamed("from", "head"), ["conv_id", "head"], "left")
+    return joined.select("conv_id", "turn", "parent_turn", "n_linked", F.coalesce("top", "head").alias("thread_turn"), (F.col("offset") + F.coalesce("steps", F.lit(0))).cast("long").alias("depth"))
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
@@ -115,7 +125,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", F.lower(F.coalesce(F.col("role").cast("string"), F.lit("user"))).alias("role"), text.alias("text"))
     turns = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     turns = turns.withColumn("previous", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
-    answers = turns.join(reply_links(messages), ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("parent_turn", "previous").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    answers = turns.join(reply_links(messages), ["conv_id", "turn"], "left").select("conv_id", "turn", "previous", F.coalesce("parent_turn", "previous").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
     answers = threads(answers).withColumnsRenamed({"conv_id": "a_conv", "turn": "a_turn"})
     joined = rows.join(answers, (rows["conv_id"] == answers["a_conv"]) & (rows["turn"] == answers["a_turn"]), "left")
     lines = _lines(F.col("text"))
