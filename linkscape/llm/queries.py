@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkscape.llm import chat, decontamination, line_dedup
+from linkscape.llm import chat, decontamination, line_dedup, ngram_join, secrets
 from linkscape.llm.bpe import op3_bpe
 from linkscape.llm.chat import op4_chat_formatting
 from linkscape.llm.decontamination import op9_benchmark_decontamination
@@ -31,5 +31,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op6_secret_scan": secrets.OP6_SQL,
+    "op8_ngram_jaccard_join": ngram_join.OP8_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
 }

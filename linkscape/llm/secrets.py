@@ -12,6 +12,7 @@ sum of c * log2(c) over the counts, S changes by two differences and the entropy
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,3 +154,44 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
         F.sha2(listed(F.filter("spans", lambda s: s["kind_no"] < 3)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), number(3).alias("n_entropy"),
     )
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _oracle() -> str:
+    """The same in DuckDB: every window's characters counted anew.  Its patterns know no look-behind, so runs without a digit are placed, too, and then left."""
+    names = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = re.sub(r"\(\?i:[^)]*\)", lambda _: names, ASSIGN, count=1).replace("'", "''")
+    patterns = (assign, ACCESS, HEX, "[A-Za-z0-9+/_=-]+")
+    split = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind_no, unnest(str_split_regex(text, '{p}')) AS gap, unnest(regexp_extract_all(text, '{p}')) AS found, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 2)) AS piece FROM d" for k, p in enumerate(patterns))
+    allowed = " OR ".join(f"regexp_matches(found, '{p}')" for p in ALLOW)
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    w = ENTROPY_WINDOW
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pieces AS (SELECT * FROM ({split}) WHERE found IS NOT NULL),
+placed AS (SELECT *, stop - length(found) AS start FROM (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, kind_no ORDER BY piece) AS stop FROM pieces)),
+candidates AS (
+  SELECT *, row_number() OVER () AS id, CASE WHEN regexp_full_match(found, '[0-9A-Fa-f]+') THEN {ENTROPY_BITS["hex"]} ELSE {ENTROPY_BITS["base64"]} END AS bits
+  FROM placed WHERE kind_no = 3 AND length(found) >= {w} AND regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND NOT ({allowed})),
+windows AS (SELECT id, i, unnest(string_split(substr(found, i, {w}), '')) AS c FROM (SELECT id, found, unnest(range(1, length(found) - {w} + 2)) AS i FROM candidates)),
+measured AS (SELECT id, i, log2({w}) - sum(n * log2(n)) / {w} AS h FROM (SELECT id, i, c, count(*) AS n FROM windows GROUP BY ALL) GROUP BY ALL),
+spans AS (
+  SELECT doc_id, kind_no, start, stop FROM placed
+  WHERE CASE WHEN kind_no = 0 THEN length(regexp_extract(found, '{assign}', 2)) >= 8 ELSE kind_no < 3 END
+  UNION ALL
+  SELECT doc_id, 3, start + min(i) - 1, start + max(i) + {w} - 1 FROM candidates JOIN measured USING (id) WHERE h >= bits - 1e-9 GROUP BY id, doc_id, start),
+named AS (SELECT *, {kinds}[kind_no + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM spans),
+found AS (
+  SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex, count(*) FILTER (kind_no = 3) AS n_entropy,
+    string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base, string_agg(span, ',' ORDER BY start, kind_no) AS spans
+  FROM named GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
+OP6_SQL = _oracle()
