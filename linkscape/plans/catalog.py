@@ -107,6 +107,18 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("k2_report")(lambda spark, d: _report(spark, d)[1])
 
+
+@query("k2_report_read_back", O.scenarios(f"SELECT 'some' AS scenario_id, option_id FROM op WHERE option_id IN {PICKED_SQL}") + ",\n" + O.closure("f", "ax", "vx") + f""",
+z AS (SELECT sum(x.a * y.b * f.p) AS pc FROM f JOIN vx x ON f.s = x.v JOIN vx y ON f.t = y.v)
+SELECT 'picked' AS algorithm, CAST(40 AS DOUBLE) AS budget, (SELECT sum(cost) FROM op WHERE option_id IN {PICKED_SQL}) AS cost, round(z.pc, 6) AS initial_score, round(sp.pc, 6) AS solution_score,
+  option_id, CAST(option_id IN {PICKED_SQL} AS INTEGER) AS value FROM op, z, sp""")
+def _report_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as a reader of its file finds it, a row for each option."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    _report(spark, sf_dir)[1].coalesce(1).write.json(path)
+    read = spark.read.schema("algorithm string, budget double, cost double, initial_score double, solution_score double, solution map<string, int>").json(path)
+    return read.select("algorithm", "budget", "cost", F.round("initial_score", 6).alias("initial_score"), F.round("solution_score", 6).alias("solution_score"), F.explode("solution").alias("option_id", "value"))
+
 # --- checks and profiles
 
 
