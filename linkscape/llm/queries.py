@@ -13,6 +13,7 @@ from linkscape.llm.media import op7_media_fingerprints
 from linkscape.llm.ngram_join import op8_ngram_jaccard_join
 from linkscape.llm.secrets import op6_secret_scan
 from linkscape.llm.token_counts import op1_token_counts
+from linkscape.llm.toxicity import op11_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_toxicity": op11_toxicity,
 }
 
 #: Oracles in DuckDB SQL, over whole tables.
