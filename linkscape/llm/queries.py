@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linkscape.llm import chat, decontamination, line_dedup, ngram_join, secrets
+from linkscape.llm.alignment import op13_tokenizer_alignment
 from linkscape.llm.bpe import op3_bpe
 from linkscape.llm.chat import op4_chat_formatting
 from linkscape.llm.decontamination import op9_benchmark_decontamination
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
     "op11_toxicity": op11_toxicity,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 #: Oracles in DuckDB SQL, over whole tables.
