@@ -14,6 +14,7 @@ Neither tokenizer has a token that holds a space after anything but white space
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -59,6 +60,7 @@ class Aligner:
                 of_bytes.setdefault(self.b_bytes[i], i)
         #: B's id of the same bytes for each id of A, or -1.
         self.same = [of_bytes.get(x, -1) for x in self.a_bytes]
+        self.a_len, self.b_len, self.same_array = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes))), np.array(self.same)
         self.separable = not any(re.search(r"\S ", x.decode(errors="replace")) for x in [*self.a_bytes, *self.b_bytes])
 
     @staticmethod
@@ -70,27 +72,12 @@ class Aligner:
     def pieces(self, text: str) -> list[str]:
         return SPLIT.split(text) if self.separable else [text]
 
-    def groups(self, pieces: list[str]) -> list[list[tuple[tuple[int, ...], tuple[int, ...]]] | None]:
-        """For each piece its groups, as ids of A and ids of B; None where a tokenizer doesn't give the bytes of a space and the piece."""
-        out = []
-        for piece, b in zip(pieces, self.b.encode(pieces, num_threads=1), strict=True):
-            whole = b" " + piece.encode()
-            a = self.a.encode_ordinary(" " + piece)
-            if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-                out.append(None)
-                continue
-            found, i, j, at_a, at_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-            while i < len(a):
-                at_a += len(self.a_bytes[a[i]])
-                i += 1
-                while at_b < at_a:
-                    at_b += len(self.b_bytes[b[j]])
-                    j += 1
-                if at_a == at_b:
-                    found.append((tuple(a[from_a:i]), tuple(b[from_b:j])))
-                    from_a, from_b = i, j
-            out.append(found)
-        return out
+    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [self.a.encode_ordinary(" " + x) for x in pieces], self.b.encode(pieces, num_threads=1)
+
+    def exact(self, piece: str, a: list[int], b: list[int]) -> bool:
+        """Whether both have the bytes of a space and the piece."""
+        return b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]) == b" " + piece.encode()
 
 
 class Part:
@@ -101,16 +88,17 @@ class Part:
 
     def __init__(self, aligner: Aligner, number: int):
         self.own, self.number, self.size = aligner, number, len(aligner.a_bytes)
-        self.memo: dict[str, tuple | None] = {}
+        self.memo: dict[str, bytes | None] = {}
         self.codes: dict[tuple, int] = {}
+        self.names = [f"{x}|{y}" for x, y in enumerate(aligner.same)]
+        self.sizes: list[tuple[int, int, int]] = []  # tokens of A and of B, and links, of each further group
+        self.ones = np.ones((self.size, 3), np.int64)
         self.slots: dict[tuple[int, int], int] = {}
         self.links: list[tuple[np.ndarray, np.ndarray]] = []  # for each further group its pairs, and how often each is linked in it
         self.counts = np.zeros(self.size + 1024, np.int64)
         self.chars = 0
 
     def _code(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        if len(a) == 1 == len(b) and self.own.same[a[0]] == b[0]:
-            return a[0]
         code = self.codes.get((a, b))
         if code is None:
             code = self.codes[a, b] = self.size + len(self.links)
@@ -118,39 +106,58 @@ class Part:
             slots, same = self.slots, self.own.same
             found = [x if same[x] == y else slots.setdefault((x, y), self.size + len(slots)) for x in ids_a.tolist() for y in ids_b.tolist()]
             self.links.append((np.array(found, np.int32), np.outer(n_a, n_b).ravel().astype(np.int32)))
+            self.names.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            self.sizes.append((len(a), len(b), len(a) * len(b)))
         return code
 
-    def _entry(self, groups) -> tuple | None:
-        if groups is None:
-            return None
-        codes = np.array([self._code(a, b) for a, b in groups], np.int32)
-        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
-        return sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), sum(len(a) * len(b) for a, b in groups), codes.tobytes(), text
+    def _grouped(self, pieces: list[str]) -> dict[str, bytes | None]:
+        """Group numbers of each piece, as 32-bit integers; None where a tokenizer doesn't give its bytes."""
+        own = self.own
+        lists_a, lists_b = own.encode(pieces)
+        whole = "".join([" " + p for p in pieces]).encode()
+        if b"".join([own.a_bytes[i] for x in lists_a for i in x]) != whole or b"".join([own.b_bytes[i] for x in lists_b for i in x]) != whole or not pieces:
+            good = [own.exact(*x) for x in zip(pieces, lists_a, lists_b, strict=True)]
+            bad = dict.fromkeys([p for p, ok in zip(pieces, good, strict=True) if not ok])
+            return {**bad, **(self._grouped([p for p, ok in zip(pieces, good, strict=True) if ok]) if any(good) else {})}
+        a, b = list(itertools.chain.from_iterable(lists_a)), list(itertools.chain.from_iterable(lists_b))
+        of_a, of_b = np.array(a), np.array(b)
+        ends_a, ends_b = own.a_len[of_a].cumsum(), own.b_len[of_b].cumsum()
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = ends_a.searchsorted(ends) + 1, ends_b.searchsorted(ends) + 1
+        from_a, from_b = np.concatenate(([0], to_a[:-1])), np.concatenate(([0], to_b[:-1]))
+        one = (to_a - from_a == 1) & (to_b - from_b == 1) & (own.same_array[of_a[from_a]] == of_b[from_b])
+        codes = of_a[from_a].astype(np.int32)
+        rest = np.flatnonzero(~one)
+        codes[rest] = [self._code(tuple(a[i:j]), tuple(b[k:m])) for i, j, k, m in zip(from_a[rest].tolist(), to_a[rest].tolist(), from_b[rest].tolist(), to_b[rest].tolist(), strict=True)]
+        last = (ends.searchsorted(ends_a[np.cumsum([len(x) for x in lists_a]) - 1]) + 1) * 4
+        flat = codes.tobytes()
+        return {p: flat[i:j] for p, i, j in zip(pieces, [0, *last[:-1].tolist()], last.tolist(), strict=True)}
 
     def add(self, texts: list[str | None]) -> list[tuple]:
         """``n_a, n_b, n_groups, n_links, sha256, codes`` of each text, which are counted."""
         split = [self.own.pieces(x) if x else [] for x in texts]
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.memo))
-        passing: dict[str, tuple | None] = {}
-        for p, groups in zip(new, self.own.groups(new), strict=True):
-            (self.memo if len(p) <= MEMO_CHARS else passing)[p] = self._entry(groups)
-        rows = []
+        memo, passing = self.memo, {}
+        new = list(dict.fromkeys([p for pieces in split for p in pieces if p not in memo]))
+        for p, codes in self._grouped(new).items():
+            (memo if len(p) <= MEMO_CHARS else passing)[p] = codes
+        if len(self.counts) < self.size + len(self.slots):
+            self.counts = np.concatenate([self.counts, np.zeros(self.size + 2 * len(self.slots) - len(self.counts), np.int64)])
+        sizes, names, links, rows = np.concatenate([self.ones, np.array(self.sizes, np.int64).reshape(-1, 3)]), self.names, self.links, []
         for pieces in split:
-            found = [self.memo[p] if p in self.memo else passing[p] for p in pieces]
+            found = [memo[p] if p in memo else passing[p] for p in pieces]
             self.chars += sum(map(len, pieces)) + len(pieces)
             if not found or None in found:
                 rows.append((0, 0, 0, 0, "", b""))
                 continue
-            codes = b"".join([x[3] for x in found])
-            distinct = np.unique(np.frombuffer(codes, np.int32))
-            own = distinct[distinct < self.size]
-            linked = np.unique(np.concatenate([own, *[self.links[k - self.size][0] for k in distinct[len(own) :].tolist()]]))
-            if len(self.counts) < self.size + len(self.slots):
-                self.counts = np.concatenate([self.counts, np.zeros(len(self.counts), np.int64)])
-                self.counts = np.concatenate([self.counts, np.zeros(max(0, self.size + len(self.slots) - len(self.counts)), np.int64)])
+            flat = b"".join(found)
+            codes = np.frombuffer(flat, np.int32)
+            distinct = np.unique(codes)
+            own = distinct[: distinct.searchsorted(self.size)]
+            linked = np.unique(np.concatenate([own, *[links[k][0] for k in (distinct[len(own) :] - self.size).tolist()]]))
             self.counts[linked] += 1
-            text = ";".join([x[4] for x in found])
-            rows.append((sum([x[0] for x in found]), sum([x[1] for x in found]), len(codes) // 4, sum([x[2] for x in found]), hashlib.sha256(text.encode()).hexdigest(), codes))
+            n_a, n_b, n_links = sizes[codes].sum(axis=0).tolist()
+            text = ";".join([names[k] for k in codes.tolist()])
+            rows.append((n_a, n_b, len(codes), n_links, hashlib.sha256(text.encode()).hexdigest(), flat))
         return rows
 
 
