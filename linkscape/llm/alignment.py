@@ -185,7 +185,7 @@ def _closing(part: Part, schema: pa.Schema):
     yield _columns(schema, len(own), kind=np.full(len(own), SAME, np.int32), part=np.full(len(own), part.number), a=own, n=part.counts[own])
 
 
-def _read(a_ranks: str, b_model: str):
+def _read(a_ranks: str, b_model: str, part_chars: int):
     def run(batches):
         aligner, part, made = Aligner.of(a_ranks, b_model), None, 0
         for batch in batches:
@@ -197,7 +197,7 @@ def _read(a_ranks: str, b_model: str):
                 rows = part.add(some.column("text").to_pylist())
                 names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes")
                 yield _columns(schema, len(some), kind=[DOC] * len(some), part=[part.number] * len(some), doc_id=some.column("doc_id"), **{n: [r[i] for r in rows] for i, n in enumerate(names)})
-                if part.chars >= PART_CHARS:
+                if part.chars >= part_chars:
                     yield from _closing(part, schema)
                     part = None
         if part is not None:
@@ -232,12 +232,12 @@ def _summed(size: int, counts: np.ndarray, most: np.ndarray):
     return run
 
 
-def read_parts(docs: DataFrame, a_ranks: str, b_model: str) -> DataFrame:
+def read_parts(docs: DataFrame, a_ranks: str, b_model: str, *, part_chars: int = PART_CHARS) -> DataFrame:
     """The written rows of all parts: documents, pairs (``part, slot, a, b, n``), vectors (``part, a, n``) and groups."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     numbers = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, pairs binary, times binary, slot int, a int, b int, n long"
     schema = T.StructType([*T._parse_datatype_string("kind int, part long").fields, rows.schema["doc_id"], *T._parse_datatype_string(numbers).fields])
-    return cut(rows.mapInArrow(_read(a_ranks, b_model), schema))
+    return cut(rows.mapInArrow(_read(a_ranks, b_model, part_chars), schema))
 
 
 def pair_counts(parts: DataFrame, a_ranks: str, b_model: str) -> DataFrame:
@@ -251,7 +251,7 @@ def _irregular(parts: DataFrame) -> DataFrame:
     return parts.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def alignment(docs: DataFrame, a_ranks: str, b_model: str) -> DataFrame:
+def alignment(docs: DataFrame, a_ranks: str, b_model: str, *, part_chars: int = PART_CHARS) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for each row of ``docs`` (``doc_id, text``).
 
     ``n_best`` counts links whose pair has the highest count of all pairs with that id of A, ``count_sum`` adds up the counts of
@@ -261,7 +261,7 @@ def alignment(docs: DataFrame, a_ranks: str, b_model: str) -> DataFrame:
     """
     own = Aligner.of(a_ranks, b_model)
     size = len(own.a_bytes)
-    parts = read_parts(docs, a_ranks, b_model)
+    parts = read_parts(docs, a_ranks, b_model, part_chars=part_chars)
     counts, most = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for r in parts.where(F.col("kind") == SAME).groupBy("a").agg(F.sum("n").alias("n")).collect():  # vocabulary-length, as is the next
         counts[r["a"]] = r["n"]

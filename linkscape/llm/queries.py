@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linkscape.llm import chat, decontamination, line_dedup, ngram_join, secrets
+from linkscape.llm import chat, decontamination, hard_negatives, line_dedup, ngram_join, secrets
 from linkscape.llm.alignment import op13_tokenizer_alignment
 from linkscape.llm.bpe import op3_bpe
 from linkscape.llm.chat import op4_chat_formatting
 from linkscape.llm.decontamination import op9_benchmark_decontamination
+from linkscape.llm.hard_negatives import op12_hard_negatives
 from linkscape.llm.language import op10_language_id
 from linkscape.llm.licenses import op5_license_scan
 from linkscape.llm.line_dedup import op2_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
     "op11_toxicity": op11_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -38,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.OP6_SQL,
     "op8_ngram_jaccard_join": ngram_join.OP8_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
