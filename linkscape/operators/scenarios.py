@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
 from linkscape.operators.closure import PIECES, best_path_closure, merged
+from linkscape.operators.witnesses import Taken
 from linkscape.storage import cut, cut_counted
 
 
@@ -97,10 +98,18 @@ def scenario_pc(land: Landscape, selections: DataFrame, paths: DataFrame | None
 
 
 def marginals(land: Landscape, taken: DataFrame, candidates: DataFrame, *, add: bool, paths: DataFrame | None = None) -> DataFrame:
-    """``option_id, case_id, pc``: the scores with each candidate added to, or taken out of, the options ``taken`` (``option_id``)."""
-    rest = taken.select("option_id").withColumnRenamed("option_id", "other")
-    each = candidates.select(F.col("option_id").alias("scenario_id"))
-    others = each.join(rest, F.lit(True) if add else F.col("scenario_id") != F.col("other"), "left")  # a row for each candidate and taken option: the batch's own size
-    picked = others.select("scenario_id", F.col("other").alias("option_id"))
-    picked = picked.unionByName(each.withColumn("option_id", F.col("scenario_id"))) if add else picked.withColumn("option_id", F.coalesce("option_id", F.lit("")))
-    return scenario_pc(land, picked.where("option_id is not null"), paths).withColumnRenamed("scenario_id", "option_id")
+    """``option_id, case_id, pc``: the scores with each candidate added to, or taken out of, the options ``taken`` (``option_id``).
+
+    ``paths`` (added candidates only): the base closure between terminals, if it is at hand.
+    """
+    if not add:
+        return Taken.of(land, taken).scores_without(candidates)
+    now = R.with_selection(land, taken.select("option_id").distinct().withColumn("value", F.lit(1)))
+    now = land.with_(vertices=cut(now.vertices), arcs=cut(now.arcs))
+    if paths is not None:  # moved on by what the taken options better, so that a candidate brings its own arcs only
+        better = better_paths(land, taken.select(F.lit("taken").alias("scenario_id"), "option_id"), paths)
+        paths = cut(merged([paths, better.select("case_id", "s", "t", "p")], ["case_id", "s", "t"]))
+    fresh = candidates.select("option_id").distinct().join(taken.select("option_id").distinct(), "option_id", "left_anti")
+    held = candidates.select("option_id").distinct().join(taken.select("option_id").distinct(), "option_id", "left_semi")
+    each = fresh.select(F.col("option_id").alias("scenario_id"), "option_id").unionByName(held.select(F.col("option_id").alias("scenario_id"), F.lit("").alias("option_id")))
+    return scenario_pc(now, each, paths).withColumnRenamed("scenario_id", "option_id")

@@ -2,7 +2,8 @@
 
 A method takes one option a step, and every step scores all its candidates in one batch; what a loop keeps on the driver is one row an option.
 Forward methods move on: the chosen option's better paths, which the batch has just worked out, are merged into the closure,
-so that the next step composes only the candidates' own arcs.
+so that the next step composes only the candidates' own arcs.  Backward methods keep, with each best path, the options it rests on and the best path without each of them
+(``witnesses``), so that a removal touches only what rested on it.
 Ties go to the option that stands first (``option_ord``); ratios are compared after rounding to 12 digits; sums of costs may exceed the budget by ``feasibility_tol``.
 """
 
@@ -21,6 +22,7 @@ from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
 from linkscape.operators.closure import merged, pc
 from linkscape.operators.scenarios import better_paths, marginals, scenario_pc, terminal_closure
+from linkscape.operators.witnesses import NONE, Taken
 from linkscape.storage import cut, local_frame
 
 #: By how much costs may exceed a budget.
@@ -33,6 +35,11 @@ def _digits(x: Column) -> Column:
     return F.when((x == 0) | x.isNull(), F.lit(0.0)).otherwise(F.round(x * scale) / scale)
 
 
+def _twelve(x: float) -> float:
+    """``_digits`` of a number."""
+    return float(f"{x:.11e}")
+
+
 def _scores(land: Landscape, case_scores: DataFrame, by: str) -> DataFrame:
     return score(case_scores, land.criterion, by=(by,))
 
@@ -54,7 +61,7 @@ def _ranked(land: Landscape, after: DataFrame, gain: Column) -> DataFrame:
 def option_gains(land: Landscape, taken: list[str], candidates: list[str], *, add: bool = True, paths: DataFrame | None = None, now: float | None = None) -> DataFrame:
     """``option_id, option_ord, cost, gain, ratio``: what each candidate adds to the score, or costs it if taken out, and that for each unit of cost (null for free ones)."""
     paths = terminal_closure(land) if paths is None else paths
-    if now is None:  # a loop that knows it gives it
+    if now is None:
         chosen = _ids(land, [*taken, ""]).withColumn("scenario_id", F.lit("now"))
         row = _scores(land, scenario_pc(land, chosen, paths), "scenario_id").first() if taken else None
         now = _score_now(land, paths) if not taken else row["score"] if row else 0.0
@@ -149,14 +156,13 @@ class _State:
     def total(self, ids: list[str]) -> float:
         return math.fsum(self.cost[o] for o in ids)
 
-    def losses(self, taken: list[str], now: float) -> list:
-        """What each of ``taken`` costs if it is left out, with the score that remains."""
-        return option_gains(self.land, taken, taken, add=False, paths=self.paths, now=now).collect() if taken else []
-
-    def score_of(self, taken: list[str]) -> float:
-        chosen = _ids(self.land, [*taken, ""]).withColumn("scenario_id", F.lit("now"))
-        row = _scores(self.land, scenario_pc(self.land, chosen, self.paths), "scenario_id").first()
-        return row["score"] if row else 0.0
+    def losses(self, state: Taken, taken: list[str]) -> list:
+        """What each of ``taken``, which ``state`` has taken, costs if it is left out."""
+        after = state.scores_without(_ids(self.land, [*taken, NONE]))
+        scored = _scores(self.land, after, "option_id").collect()  # a row for each option, and one for none left out
+        now = next(r["score"] for r in scored if r["option_id"] == NONE)
+        out = [{"option_id": r["option_id"], "option_ord": self.place[r["option_id"]], "cost": self.cost[r["option_id"]], "gain": now - r["score"]} for r in scored if r["option_id"] != NONE]
+        return [r | {"ratio": _twelve(r["gain"] / r["cost"])} for r in out]
 
     def moved(self, taken: list[str]) -> "_State":
         """The same with ``taken`` in the landscape and its paths."""
@@ -195,12 +201,15 @@ class _State:
 
     def cut_greedy(self, worst: bool = False) -> tuple[list[str], list[str]]:
         taken, gone = self.paid(), []
-        now = self.score_of(taken)
+        if self.total(taken) <= self.budget + self.tol:
+            return taken, gone
+        state = Taken.of(self.land, _ids(self.land, taken))
         while taken and self.total(taken) > self.budget + self.tol:
-            out = min(self.losses(taken, now), key=lambda r: (-r["ratio"] if worst else r["ratio"], r["option_ord"]))
-            now -= out["gain"]
-            taken.remove(out["option_id"])
-            gone.append(out["option_id"])
+            out = min(self.losses(state, taken), key=lambda r: (-r["ratio"] if worst else r["ratio"], r["option_ord"]))["option_id"]
+            taken.remove(out)
+            gone.append(out)
+            if self.total(taken) > self.budget + self.tol:
+                state = state.without(out)
         return taken, gone
 
     def fill_static(self, taken: list[str], pool: list[str]) -> list[str]:
@@ -241,7 +250,7 @@ def static_decr(land: Landscape, budget: float, only_dec: bool = False, feasibil
     paid = s.paid()
     if not paid:
         return s.free()
-    ranked = _rows_frame(land.options.sparkSession, s.losses(paid, s.score_of(paid)))
+    ranked = _rows_frame(land.options.sparkSession, s.losses(Taken.of(s.land, _ids(s.land, paid)), paid))
     gone = {r["option_id"] for r in budget_cut(ranked, budget, [F.col("ratio"), F.col("option_ord")], feasibility_tol).collect()}
     kept = [o for o in paid if o not in gone]
     return s.free() + kept if only_dec else s.moved(kept).fill_static(s.free() + kept, sorted(gone, key=s.place.get))
