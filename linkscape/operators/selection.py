@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from linkscape.functions.criterion import Formula, score
 from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
-from linkscape.operators.closure import merged, pc
+from linkscape.operators.closure import improved_inflow, merged, pc, potentials
 from linkscape.operators.scenarios import better_paths, marginals, scenario_pc, terminal_closure
+from linkscape.operators.simplify import option_bound_scores
 from linkscape.operators.witnesses import NONE, Taken
 from linkscape.storage import cut, local_frame
 
@@ -122,6 +123,25 @@ def budget_cut(ranked: DataFrame, budget: float, order: list[Column], feasibilit
     return gone.drop("_id", "_sum", "_at")
 
 
+def certificate(land: Landscape, budget: float) -> DataFrame:
+    """One row ``base_score, bound``: no selection that costs at most ``budget`` scores more than ``bound`` (for the sum of all cases).
+
+    From one closure of the landscape as it is: the score is at most the present one plus the bound scores of the options taken, so at most
+    that plus the most bound score that the budget buys if options could be bought in part.  Options dearer than the budget are left out.
+    """
+    land = R.affordable(land, budget)
+    rho = cut(potentials(land))
+    own = land.vertices.select("case_id", F.col("vertex_id").alias("u"), "source_quality")
+    base = rho.join(own, ["case_id", "u"]).agg(F.coalesce(F.sum(F.col("source_quality") * F.col("potential")), F.lit(0.0)).alias("base_score"))
+    scores = option_bound_scores(land, rho, improved_inflow(land)).join(land.options, "option_id").where("score > 0")
+    ratio = F.coalesce(F.try_divide("score", "cost"), F.lit(float("inf")))
+    running = _running(_placed(scores.withColumn("ratio", ratio), [F.desc("ratio"), F.col("option_ord")]))
+    left = F.lit(float(budget)) - (F.col("_sum") - F.col("cost"))
+    share = F.when(F.col("cost") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(left, F.col("cost")))))
+    filled = running.agg(F.coalesce(F.sum(F.col("score") * share), F.lit(0.0)).alias("filled"))
+    return base.join(F.broadcast(filled)).select("base_score", (F.col("base_score") + F.col("filled")).alias("bound"))  # one row each
+
+
 def _rows_frame(spark, rows: list) -> DataFrame:
     names = ["option_id", "option_ord", "cost", "ratio"]
     return local_frame(spark, {n: [r[n] for r in rows] for n in names}, "option_id string, option_ord long, cost double, ratio double")

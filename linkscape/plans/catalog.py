@@ -172,6 +172,8 @@ def _ids(land: Landscape, ids: tuple[str, ...] | None = None) -> DataFrame:
 
 
 on_nations("g9_marginals_incr", EACH + "SELECT scenario_id AS option_id, case_id, pc FROM sp")(lambda land: X.marginals(land, _ids(land, ()), _ids(land), add=True))
+MORE = O.scenarios(f"SELECT option_id AS scenario_id, option_id FROM op UNION SELECT x.option_id, y.option_id FROM op x, op y WHERE y.option_id IN {PICKED_SQL}")
+on_nations("g9_marginals_of_selection", MORE + "SELECT scenario_id AS option_id, case_id, pc FROM sp")(lambda land: X.marginals(land, _ids(land, PICKED), _ids(land), add=True))
 on_nations("g10_marginals_decr", BUT + "SELECT scenario_id AS option_id, case_id, pc FROM sp")(lambda land: X.marginals(land, _ids(land, PICKED), _ids(land, PICKED), add=False))
 
 
@@ -213,7 +215,7 @@ on_nations("g14_contracted_inflow", INFLOW)(lambda land: _pruned_inflow(land, Tr
 on_nations("g15_drop_unfed", D + f"SELECT DISTINCT d.case_id, t AS vertex_id {JOINED} WHERE s IN ('0', '5')")(
     lambda land: M.drop_unfed(land.with_(vertices=land.vertices.withColumn("source_quality", F.when(F.col("vertex_id").isin("0", "5"), 1.0).otherwise(0.0)), vertex_improvements=land.vertex_improvements.limit(0))).vertices.select("case_id", "vertex_id")
 )
-on_nations("g16_option_bound_scores", O.scenarios("SELECT 'all' AS scenario_id, option_id FROM op") + f""",
+BOUNDS = O.scenarios("SELECT 'all' AS scenario_id, option_id FROM op") + f""",
 {O.closure('d', 'ax', 'vx')},
 m AS (SELECT e.case_id, e.t, sum(x.a * e.p) AS most FROM e JOIN sv x ON x.v = e.s GROUP BY 1, 2),
 rho AS (SELECT d.case_id, d.t, d.s AS u, vx.b * d.p AS r FROM d JOIN vx ON vx.v = d.t WHERE vx.b > 0),
@@ -222,7 +224,14 @@ parts AS (
   FROM ai JOIN ax USING (arc_id) JOIN m ON m.t = ax.src JOIN rho h ON h.u = ax.dst LEFT JOIN rho tl ON tl.t = h.t AND tl.u = ax.src
   UNION ALL SELECT option_id, most * target_gain FROM vi JOIN m ON m.t = vi.vertex_id
   UNION ALL SELECT option_id, source_gain * r FROM vi JOIN rho ON rho.u = vi.vertex_id)
-SELECT option_id, round(sum(part), 4) AS score FROM parts GROUP BY 1""")(lambda land: M.option_bound_scores(land, G.potentials(land), G.improved_inflow(land)).select("option_id", F.round("score", 4).alias("score")))
+"""
+on_nations("g16_option_bound_scores", BOUNDS + "SELECT option_id, round(sum(part), 4) AS score FROM parts GROUP BY 1")(lambda land: M.option_bound_scores(land, G.potentials(land), G.improved_inflow(land)).select("option_id", F.round("score", 4).alias("score")))
+
+on_nations("g16_certificate", BOUNDS.rstrip() + """,
+g AS (SELECT option_id, sum(part) AS score FROM parts GROUP BY 1),
+r AS (SELECT score, cost, 40 - coalesce(sum(cost) OVER (ORDER BY score / cost DESC, option_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM g JOIN op USING (option_id) WHERE score > 0),
+z AS (SELECT sum(a * r) AS base FROM rho JOIN vx ON vx.v = rho.u)
+SELECT round(base, 4) AS base_score, round(base + (SELECT sum(score * greatest(0, least(1, rest / cost))) FROM r), 4) AS bound FROM z""")(lambda land: B.certificate(land, BUDGET).select(F.round("base_score", 4).alias("base_score"), F.round("bound", 4).alias("bound")))
 
 # --- the large, sparse landscape: from every tenth supplier to everything, all paths; eight rounds are more than any best path has steps
 _ROUNDS = ",\n".join(f"r{k} AS MATERIALIZED (SELECT s, t, max(q) AS q FROM (SELECT * FROM r{k - 1} UNION ALL SELECT r.s, a.b, r.q * a.q FROM r{k - 1} r JOIN arcs a ON a.a = r.t) GROUP BY 1, 2)" for k in range(1, 9))

@@ -1,11 +1,15 @@
 """Selection methods against brute force on a small graph, and their values on the nation landscape."""
 
+import itertools
 import random
 
 import pytest
 
+from linkscape.operators import relational as R
 from linkscape.operators import selection as B
+from linkscape.operators import witnesses as W
 from linkscape.plans import nations
+from linkscape.storage import local_frame
 from tests.test_landscape import landscape
 
 OPTIONS = [("x", 0, 1.0), ("y", 1, 2.0), ("z", 2, 1.0), ("w", 3, 1.5), ("free", 4, 0.0), ("dear", 5, 9.0)]
@@ -105,3 +109,32 @@ def test_tolerance(spark):
 def test_greedy_on_nations(spark):
     land = nations.nation_landscape(spark, "/root/testdata/sf0.01")
     assert B.greedy_incr(land, nations.BUDGET) == ["n23", "n3", "n2", "n19", "n7", "n24", "n10", "n20"]
+
+
+def test_certificate_holds_for_every_affordable_selection(spark, tables):
+    vertices, arcs, gains, raised = tables
+    land, brute = landscape(spark, OPTIONS, vertices, arcs, gains, raised), Brute(tables)
+    row = B.certificate(land, BUDGET).first()
+    assert abs(row["base_score"] - brute.score(())) < 1e-9
+    fit = [x for n in range(len(OPTIONS)) for x in itertools.combinations(brute.cost, n) if brute.spent(x) <= BUDGET]
+    assert len(fit) > 10 and all(brute.score(x) <= row["bound"] + 1e-9 for x in fit)
+    assert B.certificate(land, 0.0).first()["bound"] >= brute.score(["free"]) - 1e-9
+
+
+def test_removals_repair_only_what_rested_on_them(spark, tables):
+    vertices, arcs, gains, raised = tables
+    land, brute = landscape(spark, OPTIONS, vertices, arcs, gains, raised), Brute(tables)
+    taken = [o for o, _, c in OPTIONS if c <= BUDGET]
+    frame = lambda ids: local_frame(spark, {"option_id": ids}, "option_id string")
+    state = W.Taken.of(R.affordable(land, BUDGET), frame(taken))
+    for out in ("y", "free", "x"):
+        state = state.without(out)
+        taken.remove(out)
+        got = {r["option_id"]: r["pc"] for r in state.scores_without(frame([*taken, ""])).collect()}
+        assert set(got) == {*taken, ""}
+        for o in got:
+            assert abs(got[o] - brute.score([x for x in taken if x != o])) < 1e-9
+        rows = state.rows.collect()
+        rested = {(r.case_id, r.s, r.t): set(r.w) for r in rows if r.option_id == ""}
+        assert {(r.option_id, r.case_id, r.s, r.t) for r in rows if r.option_id} == {(o, *k) for k, w in rested.items() for o in w}
+        assert all(out not in r.w for r in rows) and all(r.option_id not in r.w for r in rows)
