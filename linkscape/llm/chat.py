@@ -5,9 +5,11 @@ case, words alone, so that wrapping doesn't matter) and hashed: every SHINGLE co
 A key leads to the latest earlier message of the conversation that has it in its own words (level 0), and a passage links to the message that most of
 its keys lead to, the later one in a tie, if these are at least half of them.  All levels are linked, each to its own origin.
 What a message answers is where most keys of its shallowest linked level lead; one without a linked passage answers the turn before it.
-Quotes and the lines that announce them are dropped from the text, and a conversation becomes a tree of answers: each message has
+Linked passages and the lines that announce them are dropped from the text; what quotes something else (a prompt ``>>>``, a quotation from outside) stays.  A conversation becomes a tree of answers: each message has
 the first message of its thread and its depth below it, found by pointer doubling.
 
+Patterns don't backtrack and need no stack: a line is read once however many marks or spaces it holds.
+
 Keys are led to their origins by one ordered pass over (conversation, key) rather than by pairing quotes with messages, so that a common
 passage in a long conversation costs its own rows only; conversations without a quote have no keys made.
 """
@@ -20,9 +22,12 @@ from pyspark.sql import functions as F
 
 from linkscape.llm.common import cut, table
 
-QUOTE = r"^(?:[ \t]*>)+"
+MARKS, QUOTED = r"^[ \t>]*+", r"^[ \t]*+>"
 ANNOUNCES = r"(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$"
 SHINGLE = 4
+#: A line that announces a quote has at most so many characters.
+ANNOUNCEMENT = 300
+WHITE = " \t\n\r\f\v"
 
 
 def _lines(text: Column) -> Column:
@@ -30,11 +35,20 @@ def _lines(text: Column) -> Column:
 
 
 def _level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, QUOTE, 0), r"[^>]", ""))
+    marks = F.regexp_extract(line, MARKS, 0)
+    return F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
+
+
+def _quoted(line: Column) -> Column:
+    return line.rlike(QUOTED)
+
+
+def _announces(line: Column) -> Column:
+    return (F.length(line) <= ANNOUNCEMENT) & line.rlike(ANNOUNCES)
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.regexp_replace(line, QUOTE, "")), F.lit(r"(\S+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.substr(line, F.length(F.regexp_extract(line, MARKS, 0)) + 1)), F.lit(r"(\S+)"), F.lit(1))
 
 
 def _keyed(df: DataFrame, *keep: str) -> DataFrame:
@@ -49,23 +63,49 @@ def _keyed(df: DataFrame, *keep: str) -> DataFrame:
     return keys.select(*keep, F.size("keys").alias("n_keys"), F.explode_outer("keys").alias("k")).where("k is not null").select(*keep, "n_keys", "k.h1", "k.h2")
 
 
-def _passages(quoting: DataFrame) -> DataFrame:
-    """``conv_id, turn, passage, level, lines`` of messages ``conv_id, turn, text``; ``passage`` numbers those of one turn."""
+def _lined(quoting: DataFrame) -> DataFrame:
+    """``conv_id, turn, text_key, no, line, level, run``: the lines of messages ``conv_id, turn, text``; runs are of one level."""
     rows = quoting.withColumn("text_key", F.xxhash64("text")).select("conv_id", "turn", "text_key", F.posexplode_outer(_lines(F.col("text"))).alias("no", "line"))
-    rows = rows.select("conv_id", "turn", "text_key", "no", _level(F.col("line")).alias("level"), _words(F.col("line")).alias("words"))
+    rows = rows.withColumn("level", _level(F.col("line")))
     message = W.partitionBy("conv_id", "turn", "text_key").orderBy("no")
     rows = rows.withColumn("starts", (F.col("level") != F.coalesce(F.lag("level").over(message), F.lit(-1))).cast("int"))
-    rows = rows.withColumn("run", F.sum("starts").over(message)).where("level > 0")
+    return rows.withColumn("run", F.sum("starts").over(message)).drop("starts")
+
+
+def _passages(quoting: DataFrame) -> DataFrame:
+    """``conv_id, turn, passage, level, lines`` of messages ``conv_id, turn, text``; ``passage`` numbers those of one turn."""
+    rows = _lined(quoting).where("level > 0").select("conv_id", "turn", "text_key", "no", "level", "run", _words(F.col("line")).alias("words"))
     found = rows.groupBy("conv_id", "turn", "text_key", "run", "level").agg(F.array_sort(F.collect_list(F.struct("no", "words"))).alias("x"))
     return found.select("conv_id", "turn", F.struct("text_key", "run").alias("passage"), "level", F.col("x.words").alias("lines"))
 
 
+def _stated(messages: DataFrame) -> DataFrame:
+    """Distinct messages that have all of conversation, turn and text."""
+    return messages.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", F.col("text").cast("string").alias("text")).distinct()
+
+
+def _quoting(messages: DataFrame) -> DataFrame:
+    return messages.where(F.exists(_lines(F.col("text")), _quoted))
+
+
+def own_texts(messages: DataFrame, links: DataFrame) -> DataFrame:
+    """``conv_id, turn, text_key, own``: the texts of messages with linked passages without these and without the announcement before one (blank lines may be between)."""
+    linked = links.select("conv_id", "turn", "passage.text_key", "passage.run").distinct().withColumn("linked", F.lit(True))
+    rows = _lined(_stated(messages).withColumn("text_key", F.xxhash64("text")).join(linked.select("conv_id", "turn", "text_key").distinct(), ["conv_id", "turn", "text_key"], "left_semi"))
+    rows = rows.join(linked, ["conv_id", "turn", "text_key", "run"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    after = W.partitionBy("conv_id", "turn", "text_key").orderBy(F.desc("no")).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.last(F.when(F.length(F.trim(F.col("line"), F.lit(WHITE))) > 0, F.col("linked")), ignorenulls=True).over(after))
+    kept = ~F.col("linked") & ~(F.coalesce("next", F.lit(False)) & (F.col("level") == 0) & _announces(F.col("line")))
+    lines = F.array_sort(F.collect_list(F.when(kept, F.struct("no", "line"))))  # nulls are left out
+    return rows.groupBy("conv_id", "turn", "text_key").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("own"))
+
+
 def passage_links(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, passage, level, origin, votes`` of the passages that link to an earlier message of their conversation."""
-    rows = messages.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", F.col("text").cast("string").alias("text")).distinct()
-    quoting = cut(rows.where(F.col("text").rlike("(?m)" + QUOTE)))
+    rows = _stated(messages)
+    quoting = cut(_quoting(rows))
     talks = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
-    own_lines = F.filter(_lines(F.col("text")), lambda x: ~x.rlike(QUOTE) & ~x.rlike(ANNOUNCES))
+    own_lines = F.filter(_lines(F.col("text")), lambda x: ~_quoted(x) & ~_announces(x))
     own = _keyed(talks.select("conv_id", "turn", F.transform(own_lines, _words).alias("lines")), "conv_id", "turn")
     quoted = _keyed(_passages(quoting), "conv_id", "turn", "passage", "level")
     nobody = F.lit(None).cast("struct<passage: struct<text_key: long, run: long>, level: int, n_keys: int>")
@@ -78,9 +118,8 @@ def passage_links(messages: DataFrame) -> DataFrame:
     return best.where("best.votes * 2 >= by.n_keys").select("conv_id", "turn", "by.passage", "by.level", "best.origin", "best.votes")
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_turn, n_linked`` for messages with a linked passage."""
-    links = passage_links(messages)
+def reply_links(links: DataFrame) -> DataFrame:
+    """``conv_id, turn, parent_turn, n_linked`` for messages with a linked passage, from ``passage_links``."""
     votes = links.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("votes").alias("votes"), F.count("*").alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("shallow"), "votes", "origin"))
     return votes.groupBy("conv_id", "turn").agg(best.alias("best"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked")
@@ -114,7 +153,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
 
     Ordered by ``conv_id, thread_turn, depth, parent_turn, turn`` every message follows the one it answers, answers to one message
     stand together, and threads follow each other.  ``n_quoted`` counts quoted lines, ``n_linked`` linked passages.
-    ``text`` has the lines of level 0 without announcements of quotes, trailing white space dropped; ``formatted`` puts the role before it.
+    ``text`` lacks linked passages and their announcements, and trailing white space; passages without an origin stay. ``formatted`` puts the role before it.
 
     * null text: treated as empty; null role: ``user``; other roles stay as they are, lower case;
     * null ``conv_id`` or ``turn``: formatted, but answers nothing and is answered by nothing (null thread and depth);
@@ -125,16 +164,17 @@ def chat_format(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", F.lower(F.coalesce(F.col("role").cast("string"), F.lit("user"))).alias("role"), text.alias("text"))
     turns = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     turns = turns.withColumn("previous", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
-    answers = turns.join(reply_links(messages), ["conv_id", "turn"], "left").select("conv_id", "turn", "previous", F.coalesce("parent_turn", "previous").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    links = cut(passage_links(messages))
+    answers = turns.join(reply_links(links), ["conv_id", "turn"], "left").select("conv_id", "turn", "previous", F.coalesce("parent_turn", "previous").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
     answers = threads(answers).withColumnsRenamed({"conv_id": "a_conv", "turn": "a_turn"})
     joined = rows.join(answers, (rows["conv_id"] == answers["a_conv"]) & (rows["turn"] == answers["a_turn"]), "left")
+    own = own_texts(messages, links).withColumnsRenamed({"conv_id": "o_conv", "turn": "o_turn"})
+    joined = joined.join(own, (rows["conv_id"] == own["o_conv"]) & (rows["turn"] == own["o_turn"]) & (F.xxhash64(rows["text"]) == own["text_key"]), "left")
     lines = _lines(F.col("text"))
-    own = F.filter(lines, lambda x: ~x.rlike(QUOTE) & ~x.rlike(ANNOUNCES))
-    kept = F.when(F.exists(lines, lambda x: x.rlike(QUOTE)), F.array_join(own, "\n")).otherwise(F.col("text"))
-    clean = F.regexp_replace(kept, r"\s+\z", "")
+    clean = F.rtrim(F.coalesce("own", "text"), F.lit(WHITE))
     return joined.select(
         "conv_id", "turn", "role", "parent_turn", "thread_turn", "depth",
-        F.size(F.filter(lines, lambda x: x.rlike(QUOTE))).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.size(F.filter(lines, _quoted)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.array_max(F.transform(lines, _level)).cast("long").alias("deepest"), clean.alias("text"),
     ).withColumn("formatted", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n")))
 
@@ -148,9 +188,9 @@ OP4_SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, lower(coalesce(role, 'user')) AS role, coalesce(text, '') AS text FROM conversations),
 l AS (SELECT conv_id, turn, text, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT conv_id, turn, text FROM m)),
 n AS (
-  SELECT conv_id, turn, text, no, len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
-         regexp_extract_all(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '\S+') AS w,
-         regexp_matches(line, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$') AS announces
+  SELECT conv_id, turn, text, no, line, len(regexp_replace(regexp_extract(line, '^[ \t>]*'), '[^>]', '', 'g')) AS level,
+         regexp_extract_all(lower(regexp_replace(line, '^[ \t>]*', '')), '\S+') AS w,
+         len(line) <= 300 AND regexp_matches(line, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$') AS announces
   FROM l),
 u AS (
   SELECT conv_id, turn, text, level, run, list(w ORDER BY no) AS ls
@@ -177,12 +217,16 @@ tree AS (
   SELECT conv_id, turn, parent_turn, n_linked, turn AS thread_turn, CAST(0 AS BIGINT) AS depth FROM a WHERE parent_turn IS NULL
   UNION ALL SELECT a.conv_id, a.turn, a.parent_turn, a.n_linked, tree.thread_turn, tree.depth + 1 FROM tree JOIN a ON a.conv_id = tree.conv_id AND a.parent_turn = tree.turn),
 d AS (
-  SELECT conv_id, turn, role, ls, len(list_filter(ls, lambda x: regexp_matches(x, '^(?:[ \t]*>)+'))) AS n_quoted,
-         list_max(list_transform(ls, lambda x: len(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g')))) AS deepest, text
+  SELECT conv_id, turn, role, ls, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*>'))) AS n_quoted,
+         list_max(list_transform(ls, lambda x: len(regexp_replace(regexp_extract(x, '^[ \t>]*'), '[^>]', '', 'g')))) AS deepest, text
   FROM (SELECT m.*, string_split(m.text, chr(10)) AS ls FROM m)),
-c AS (
-  SELECT *, regexp_replace(CASE WHEN n_quoted > 0 THEN array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+') AND NOT regexp_matches(x, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*a écrit|.*escribió)\s*:\s*$')), chr(10)) ELSE text END, '\s+$', '') AS own
-  FROM d)
+h AS (
+  SELECT n.conv_id, n.turn, n.text, n.no, n.line, n.level, n.announces, linked.run IS NOT NULL AS linked
+  FROM (SELECT *, CASE WHEN level > 0 THEN no - row_number() OVER (PARTITION BY conv_id, turn, text, level ORDER BY no) END AS run FROM n) n
+  LEFT JOIN linked ON linked.conv_id = n.conv_id AND linked.turn = n.turn AND linked.text = n.text AND linked.level = n.level AND linked.run = n.run),
+x AS (SELECT *, first_value(CASE WHEN regexp_matches(line, '\S') THEN linked END IGNORE NULLS) OVER (PARTITION BY conv_id, turn, text ORDER BY no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM h),
+y AS (SELECT conv_id, turn, text, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT linked AND NOT (coalesce(next, false) AND level = 0 AND announces)), '') AS kept FROM x GROUP BY ALL),
+c AS (SELECT d.*, rtrim(coalesce(y.kept, d.text), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS own FROM d LEFT JOIN y ON y.conv_id = d.conv_id AND y.turn = d.turn AND y.text = d.text)
 SELECT c.conv_id, c.turn, c.role, tree.parent_turn, tree.thread_turn, tree.depth, c.n_quoted, CAST(coalesce(tree.n_linked, 0) AS BIGINT) AS n_linked, c.deepest, c.own AS text, '<|' || c.role || '|>' || chr(10) || c.own || chr(10) AS formatted
 FROM c LEFT JOIN tree ON tree.conv_id = c.conv_id AND tree.turn = c.turn
 """

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -16,9 +17,9 @@ def test_quotes_are_linked_and_dropped(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, parent_turn int")
     got = sorted(((r.conv_id, r.turn, r.role, r.parent_turn, r.n_quoted, r.n_linked, r.deepest, r.text) for r in C.chat_format(df).collect()), key=str)
     assert got == sorted([
-        (1, 0, "user", None, 0, 0, 0, "Hello  there\nsecond line"), (1, 1, "assistant", 0, 0, 0, 0, "an answer"), (1, 2, "user", 0, 2, 1, 2, "my reply"),
-        (1, 3, "user", 1, 2, 1, 1, "yes"), (1, 4, "user", 3, 0, 0, 0, "no quote"), (1, 4, "user", 3, 0, 0, 0, "no quote"), (2, 5, "user", None, 1, 0, 1, "other conversation"),
-        (None, 1, "user", None, 1, 0, 1, ""), (3, None, "user", None, 0, 0, 0, ""), (4, 7, "user", None, 0, 0, 0, ""),
+        (1, 0, "user", None, 0, 0, 0, "Hello  there\nsecond line"), (1, 1, "assistant", 0, 0, 0, 0, "an answer"), (1, 2, "user", 0, 2, 1, 2, "> > older\nmy reply"),
+        (1, 3, "user", 1, 2, 1, 1, "yes"), (1, 4, "user", 3, 0, 0, 0, "no quote"), (1, 4, "user", 3, 0, 0, 0, "no quote"), (2, 5, "user", None, 1, 0, 1, "> an answer\nother conversation"),
+        (None, 1, "user", None, 1, 0, 1, "> x"), (3, None, "user", None, 0, 0, 0, ""), (4, 7, "user", None, 0, 0, 0, ""),
     ], key=str)
     assert C.chat_format(df.limit(0)).collect() == []
     plan = C.chat_format(df)._jdf.queryExecution().toString()
@@ -38,7 +39,7 @@ def brute_chat(rows):
     def split(line):
         return re.sub(r"^(?:[ \t]*>)+", "", line).lower().split()
 
-    out, texts = {}, {(c, t, x) for c, t, x in rows}
+    out, texts, cleaned = {}, {(c, t, x) for c, t, x in rows}, {}
     own: dict = {}
     for c, t, x in texts:
         own.setdefault((c, t), set()).update(keys([split(y) for y in x.split("\n") if not level(y) and not re.match(C.ANNOUNCES, y)]))
@@ -51,7 +52,9 @@ def brute_chat(rows):
                 if not runs or runs[-1][0] != level(y):
                     runs.append((level(y), []))
                 runs[-1][1].append(split(y))
+            gone: list = []
             for lv, lines in runs:
+                gone += [False] * len(lines)
                 votes: dict = {}
                 for k in keys(lines) if lv else ():
                     earlier = [t2 for (c2, t2), ks in own.items() if c2 == c and t2 < t and k in ks]
@@ -61,8 +64,12 @@ def brute_chat(rows):
                     v, o = max((v, o) for o, v in votes.items())
                     if 2 * v >= len(keys(lines)):
                         n_linked += 1
+                        gone[-len(lines) :] = [True] * len(lines)
                         by_level.setdefault(lv, {}).setdefault(o, 0)
                         by_level[lv][o] += v
+            every = x.split("\n")
+            follows = [next((gone[j] for j in range(i + 1, len(every)) if every[j].strip()), False) for i in range(len(every))]
+            cleaned[c, t, x] = "\n".join(y for i, y in enumerate(every) if not gone[i] and not (follows[i] and not level(y) and re.match(C.ANNOUNCES, y))).rstrip()
         before = [t2 for c2, t2, _ in texts if c2 == c and t2 < t]
         parent = max((v, o) for o, v in by_level[min(by_level)].items())[1] if by_level else max(before, default=None)
         out[c, t] = (parent, n_linked)
@@ -72,7 +79,7 @@ def brute_chat(rows):
         while out[c, top][0] is not None:
             top, depth = out[c, top][0], depth + 1
         done[c, t] = (parent, n, top, depth)
-    return done
+    return done, cleaned
 
 
 def talks(seed):
@@ -103,13 +110,26 @@ def test_links_against_brute_force_and_sql(spark):
     df = spark.createDataFrame([(c, t, "User", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
     found = C.chat_format(df)
     got = found.collect()
-    want = brute_chat(rows)
+    want, cleaned = brute_chat(rows)
     assert len(got) == len(rows) and {(x.conv_id, x.turn): (x.parent_turn, x.n_linked, x.thread_turn, x.depth) for x in got} == want
     assert sum(n > 0 for _, n, *_ in want.values()) > 15 and len({x.level for x in C.passage_links(df).collect()}) > 1
+    assert sorted((x.conv_id, x.turn, x.text) for x in got) == sorted((c, t, cleaned[c, t, x]) for c, t, x in rows)
     conversations = df.toPandas()  # noqa: F841
     assert sorted(map(repr, duckdb.sql(C.OP4_SQL).select(*found.columns).fetchall())) == sorted(repr(tuple(x)) for x in got)
 
 
+def test_marks_and_spaces_without_end_and_prompts(spark):
+    code = "Try this:\n>>> print(1)\n1\n>>> x = 2"
+    rows = [(1, 0, "words that are quoted later " + " " * 1_000_000 + "end"), (1, 1, ">" * 200_000), (1, 2, "> " * 100_000 + "words that are quoted later"), (1, 3, code), (1, 4, " " * 300_000), (1, 5, "a" + "\t \n" * 100_000), (1, 6, "on " + "wrote " * 100_000 + ":")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    start = time.time()
+    got = {r.turn: r for r in C.chat_format(df).collect()}
+    assert time.time() - start < 60
+    assert got[1].deepest == 200_000 and got[1].text == ">" * 200_000 and got[1].n_linked == 0
+    assert got[2].deepest == 100_000 and got[2].parent_turn == 0 and got[2].text == ""
+    assert got[3].text == code and got[3].n_quoted == 2 and got[4].text == "" and got[5].text == "a" and got[6].text == rows[6][2].rstrip()
+
+
 def tune(notes):
     t = np.arange(1000) / M.RATE
     return (np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) for n in notes]) * 9000).astype("<i2")
