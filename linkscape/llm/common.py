@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int):
+    """While frames are written in it, wide rows go to Python ``n`` at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: ``node, component`` with the smallest node as component, for every node of an edge.
 

@@ -12,8 +12,6 @@ one label, zone maps in pages; a block that very many chunks need is one row of
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkscape.llm.common import cut, table
+from linkscape.llm.common import cut, rows_at_once, table
 
 #: Rows of a block, anchors of a chunk, blocks of a page, pages that are searched together.
 BLOCK, CHUNK, PAGE, TOGETHER = 256, 32, 256, 4
@@ -33,18 +31,6 @@ LEAST, MOST = -(2**63), 2**63 - 1
 WINDOW = ("place", "k", "low", "high", "reach", "reach_id")
 
 
-@contextmanager
-def _rows_at_once(spark: SparkSession, n: int):
-    """Wide rows go to Python a few at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, n)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def hilbert_keys(x: np.ndarray, bits: int = BITS) -> list[bytes]:
     """Places on the Hilbert curve of rows of integers from 0 to 2**bits - 1, as bytes that sort like them (transposed form, by exchanging and inverting low bits)."""
     x = x.astype(np.int64).T.copy()
@@ -302,7 +288,7 @@ class Index:
     def __init__(self, rows: DataFrame, *, every: int = 50, block: int = BLOCK, chunk: int = CHUNK, page: int = PAGE):
         self.spark = rows.sparkSession
         self.blocks = blocks_of(rows, block)
-        with _rows_at_once(self.spark, 64):
+        with rows_at_once(self.spark, 64):
             self.chunks = cut(self.blocks.select("block", "label", "dims", "ids", "q").mapInArrow(_chunks(every, chunk), CHUNKS))
         pages = self.blocks.select("block", "label", "least_id", "low", "high").mapInArrow(_pages(page), "page long, p_dims int, blocks binary, labels binary, least_ids binary, zone_low binary, zone_high binary")
         pages = cut(pages)
@@ -324,7 +310,7 @@ class Index:
         sent = asking.withColumn("together", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))))
         met = sent.join(self.pages, "together").drop("together", "page")
         found = met.mapInArrow(_chosen(same, first), "chunk long, place int, k int, block long, worth double")
-        with _rows_at_once(self.spark, 64):
+        with rows_at_once(self.spark, 64):
             if first:
                 return cut(found.groupBy("chunk", "place", "k").agg(F.max_by("block", F.struct("worth", "block")).alias("block")).select("chunk", "block").distinct())
             return cut(found.select("chunk", "block"))
@@ -333,7 +319,7 @@ class Index:
         """``chunk, place, k, score, id, rank``: of the rows in the paired blocks, the first of each window."""
         sent = pairs.join(asking, "chunk")
         blocks = self.blocks.select("block", F.col("dims").alias("b_dims"), F.col("ids").alias("b_ids"), F.col("q").alias("b_q"))
-        with _rows_at_once(self.spark, 64):
+        with rows_at_once(self.spark, 64):
             rows = cut(sent.join(blocks, "block").mapInArrow(_read(want), "chunk long, place int, k int, score long, id long"))
         order = W.partitionBy("chunk", "place", "k").orderBy(F.desc("score"), "id")
         return cut(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want))

@@ -2,23 +2,23 @@
 
 A recording is a binary column of 16-bit mono PCM.  Its spectrum is folded into twelve pitch classes a frame; an
 integral image over (frame, pitch class) gives any rectangle's sum with four look-ups, and sixteen
-difference filters of such rectangles, two bits each, pack every frame into one 32-bit integer.  Equal runs of RUN integers
-of two recordings vote for the offset at which they meet; at every offset with such a vote, the equal integers are counted, and the share of
-differing bits over all frames that then overlap decides.  Single integers, of which few notes make many equal ones by chance, would
-give a number of pairs that grows with the square of the table.
+difference filters of such rectangles, two bits each, pack every frame into one 32-bit integer.  Equal integers of two recordings
+vote for the offset at which they meet; at every offset with a vote the share of differing bits over all frames that then overlap decides.  Integers that are held
+vote as runs, a range of offsets for two of them.  Recordings meet queries in packs, and votes are counted and checked where they arise, so that only matches leave a task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkscape.llm.common import cut, table
+from linkscape.llm.common import cut, rows_at_once, table
 
 RATE, FRAME, HOP, WIDE = 8000, 2048, 512, 8
 #: (kind, first pitch class, pitch classes, frames) of the filters, by rule: six ways to halve a rectangle, spread over classes and widths.
@@ -26,10 +26,8 @@ FILTERS = [(k % 4, (5 * k) % 12, 1 + k % 3, 2 + 2 * (k % 4)) for k in range(16)]
 LOW = 0.02
 #: Frames whose spectra are held at once, and recordings that leave a task in one batch.
 BLOCK, PART = 256, 64
-#: Consecutive integers that must be equal for an offset to be tried.
-RUN = 3
-#: Queries of up to so many integers together (about 64 bytes each as a hash table) are broadcast; more are joined by a shuffle.
-BROADCAST_INTEGERS = 500_000
+#: Lists of integers that are matched together, and frames that are compared at once.
+PACK, CHECKED = 256, 2_000_000
 
 
 def chroma(pcm: np.ndarray) -> np.ndarray:
@@ -96,48 +94,121 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select("rec_id", "audio").mapInArrow(_prints, schema)
 
 
-def _keys(prints: DataFrame, name: str, at: str, run: int) -> DataFrame:
-    """``name, at, key`` for each run of ``run`` integers of ``name, prints``; a run of one held integer fixes no offset and gives none."""
-    held = [F.get("prints", F.col("x.i") + j) == F.get("prints", F.col("x.i") + j + 1) for j in range(run - 1)]
-    starts = F.when(F.size("prints") >= run, F.sequence(F.lit(0), F.size("prints") - run)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(*[F.get("prints", i + j) for j in range(run)]).alias("key")))
-    rows = prints.select(name, "prints", F.explode_outer(hashed).alias("x")).where("x is not null")
+def _packed(batches):
+    """``pack, reps, sizes, values`` of up to PACK lists of integers at a time."""
+    held, made = [], 0
+
+    def closed():
+        columns = [pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()), pa.array([[r for r, _ in held]], pa.list_(kind)), pa.array([np.array([len(x) for _, x in held], np.int64).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([np.concatenate([x for _, x in held]).astype(np.uint32).tobytes()], pa.binary())], names=["pack", "reps", "sizes", "values"])
+
+    for batch in batches:
+        kind = batch.schema.field("rep").type
+        for rep, prints in zip(batch.column("rep").to_pylist(), batch.column("prints"), strict=True):
+            held.append((rep, prints.values.to_numpy()))
+            if len(held) == PACK:
+                yield closed()
+                held, made = [], made + 1
     if held:
-        rows = rows.where(~reduce(lambda a, b: a & b, held))
-    return rows.select(name, F.col("x.i").alias(at), F.col("x.key").alias("key"))
+        yield closed()
+
+
+class _Pack:
+    """Lists of integers one after another, and their runs of equal integers."""
+
+    def __init__(self, reps: list, sizes: bytes, values: bytes):
+        self.reps, self.sizes, self.values = reps, np.frombuffer(sizes, np.int64), np.frombuffer(values, np.uint32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        owner = np.repeat(np.arange(len(reps)), self.sizes)
+        first = np.ones(len(self.values), bool)
+        first[1:] = (self.values[1:] != self.values[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(first)
+        self.owner, self.value = owner[at], self.values[at]
+        self.begin, self.length = at - self.starts[self.owner], np.diff(np.append(at, len(self.values)))
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` its place, that many times, and the numbers from 0."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _offsets(r: _Pack, q: _Pack):
+    """Slices of distinct (recording, query, offset) at which at least one integer is equal: two runs of one integer meet at each offset from last on first to first on last."""
+    order = np.argsort(q.value, kind="stable")
+    values = q.value[order]
+    low, high = np.searchsorted(values, r.value), np.searchsorted(values, r.value, side="right")
+    span = int(r.sizes.max() + q.sizes.max() + 1)
+    bounds = np.flatnonzero(np.diff(r.owner, prepend=-1))  # the runs of one recording after another
+    for a, b in zip(bounds, [*bounds[1:], len(r.value)], strict=True):
+        of, k = _spread(high[a:b] - low[a:b])
+        mine, other = a + of, order[low[a:b][of] + k]
+        many, k = _spread(r.length[mine] + q.length[other] - 1)
+        offset = (r.begin[mine] - q.begin[other] - q.length[other] + 1)[many] + k
+        found = np.unique(q.owner[other][many] * (2 * span) + offset + span)
+        if len(found):
+            yield int(r.owner[a]), found // (2 * span), found % (2 * span) - span
+
+
+def matches(r: _Pack, q: _Pack, most_errors: float, least_frames: int) -> list[tuple]:
+    """``rep, query, offset, votes, frames, errors`` of all offsets of two packs that pass."""
+    out = []
+    for mine, others, offsets in _offsets(r, q):
+        skip, start = np.maximum(-offsets, 0), np.maximum(offsets, 0)
+        frames = np.minimum(r.sizes[mine] - start, q.sizes[others] - skip)
+        keep = np.flatnonzero(frames >= least_frames)
+        for part in np.array_split(keep, max(1, int(frames[keep].sum()) // CHECKED)):
+            if not len(part):
+                continue
+            of, k = _spread(frames[part])
+            x = r.values[(r.starts[mine] + start[part])[of] + k] ^ q.values[(q.starts[others[part]] + skip[part])[of] + k]
+            begins = np.cumsum(frames[part]) - frames[part]
+            errors, votes = np.add.reduceat(np.bitwise_count(x).astype(np.int64), begins), np.add.reduceat((x == 0).astype(np.int64), begins)
+            for i in np.flatnonzero(errors <= most_errors * 32 * frames[part]).tolist():
+                j = part[i]
+                out.append((r.reps[mine], q.reps[others[j]], int(offsets[j]), int(votes[i]), int(frames[j]), int(errors[i])))
+    return out
+
+
+def _matched(most_errors: float, least_frames: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = [x for x in matches(_Pack(row["reps"], row["sizes"], row["values"]), _Pack(row["q_reps"], row["q_sizes"], row["q_values"]), most_errors, least_frames) if x[0] != x[1]]
+                kind = batch.schema.field("reps").type.value_type
+                columns = [pa.array([x[i] for x in found], k) for i, k in enumerate([kind, kind, *[pa.int64()] * 4])]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "query", "offset", "votes", "frames", "errors"])
+
+    return run
 
 
-def align(prints: DataFrame, queries: DataFrame, *, most_errors: float = 0.25, least_frames: int = 8, run: int = RUN, broadcast_integers: int = BROADCAST_INTEGERS) -> DataFrame:
+def align(prints: DataFrame, queries: DataFrame, *, most_errors: float = 0.25, least_frames: int = 8) -> DataFrame:
     """``query_id, rec_id, copies, offset, votes, frames, bit_error, offsets``: recordings that match a query, itself and rows of null id left out.
 
     Recordings with the same integers are one class under the smallest id, and so are queries: pairs are between representatives,
-    ``copies`` says how many recordings the matched class has.  An offset is where the query starts in the recording.  Each one at which ``run``
-    consecutive integers, not all the same, are equal is tried: at least ``least_frames`` frames must overlap, with at most ``most_errors`` of their
+    ``copies`` says how many recordings the matched class has.  An offset is where the query starts in the recording.  Each one at which at least one
+    integer is equal is tried: at least ``least_frames`` frames must overlap, with at most ``most_errors`` of their
     bits different; ``votes`` counts the equal integers there.  ``offsets`` lists all that pass, in order, as ``struct(offset, votes, frames, bit_error)``;
     the four columns before it are those of the one with most votes, the smallest in a tie.
 
-    Null and empty lists match nothing; of several lists under one ``rec_id`` each counts; repeated rows are one; recordings that hold one integer
-    throughout match nothing but stay in their class; an empty table gives no rows; further columns are ignored.
+    Null and empty lists match nothing; of several lists under one ``rec_id`` each counts; repeated rows are one; an empty table gives no rows; further columns are ignored.
     """
     usable = prints.where("rec_id is not null and size(prints) > 0").withColumn("key", F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256))
     asked = usable.join(queries.select(F.col("rec_id")).distinct(), "rec_id", "left_semi").select("key").distinct().withColumn("asked", F.lit(True))
     classes = usable.groupBy("key").agg(F.min("rec_id").alias("rep"), F.count_distinct("rec_id").alias("copies"), F.first("prints").alias("prints"))
     classes = cut(classes.join(asked, "key", "left").select("rep", "copies", "prints", F.coalesce("asked", F.lit(False)).alias("asked")))
-    q = classes.where("asked").select(F.col("rep").alias("query"), F.col("prints").alias("q"))
-    few = (q.agg(F.sum(F.size("q"))).first()[0] or 0) <= broadcast_integers
-    near = F.broadcast if few else (lambda x: x)
-    frames = _keys(classes.select("rep", "prints"), "rep", "at", run)
-    sought = _keys(q.select("query", F.col("q").alias("prints")), "query", "query_at", run)
-    tried = cut(frames.join(near(sought), "key").where("rep <> query").select("rep", "query", (F.col("at") - F.col("query_at")).alias("offset")).distinct())
-    pairs = tried.join(classes.select("rep", "copies", F.col("prints").alias("r")), "rep").join(near(q), "query")
-    start, skip = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    length = F.least(F.size("r") - start, F.size("q") - skip)
-    pairs = pairs.withColumn("frames", length).where(F.col("frames") >= least_frames)
-    compared = F.zip_with(F.slice("q", skip + 1, F.col("frames")), F.slice("r", start + 1, F.col("frames")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    zero = F.struct(F.lit(0).cast("long").alias("errors"), F.lit(0).cast("long").alias("equal"))
-    summed = F.aggregate(compared, zero, lambda a, x: F.struct((a["errors"] + x).alias("errors"), (a["equal"] + (x == 0).cast("long")).alias("equal")))
-    pairs = pairs.select("query", "rep", "copies", "offset", "frames", F.explode_outer(F.array(summed)).alias("s"))
-    passed = pairs.select("query", "rep", "copies", "offset", F.col("s.equal").alias("votes"), "frames", (F.col("s.errors") / (F.col("frames") * 32)).alias("bit_error")).where(F.col("bit_error") <= most_errors)
+    kind = classes.schema["rep"].dataType
+    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("reps", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("values", T.BinaryType())])
+    packs = classes.select("rep", "prints").mapInArrow(_packed, schema)
+    sought = cut(classes.where("asked").select("rep", "prints").repartition(1 + classes.where("asked").count() // PACK).mapInArrow(_packed, schema))
+    groups = max(1, sought.count())
+    sought = sought.select(F.pmod(F.xxhash64("pack"), F.lit(groups)).alias("together"), *[F.col(c).alias(f"q_{c}") for c in ("reps", "sizes", "values")])
+    met = packs.withColumn("together", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(sought, "together")  # the stated queries against all, in blocks
+    numbers = T._parse_datatype_string("offset long, votes long, frames long, errors long").fields
+    with rows_at_once(prints.sparkSession, 8):
+        passed = cut(met.drop("together", "pack").mapInArrow(_matched(most_errors, least_frames), T.StructType([T.StructField("rep", kind), T.StructField("query", kind), *numbers])))
+    passed = passed.join(classes.select("rep", "copies").groupBy("rep").agg(F.max("copies").alias("copies")), "rep")
+    passed = passed.withColumn("bit_error", F.col("errors") / (F.col("frames") * 32))
     best = F.max_by(F.struct("offset", "votes", "frames", "bit_error"), F.struct("votes", (-F.col("offset")).alias("back")))
     found = passed.groupBy("query", "rep").agg(F.first("copies").alias("copies"), best.alias("best"), F.array_sort(F.collect_list(F.struct("offset", "votes", "frames", "bit_error"))).alias("offsets"))
     return found.select(F.col("query").alias("query_id"), F.col("rep").alias("rec_id"), "copies", "best.*", "offsets")
@@ -150,13 +221,13 @@ def _synthesise(batches):
     for batch in (b.slice(k, PART) for b in batches for k in range(0, len(b), PART)):
         audio = []
         for x in batch.column("embedding"):
-            notes = [int(abs(v or 0.0) * 997) % 24 for v in x.as_py() or []]
+            notes = [int(abs(v) * 997) % 24 if v is not None and math.isfinite(v) else 0 for v in x.as_py() or []]
             audio.append(waves[notes].tobytes() if notes else None)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(audio, pa.binary())], names=["rec_id", "audio"])
 
 
 def recordings_of(embeddings: DataFrame) -> DataFrame:
-    """Tables here hold no sound, so each vector is played: all its components as notes of an eighth of a second, 16-bit PCM in ``audio``."""
+    """Tables here hold no sound, so each vector is played: all its components as notes of an eighth of a second, 16-bit PCM in ``audio``; null and not finite ones as the note of 0."""
     schema = T.StructType([T.StructField("rec_id", embeddings.schema["vec_id"].dataType), T.StructField("audio", T.BinaryType())])
     return embeddings.select("vec_id", "embedding").mapInArrow(_synthesise, schema)
 

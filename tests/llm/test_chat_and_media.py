@@ -186,3 +186,48 @@ def test_all_components_are_played(spark):
     apart = {x.rec_id: x.prints for x in M.fingerprints(M.recordings_of(df)).collect()}
     assert {i: len(p) for i, p in apart.items()} == {1: 115, 2: 115, 3: 0, 4: 0} and apart[1] != apart[2]
     assert {x.rec_id: x.prints for x in M.fingerprints_of_vectors(df).collect()} == apart
+
+
+def test_alignment_against_all_pairs_and_offsets(spark):
+    r = np.random.default_rng(8)
+    base = [r.integers(0, 1 << 32, 12).tolist() for _ in range(3)]
+    lists = {0: base[0] * 2 + [5] * 9, 1: [5] * 20, 2: [5] * 7 + base[1] + [5] * 3, 3: base[2], 4: [5] * 4, 5: [6], 6: base[0] * 2 + [5] * 9}
+    for i in range(10, 24):
+        x = list(base[i % 3] + base[(i + 1) % 3])[int(r.integers(6)) :]
+        lists[i] = [v ^ (1 << int(r.integers(32))) if r.random() < 0.6 else v for v in x]
+    df = spark.createDataFrame([(i, x) for i, x in lists.items()] + [(None, [5]), (30, None), (3, base[2])], "rec_id long, prints array<long>")
+    want = set()
+    reps = {tuple(x): min(j for j, y in lists.items() if y == x) for x in lists.values()}
+    for q in (0, 2, 11, 12, 1, 30):
+        for x, rep in reps.items():
+            y = lists.get(q)
+            if y is None or (mine := reps[tuple(y)]) == rep:
+                continue
+            for offset in range(-len(y), len(x) + 1):
+                pairs = [(x[offset + k], y[k]) for k in range(len(y)) if 0 <= offset + k < len(x)]
+                errors = sum((a ^ b).bit_count() for a, b in pairs)
+                votes = sum(a == b for a, b in pairs)
+                if votes and len(pairs) >= 8 and errors <= 0.25 * 32 * len(pairs):
+                    want.add((mine, rep, offset, votes, len(pairs), round(errors / (32 * len(pairs)), 9)))
+    got = M.align(df, spark.createDataFrame([(q,) for q in (0, 2, 11, 12, 1, 30)], "rec_id long")).collect()
+    assert {(x.query_id, x.rec_id, y.offset, y.votes, y.frames, round(y.bit_error, 9)) for x in got for y in x.offsets} == want and len(want) > 20
+    assert all(x.copies == (2 if x.rec_id == 0 else 1) for x in got)
+
+
+def test_recall_of_noisy_excerpts_off_the_frame_grid():
+    r = np.random.default_rng(9)
+    found = 0
+    for _ in range(40):
+        wave = tune(r.integers(0, 24, 64).tolist()).astype(float)
+        at = int(r.integers(10 * M.HOP, 30 * M.HOP))
+        part = wave[at : at + 60 * M.HOP]
+        part = part + r.normal(size=len(part)) * np.sqrt((part**2).mean() / 100)
+        whole, excerpt = M.fingerprint(M.chroma(wave.astype("<i2"))), M.fingerprint(M.chroma(part.astype("<i2")))
+        packs = [M._Pack([k], np.array([len(x)], np.int64).tobytes(), x.astype(np.uint32).tobytes()) for k, x in enumerate((whole, excerpt))]
+        found += any(abs(x[2] - at / M.HOP) <= 1 for x in M.matches(*packs, 0.25, 8))
+    assert found >= 38
+
+
+def test_values_that_are_no_numbers_are_played(spark):
+    df = spark.createDataFrame([(1, [float("nan"), 0.5] * 8), (2, [float("inf"), 0.5] * 8), (3, [0.0, 0.5] * 8), (4, [None, 0.5] * 8)], "vec_id long, embedding array<double>")
+    assert len({tuple(x.prints) for x in M.fingerprints_of_vectors(df).collect()}) == 1
