@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Land cover classes that are sent to every task.
-MOST_CLASSES = 10_000
+#: Levels of classes of one value, and of those without an end on some side.
+POINT, ENDLESS = -5_000, 5_000
 
 
 def _suffixed(c: str, end: str) -> Column:
@@ -48,10 +48,22 @@ def link_adjacency(links: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def land_cover(cells: DataFrame, classes: DataFrame) -> DataFrame:
-    """Cells ``id, value`` with the row of ``classes`` (``low, high`` inclusive, and any values) that their value lies in; classes must not overlap, and more than MOST_CLASSES are an error, as every task gets them all."""
-    if classes.count() > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
-    return cells.join(F.broadcast(classes), (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).drop("low", "high")
+    """Cells ``id, value`` with the row of ``classes`` (``low, high`` inclusive, and any values) that their value lies in; classes must not overlap.
+
+    A class is cut at multiples of the power of two next above its width, which gives two or three bins; a cell looks into its own bin of each
+    width that occurs, and the range is tested there.  So any number of classes, of any widths, is joined by equal keys.  Nulls and classes whose ends are crossed match nothing.
+    """
+    low, high, value = (F.col(c).cast("double") for c in ("low", "high", "value"))
+    width = high - low
+    level = F.when(width == 0, F.lit(POINT)).when(width < float("inf"), F.ceil(F.log2(width)).cast("int")).otherwise(F.lit(ENDLESS))
+    size = F.pow(F.lit(2.0), -F.col("_level"))
+    at = lambda x: F.when(F.col("_level") == POINT, x).when(F.col("_level") == ENDLESS, F.lit(0.0)).otherwise(F.rint(x * size - F.pmod(x * size, F.lit(1.0))))
+    usable = classes.where("low <= high").withColumn("_level", level)
+    levels = sorted(r[0] for r in usable.select("_level").distinct().collect())  # a few, at most one for each exponent that a double can have
+    ends = F.array_distinct(F.array(at(low), at(low) + 1, at(high)))
+    binned = usable.withColumn("_bin", F.explode(F.filter(ends, lambda x: x <= at(high))))
+    asking = cells.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", at(value))
+    return asking.join(binned, ["_level", "_bin"]).where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).drop("low", "high", "_level", "_bin")
 
 
 def stepwise(value: Column, steps: list[tuple[float, float]], last: float) -> Column:
