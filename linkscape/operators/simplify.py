@@ -114,10 +114,10 @@ def _length(p):
     return F.floor(-F.log(F.greatest(p, F.lit(GRAIN))) / F.log1p(F.lit(GRAIN))).cast("long")
 
 
-def _race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFrame:
-    """``case_id, mu, arc_id, vertex_id, wave``: who reaches each vertex first without the arc in question, for each penalty.
+def _race(arcs: DataFrame, seeds: DataFrame, most_hops: int, settled: DataFrame | None = None) -> DataFrame:
+    """``case_id, mu, arc_id, vertex_id, wave, dist``: who reaches each vertex first without the arc in question, for each penalty.
 
-    State is recomputed each round from the seeds and all in-neighbours, so that a wave that loses a vertex stops spreading from it. Wave 0 wins ties.
+    Nothing moves into a vertex of ``settled`` (``case_id, mu, arc_id, vertex_id``). State is recomputed each round from the seeds and all in-neighbours, so that a wave that loses a vertex stops spreading from it. Wave 0 wins ties.
     Paths of more than ``most_hops`` arcs are left out: around a cycle of length zero a lost wave would feed itself for ever.
     """
     keys = ["case_id", "mu", "arc_id", "vertex_id"]
@@ -127,11 +127,13 @@ def _race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFrame:
         moved = state.join(steps, ["case_id", "mu", "vertex_id"]).where((F.col("via") != F.col("arc_id")) & (F.col("s.hops") < most_hops))
         length = F.when(F.col("s.wave") == 1, F.col("base")).otherwise(F.col("best"))
         moved = moved.select("case_id", "mu", "arc_id", F.col("to").alias("vertex_id"), (F.col("s.dist") + length).alias("dist"), F.col("s.wave").alias("wave"), (F.col("s.hops") + 1).alias("hops"))
+        if settled is not None:
+            moved = moved.join(settled, keys, "left_anti")
         after = moved.unionByName(seeds.select(moved.columns)).groupBy(*keys).agg(F.min(F.struct("dist", "wave", "hops")).alias("s"))
         after = cut(after.join(state.withColumnRenamed("s", "old"), keys, "left").withColumn("new", F.col("old").isNull() | (F.col("old") != F.col("s"))).drop("old"))
         # a vertex once reached stays reached, if by whom may change, so new values are all there is to look for
         if after.where("new").isEmpty():
-            return state.select(*keys, F.col("s.wave").alias("wave"))
+            return state.select(*keys, F.col("s.wave").alias("wave"), F.col("s.dist").alias("dist"))
         state = after.drop("new")
     raise RuntimeError("race did not settle")
 
@@ -144,18 +146,46 @@ def _penalties(land: Landscape, raised: DataFrame, n: int) -> DataFrame:
     return none.unionByName(worth.select("case_id", F.explode(series).alias("mu"))).distinct()
 
 
+def _raised(land: Landscape) -> DataFrame:
+    """``case_id, arc_id, share, improved, gained``: for each improvement of an arc its part of the option's cost, its length and what it saves."""
+    best = R.arcs_by_option(land).join(land.options.select("option_id", "cost"), "option_id")
+    arcs_of = best.groupBy("case_id", "option_id").agg(F.count_distinct("arc_id").alias("n"))
+    base, improved = _length(F.col("probability")), _length(F.col("improved_probability"))
+    return best.join(arcs_of, ["case_id", "option_id"]).select("case_id", "arc_id", (F.col("cost") / F.col("n")).alias("share"), improved.alias("improved"), (base - improved).alias("gained"))
+
+
+def _carried_race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFrame:
+    """``case_id, arc_id, vertex_id`` that wave 1 wins under some penalty, in rising order of these: a vertex once won is settled, nothing
+    moves into it under later penalties, and wave 1 starts from it too, as late as the penalty says.
+
+    All penalties race at once, again and again with what they then know of lower ones, until nothing changes: each pass settles at
+    least one more penalty for good, and mostly two or three passes do.
+    """
+    keys = ["case_id", "arc_id", "vertex_id"]
+    late = arcs.select("case_id", "mu", "late").distinct()
+    settled, more, before = None, seeds, None
+    for _ in range(ROUNDS):
+        won = _race(arcs, more, most_hops, settled).where("wave = 1").join(late, ["case_id", "mu"])
+        known = won.select(*keys, F.struct("mu", (F.col("dist") - F.col("late")).alias("own")).alias("x"))
+        first = cut(known.groupBy(*keys).agg(F.min("x").alias("x")))
+        state = first.agg(F.count("*"), F.sum(F.xxhash64(*keys, "x").cast("decimal(38,0)"))).first()
+        if state == before:
+            return first.select(*keys)
+        before = state
+        later = cut(first.join(late, "case_id").where(F.col("mu") > F.col("x.mu")).select("case_id", "mu", "arc_id", "vertex_id", (F.col("x.own") + F.col("late")).alias("dist")))
+        settled = later.drop("dist")
+        more = seeds.unionByName(later.select("case_id", "mu", "arc_id", "vertex_id", "dist", F.lit(1).alias("wave"), F.lit(0).alias("hops")))
+    raise RuntimeError("penalties did not settle")
+
+
 def arc_criticality(land: Landscape, budget: float | None = None, *, n_penalties: int = 10) -> DataFrame:
     """``case_id, arc_id, t, kind``: ``strong`` if the arc wins the race from its tail to target t in every scenario of improvements, ``useless`` if it never does.
 
     Without a budget the scenarios are all selections.  With one they are those that cost at most ``budget``, which makes more arcs critical:
     for penalties mu, improving an arc costs mu times the option's cost, shared by its arcs, in length, so that a path's length less mu * budget is at most what it
-    is under any selection within the budget; the wave that must win starts mu * budget late.  A win under any penalty counts.
+    is under any selection within the budget; the wave that must win starts mu * budget late.  A win under any penalty counts, and is carried on to the higher ones (``_carried_race``).
     """
-    best = R.arcs_by_option(land).join(land.options.select("option_id", "cost"), "option_id")
-    arcs_of = best.groupBy("case_id", "option_id").agg(F.count_distinct("arc_id").alias("n"))
-    base = _length(F.col("probability"))
-    raised = best.join(arcs_of, ["case_id", "option_id"]).select("case_id", "arc_id", (F.col("cost") / F.col("n")).alias("share"), _length(F.col("improved_probability")).alias("improved"), (base - _length(F.col("improved_probability"))).alias("gained"))
-    raised = cut(raised)
+    base, raised = _length(F.col("probability")), cut(_raised(land))
     mus = cut(_penalties(land, raised, n_penalties)) if budget is not None else land.vertices.select("case_id").distinct().withColumn("mu", F.lit(0.0))
     late = F.floor(F.col("mu") * float(budget or 0.0)).cast("long")
     shortest = raised.join(mus, "case_id").groupBy("case_id", "mu", "arc_id").agg(F.min(F.col("improved") + F.floor(F.col("mu") * F.col("share")).cast("long")).alias("improved"))
@@ -166,10 +196,14 @@ def arc_criticality(land: Landscape, budget: float | None = None, *, n_penalties
     def seed(v: str, dist, wave: int) -> DataFrame:
         return arcs.select("case_id", "mu", "arc_id", F.col(v).alias("vertex_id"), dist.cast("long").alias("dist"), F.lit(wave).alias("wave"), F.lit(0).alias("hops"))
 
-    strong = _race(arcs, seed("dst", F.col("base") + F.col("late"), 1).unionByName(seed("src", F.lit(0), 0)), most_hops)
-    useless = _race(arcs, seed("src", F.col("late"), 1).unionByName(seed("dst", F.col("best"), 0)), most_hops)
+    def winners(seeds: DataFrame) -> DataFrame:
+        return _carried_race(arcs, seeds, most_hops) if budget is not None else _race(arcs, seeds, most_hops).where("wave = 1")
+
+    strong = winners(seed("dst", F.col("base") + F.col("late"), 1).unionByName(seed("src", F.lit(0), 0)))
+    useless = winners(seed("src", F.col("late"), 1).unionByName(seed("dst", F.col("best"), 0)))
     targets = land.vertices.where("target_quality > 0").select("case_id", "vertex_id").unionByName(land.vertex_improvements.where("target_gain > 0").select("case_id", "vertex_id")).distinct()
-    won = strong.where("wave = 1").withColumn("kind", F.lit("strong")).unionByName(useless.where("wave = 1").withColumn("kind", F.lit("useless")))
+    columns = ["case_id", "arc_id", "vertex_id"]
+    won = strong.select(*columns, F.lit("strong").alias("kind")).unionByName(useless.select(*columns, F.lit("useless").alias("kind")))
     return won.join(targets, ["case_id", "vertex_id"], "left_semi").select("case_id", "arc_id", F.col("vertex_id").alias("t"), "kind").distinct()
 
 

@@ -95,6 +95,44 @@ def test_budgeted_holds_under_every_affordable_selection(graphs):
                         assert other >= through * (1 - 1e-6), (case, uv, t, taken)
 
 
+def carried(arcs, penalties, improvements, uv, strong):
+    """Vertices that wave 1 wins under penalties in rising order, with what is won kept as its sources and out of reach."""
+    _, _, u, v, p = uv
+    won = {}
+    for mu in sorted(penalties):
+        late = math.floor(mu * BUDGET)
+        best = {a[1]: min([length(a[4])] + [n + math.floor(mu * share) for i, share, n in improvements if i == a[1]]) for a in arcs}
+        heap = [(length(p) + late, 1, v), (0, 0, u)] if strong else [(late, 1, u), (best[uv[1]], 0, v)]
+        heap = sorted(heap + [(d + late, 1, w) for w, d in won.items()])
+        owner, held = {}, set(won)
+        while heap:
+            d, wave, x = heapq.heappop(heap)
+            if x in owner:
+                continue
+            owner[x] = wave
+            if wave and x not in won:
+                won[x] = d - late
+            for a in arcs:
+                if a[2] == x and a[1] != uv[1] and a[3] not in held:
+                    heapq.heappush(heap, (d + (length(a[4]) if wave else best[a[1]]), wave, a[3]))
+    return set(won)
+
+
+def test_budgeted_equals_penalties_one_after_another(graphs):
+    _, _, arcs, _, land = graphs
+    raised = M._raised(land)
+    improvements, penalties = raised.collect(), M._penalties(land, raised, 10).collect()
+    want = set()
+    for case in "ABCDEF":
+        own, mus = [a for a in arcs if a[0] == case], [r["mu"] for r in penalties if r["case_id"] == case]
+        each = [(r["arc_id"], r["share"], r["improved"]) for r in improvements if r["case_id"] == case]
+        for uv in own:
+            for kind in ("strong", "useless"):
+                want |= {(case, uv[1], t, kind) for t in carried(own, mus, each, uv, kind == "strong") if t != "v0"}
+    got = M.arc_criticality(land, BUDGET).collect()
+    assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
+
+
 def test_components_of_a_lossless_path_and_a_ring(spark):
     n = 24
     vertices = spark.createDataFrame([("k", f"p{i:02}") for i in range(n)] + [("k", f"r{i}") for i in range(4)], "case_id string, vertex_id string")
