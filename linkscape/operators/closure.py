@@ -1,12 +1,13 @@
 """Best paths and what sums over them.
 
 The closure is a fixpoint of joins: only pairs that became better in a round go on, and each round
-takes the best way to each pair by a partial maximum before its shuffle.  What a round found is written once and
-never rewritten; the pieces are merged when there are many of them, and at the end.
+takes the best way to each pair by a partial maximum before its shuffle.  What is known lies in buckets of pairs:
+a round sends only what it reached, is compared bucket by bucket with what is known, and is appended there.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
-from linkscape.storage import cut, cut_counted
+from linkscape.storage import Buckets, cut
 
 MAX_ROUNDS = 100_000
-#: Rounds whose finds are kept apart before they are merged.
+#: Rounds whose finds are kept apart before the best of each pair is rewritten.
+TURNS = 32
+#: Frames of finds that scenarios and witnesses keep apart before they are merged.
 PIECES = 6
 
 
@@ -27,24 +30,34 @@ def best_path_closure(arcs: DataFrame, sources: DataFrame, *, scope: tuple[str,
     ``sources``: ``scope..., vertex_id``.  With ``min_probability`` or ``max_hops`` set, weaker or longer paths are left out, and sums are lower bounds.
     """
     keys = [*scope, "s", "t"]
-    start = cut(sources.select(*scope, F.col("vertex_id").alias("s"), F.col("vertex_id").alias("t"), F.lit(1.0).alias("p")).distinct())
     steps = cut(arcs.where("probability > 0 and src <> dst").groupBy(*scope, F.col("src").alias("t"), F.col("dst").alias("to")).agg(F.max("probability").alias("q")))
-    pieces, frontier = [start], start
-    for hop in range(1, MAX_ROUNDS + 1):
-        reach = frontier.join(steps, [*scope, "t"]).select(*scope, "s", F.col("to").alias("t"), (F.col("p") * F.col("q")).alias("p"))
-        if min_probability is not None:
-            reach = reach.where(F.col("p") >= min_probability)
-        reach = reach.groupBy(*keys).agg(F.max("p").alias("p"))
-        frontier, n = cut_counted(reach.join(merged(pieces, keys).withColumnRenamed("p", "old"), keys, "left").where("old is null or p > old").select(*keys, "p"))
-        if n:
-            pieces.append(frontier)
-        if not n or hop == max_hops:
-            return pieces[0] if len(pieces) == 1 else cut(merged(pieces, keys))
-        if len(pieces) == PIECES:
-            pieces = [cut(merged(pieces, keys))]
+    known = Buckets(arcs.sparkSession, keys)
+    known.append(sources.select(*scope, F.col("vertex_id").alias("s"), F.col("vertex_id").alias("t"), F.lit(1.0).alias("p")).distinct())
+    try:
+        for hop in range(1, MAX_ROUNDS + 1):
+            reach = known.last().join(steps, [*scope, "t"]).select(*scope, "s", F.col("to").alias("t"), (F.col("p") * F.col("q")).alias("p"))
+            if min_probability is not None:
+                reach = reach.where(F.col("p") >= min_probability)
+            reach = reach.groupBy(*keys).agg(F.max("p").alias("p"))
+            found = known.append(reach.join(known.best(old=F.max("p")), keys, "left").where("old is null or p > old").select(*keys, "p"))
+            if not found or hop == max_hops:
+                return cut(known.best(p=F.max("p")))
+            if known.turns % TURNS == 0:
+                known = _compacted(known, keys)
+    finally:
+        known.close()
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
+def _compacted(known: Buckets, keys: list[str]) -> Buckets:
+    """The best of each pair in one turn, and what the last round found in another."""
+    fewer = Buckets(known.spark, keys)
+    fewer.append(known.best(p=F.max("p")))
+    fewer.append(known.last().select(*keys, "p"))
+    known.close()
+    return fewer
+
+
 def merged(pieces: list[DataFrame], keys: list[str]) -> DataFrame:
     """The best of each pair over all pieces."""
     if len(pieces) == 1:
@@ -76,6 +89,17 @@ def inflow(land: Landscape, paths: DataFrame | None = None) -> DataFrame:
     return weighted(paths, land.vertices).groupBy("case_id", "t").agg(F.sum(F.col("a") * F.col("p")).alias("inflow"))
 
 
+def inflow_in_blocks(land: Landscape, sources_a_block: int = 100_000) -> DataFrame:
+    """As ``inflow``, for more sources than pairs can be kept for at once: about ``sources_a_block`` of them at a time, whose paths are summed before the next ones are looked for."""
+    own = R.sources(land.vertices)
+    n = max(1, math.ceil(own.count() / sources_a_block))
+    parts = []
+    for k in range(n):
+        block = own.where(F.pmod(F.xxhash64("case_id", "vertex_id"), F.lit(n)) == k)
+        parts.append(cut(inflow(land, best_path_closure(land.arcs, block))))
+    return reduce(DataFrame.unionByName, parts).groupBy("case_id", "t").agg(F.sum("inflow").alias("inflow"))
+
+
 def target_contribution(land: Landscape, paths: DataFrame | None = None) -> DataFrame:
     """``case_id, t, contribution``: a target's part of the score."""
     paths = closure(land) if paths is None else paths

@@ -237,17 +237,28 @@ SELECT round(base, 4) AS base_score, round(base + (SELECT sum(score * greatest(0
 _ROUNDS = ",\n".join(f"r{k} AS MATERIALIZED (SELECT s, t, max(q) AS q FROM (SELECT * FROM r{k - 1} UNION ALL SELECT r.s, a.b, r.q * a.q FROM r{k - 1} r JOIN arcs a ON a.a = r.t) GROUP BY 1, 2)" for k in range(1, 9))
 
 
-@query("ps_inflow", f"""WITH e AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, pow(2.0, -(1 + min(l_linenumber))) AS q FROM lineitem GROUP BY 1, 2),
+def _ps_sql(sources: str) -> str:
+    return f"""WITH e AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, pow(2.0, -(1 + min(l_linenumber))) AS q FROM lineitem GROUP BY 1, 2),
 arcs AS (SELECT s AS a, p AS b, q FROM e UNION ALL SELECT p, s, q FROM e),
-r0 AS (SELECT DISTINCT s, s AS t, CAST(1 AS DOUBLE) AS q FROM e WHERE CAST(substr(s, 2) AS BIGINT) % 10 = 0),
+r0 AS (SELECT DISTINCT s, s AS t, CAST(1 AS DOUBLE) AS q FROM e WHERE {sources}),
 {_ROUNDS}
-SELECT 'ps' AS case_id, t, sum(q) AS inflow FROM r8 GROUP BY 1, 2""")
+SELECT 'ps' AS case_id, t, sum(q) AS inflow FROM r8 GROUP BY 1, 2"""
+
+
+@query("ps_inflow", _ps_sql("CAST(substr(s, 2) AS BIGINT) % 10 = 0"))
 def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
     land = part_supplier_landscape(spark, sf_dir)
     asked = F.col("vertex_id").startswith("s") & (F.substring("vertex_id", 2, 20).try_cast("long") % 10 == 0)
     return G.inflow(land.with_(vertices=land.vertices.withColumn("source_quality", F.when(asked, 1.0).otherwise(0.0))))
 
 
+@query("ps_inflow_all", _ps_sql("true"))
+def _ps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier is a source, in blocks."""
+    land = part_supplier_landscape(spark, sf_dir)
+    return G.inflow_in_blocks(land.with_(vertices=land.vertices.withColumn("source_quality", F.col("vertex_id").startswith("s").cast("double"))))
+
+
 # --- criterion: five cases, one for each market segment
 SEG = "SELECT d.case_id, sum(x.a * y.b * d.p) AS pc " + JOINED + " GROUP BY 1"
 WIDE = D5 + f", c AS ({SEG}), w AS (SELECT " + ", ".join(f"max(CASE WHEN case_id = '{n}' THEN pc END) AS x{k}" for k, n in enumerate(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))) + " FROM c) "

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,42 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return found, seen.get["n"]
 
 
+class Buckets:
+    """Rows that only grow, in the shared folder: what is appended is hashed by ``keys`` into as many buckets as the session shuffles to, so that joins and groups by these keys need no exchange of what is there.
+
+    Only tables of the catalog have buckets: its name for these files lasts until ``close``, after which no frame that reads them may be run.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str]):
+        self.spark, self.keys, self.turns = spark, keys, 0
+        self.name = f"linkscape_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{self.name}"
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, df: DataFrame) -> int:
+        """Adds the rows of ``df`` as one turn; gives their number."""
+        seen = Observation()
+        turn = df.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("turn", F.lit(self.turns))
+        turn.write.mode("append").format("parquet").partitionBy("turn").bucketBy(self.n, *self.keys).option("path", self.path).saveAsTable(self.name)
+        self.turns += 1
+        return seen.get["n"]
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name).drop("turn")
+
+    def last(self) -> DataFrame:
+        """The rows of the last turn."""
+        return self.spark.table(self.name).where(F.col("turn") == self.turns - 1).drop("turn")
+
+    def best(self, **columns: Column) -> DataFrame:
+        """One row for each key over all turns."""
+        return self.rows().groupBy(*self.keys).agg(*[c.alias(name) for name, c in columns.items()])
+
+    def close(self) -> None:
+        """Out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def local_frame(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
     """A few rows of the driver as a frame, by way of Arrow (no Python worker reads them)."""
     import pyarrow as pa
