@@ -11,8 +11,20 @@ from linkscape.landscape import Landscape
 from linkscape.storage import local_frame
 
 
+#: Where a row was read, in tables that say so: ``struct(file, block, id)``, rising from row to row of a file; null where it is no file.
+PLACE = "_place"
+
+
+def _place(df: DataFrame) -> list[str]:
+    return [PLACE] if PLACE in df.columns else []
+
+
 def _violations(df: DataFrame, table: str, key: str, rule: str) -> DataFrame:
-    return df.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"), F.lit(rule).alias("rule"))
+    return df.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"), F.lit(rule).alias("rule"), *_place(df))
+
+
+def _all(found: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 def domain_violations(land: Landscape) -> DataFrame:
@@ -31,18 +43,18 @@ def domain_violations(land: Landscape) -> DataFrame:
         own = [(k, r) for t, k, r in checks if t == table]
         rules = F.array(*[F.when(~F.coalesce(F.expr(r), F.lit(False)), F.lit(r)) for _, r in own])
         df = getattr(land, table)
-        found.append(df.select(F.lit(table).alias("table"), F.col(own[0][0]).cast("string").alias("key"), F.explode(F.array_compact(rules)).alias("rule")))
-    return reduce(DataFrame.unionByName, found)
+        found.append(df.select(F.lit(table).alias("table"), F.col(own[0][0]).cast("string").alias("key"), F.explode(F.array_compact(rules)).alias("rule"), *_place(df)))
+    return _all(found)
 
 
 def reference_violations(land: Landscape) -> DataFrame:
     """Names that no row defines: of vertices, arcs and options, and of cases in the criterion."""
-    vertices, arcs = land.vertices.select("case_id", "vertex_id"), land.arcs.select("case_id", "arc_id")
+    vertices, arcs, options = land.vertices.select("case_id", "vertex_id"), land.arcs.select("case_id", "arc_id"), land.options.select("option_id")
     found = [
         _violations(land.vertex_improvements.join(vertices, ["case_id", "vertex_id"], "left_anti"), "vertex_improvements", "vertex_id", "unknown vertex"),
         _violations(land.arc_improvements.join(arcs, ["case_id", "arc_id"], "left_anti"), "arc_improvements", "arc_id", "unknown arc"),
-        _violations(land.vertex_improvements.join(land.options, "option_id", "left_anti"), "vertex_improvements", "option_id", "unknown option"),
-        _violations(land.arc_improvements.join(land.options, "option_id", "left_anti"), "arc_improvements", "option_id", "unknown option"),
+        _violations(land.vertex_improvements.join(options, "option_id", "left_anti"), "vertex_improvements", "option_id", "unknown option"),
+        _violations(land.arc_improvements.join(options, "option_id", "left_anti"), "arc_improvements", "option_id", "unknown option"),
     ]
     for end in ("src", "dst"):
         lost = land.arcs.join(vertices.withColumnRenamed("vertex_id", end), ["case_id", end], "left_anti")
@@ -50,28 +62,41 @@ def reference_violations(land: Landscape) -> DataFrame:
     if land.criterion is not None and land.criterion.cases():
         named = local_frame(land.vertices.sparkSession, {"case_id": sorted(land.criterion.cases())}, "case_id string")
         found.append(_violations(named.join(land.vertices, "case_id", "left_anti"), "criterion", "case_id", "unknown case"))
-    return reduce(DataFrame.unionByName, found)
+    return _all(found)
 
 
 def duplicate_keys(land: Landscape) -> DataFrame:
     """Ids that occur more than once."""
     found = []
     for table, keys in (("options", ["option_id"]), ("vertices", ["case_id", "vertex_id"]), ("arcs", ["case_id", "arc_id"])):
-        twice = getattr(land, table).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+        df = getattr(land, table)
+        twice = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in _place(df)]).where("n > 1")
         found.append(_violations(twice, table, keys[-1], "duplicate"))
-    return reduce(DataFrame.unionByName, found)
+    return _all(found)
 
 
 def violations(land: Landscape) -> DataFrame:
-    return domain_violations(land).unionByName(reference_violations(land)).unionByName(duplicate_keys(land))
+    """All of the above; with ``PLACE`` where the tables have it, of repeated ids the last row's."""
+    return _all([domain_violations(land), reference_violations(land), duplicate_keys(land)])
 
 
 def checked(land: Landscape) -> Landscape:
-    """``land``, or an error that names some of what is wrong."""
+    """``land``, or an error that names some of what is wrong, with file and row where the tables say where they were read."""
     wrong = violations(land).limit(20).collect()
     if wrong:
-        raise ValueError("; ".join(f"{r['table']} {r['key']}: {r['rule']}" for r in wrong))
-    return land
+        raise ValueError("; ".join(f"{r['table']} {r['key']}: {r['rule']}{_where(land, r)}" for r in wrong))
+    names = ("options", "vertices", "arcs", "vertex_improvements", "arc_improvements")
+    return land.with_(**{n: getattr(land, n).drop(PLACE) for n in names})
+
+
+def _where(land: Landscape, wrong) -> str:
+    """The file of a violation and its row there, the one below the head being the first: one count of the rows before it."""
+    place = wrong[PLACE] if PLACE in wrong else None
+    if place is None:
+        return ""
+    own = F.col(PLACE)
+    before = getattr(land, wrong["table"]).select(PLACE).distinct().where((own["file"] == place["file"]) & ((own["block"] < place["block"]) | ((own["block"] == place["block"]) & (own["id"] < place["id"])))).count()
+    return f" ({place['file']}, row {before + 1})"
 
 
 def profile(land: Landscape) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscape.functions.criterion import parse
 from linkscape.landscape import SCHEMAS, Landscape
-from linkscape.operators.validation import checked
-from linkscape.storage import cut
+from linkscape.operators.validation import PLACE, checked
+from linkscape.storage import cut, local_frame
 
 #: Logical column names of a manifest's tables and ours.
 COLUMNS = {
@@ -43,38 +45,72 @@ def read_table(spark: SparkSession, table: str, spec, folder: str) -> DataFrame:
         rows = F.from_json(F.lit(json.dumps(spec)), "array<struct<" + ", ".join(f"`{n}`: string" for n in names) + ">>")
         return _typed(spark.range(1).select(F.inline(rows)), table, {})
     path = spec.get("csv_file") or spec["parquet_file"]
-    path = path if re.match(r"^(/|\w+:)", path) else posixpath.join(folder, path)
+    path = _absolute(path, folder)
     df = spark.read.csv(path, header=True, inferSchema=False) if "csv_file" in spec else spark.read.parquet(path)
     aliases = spec.get("csv_columns", {})
     if table != "options":
         return _typed(df, table, aliases)
     if "option_ord" in df.columns:
-        return _typed(df, table, aliases, (F.col("option_ord").cast("long").alias("option_ord"),))
+        return _typed(df, table, aliases, (F.col("option_ord").cast("long").alias("option_ord"), _place()))
     # a file's blocks may be read in any order: sorted by file, block and place in the block, and numbered once
-    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    placed = _typed(df, table, aliases, place).orderBy("_file", "_block", "_row")
-    return cut(placed.withColumn("option_ord", F.monotonically_increasing_id()).drop("_file", "_block", "_row"))
+    placed = _typed(df, table, aliases, (_place(),)).orderBy(PLACE)
+    return cut(placed.withColumn("option_ord", F.monotonically_increasing_id()))
+
+
+def _place() -> Column:
+    """Where a row stands: its file, block, and a number that rises in the block."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias(PLACE)
+
+
+def _absolute(path: str, folder: str) -> str:
+    return path if re.match(r"^(/|\w+:)", path) else posixpath.join(folder, path)
+
+
+def read_cases(spark: SparkSession, table: str, specs: dict[str, dict | list | None], folder: str) -> DataFrame:
+    """One table of all cases, ``case_id`` first: CSV files whose names of columns and heads agree are one scan, however many cases there are; a file's case is found by its path.
+
+    A file may serve several cases. One job reads the heads of all files.
+    """
+    parts, files = [], {}
+    for case, spec in sorted(specs.items()):
+        if isinstance(spec, dict) and "csv_file" in spec:
+            files.setdefault(json.dumps(spec.get("csv_columns", {}), sort_keys=True), {}).setdefault(_absolute(spec["csv_file"], folder), []).append(case)
+        elif spec is not None:
+            parts.append(read_table(spark, table, spec, folder).select(F.lit(case).alias("case_id"), "*"))
+    for aliases, paths in files.items():
+        lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+        heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("head")).collect()  # one row a file
+        plain = {unquote(urlsplit(p).path).rstrip("/"): cases for p, cases in paths.items()}
+        alike: dict[str, list[tuple[str, str]]] = {}
+        for file, head in heads:
+            at = unquote(urlsplit(file).path)
+            while at not in plain and at != posixpath.dirname(at):
+                at = posixpath.dirname(at)
+            alike.setdefault(head, []).extend((file, case) for case in plain[at])
+        for own in alike.values():
+            df = spark.read.csv(sorted({unquote(f) for f, _ in own}), header=True, inferSchema=False)
+            cases = local_frame(spark, {"file": [f for f, _ in own], "case_id": [c for _, c in own]}, "file string, case_id string")
+            typed = _typed(df, table, json.loads(aliases), (_place(),)).withColumn("file", F.col(PLACE)["file"])
+            parts.append(typed.join(cases, "file").select("case_id", *COLUMNS[table].values(), PLACE))
+    if not parts:
+        parts.append(read_table(spark, table, None, folder).select(F.lit(None).cast("string").alias("case_id"), "*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_landscape(spark: SparkSession, manifest: str) -> Landscape:
     """The landscape a JSON manifest describes; relative paths start at its folder.
 
-    Wrong ranges, unknown names and repeated ids raise an error. Options without ``option_ord`` are ordered as they stand in their file or list.
+    Wrong ranges, unknown names and repeated ids raise an error that names file and row. Options without ``option_ord`` are ordered as they stand in their file or list.
     """
     rows = spark.read.text(manifest, wholetext=True).collect()  # one small file
     data, folder = json.loads(rows[0][0]), posixpath.dirname(manifest)
     options = read_table(spark, "options", data["options"], folder)
     if "option_ord" not in options.columns:
         options = options.withColumn("option_ord", F.monotonically_increasing_id())
-    tables: dict[str, DataFrame] = {}
-    for case, spec in sorted(data["cases"].items()):
-        for name in ("vertices", "arcs", "vertices_improvements", "arcs_improvements"):
-            df = read_table(spark, name, spec.get(name), folder).select(F.lit(case).alias("case_id"), "*")
-            tables[name] = tables[name].unionByName(df) if name in tables else df
-    land = Landscape(
-        options.select("option_id", "option_ord", "cost"), tables["vertices"], tables["arcs"], tables["vertices_improvements"], tables["arcs_improvements"],
-        parse(data["criterion"]) if "criterion" in data else None,
-    )
+    named = {"vertices": "vertices", "arcs": "arcs", "vertices_improvements": "vertex_improvements", "arcs_improvements": "arc_improvements"}
+    tables = {ours: read_cases(spark, name, {case: spec.get(name) for case, spec in data["cases"].items()}, folder) for name, ours in named.items()}
+    options = options.select("option_id", "option_ord", "cost", *[c for c in options.columns if c == PLACE])
+    land = Landscape(options, **tables, criterion=parse(data["criterion"]) if "criterion" in data else None)
     return checked(land)
 
 
