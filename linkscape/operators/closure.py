@@ -43,21 +43,12 @@ def best_path_closure(arcs: DataFrame, sources: DataFrame, *, scope: tuple[str,
             if not found or hop == max_hops:
                 return cut(known.best(p=F.max("p")))
             if known.turns % TURNS == 0:
-                known = _compacted(known, keys)
+                known = known.compacted(p=F.max("p"))
     finally:
         known.close()
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
-def _compacted(known: Buckets, keys: list[str]) -> Buckets:
-    """The best of each pair in one turn, and what the last round found in another."""
-    fewer = Buckets(known.spark, keys)
-    fewer.append(known.best(p=F.max("p")))
-    fewer.append(known.last().select(*keys, "p"))
-    known.close()
-    return fewer
-
-
 def merged(pieces: list[DataFrame], keys: list[str]) -> DataFrame:
     """The best of each pair over all pieces."""
     if len(pieces) == 1:

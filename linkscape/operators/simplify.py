@@ -9,69 +9,146 @@ from pyspark.sql import functions as F
 
 from linkscape.landscape import Landscape
 from linkscape.operators import relational as R
-from linkscape.storage import cut, cut_counted
+from linkscape.storage import Buckets, cut, cut_counted
 
 ROUNDS = 10_000
-#: Trimming steps before each colouring, and finds kept apart before they are merged.
-TRIMS, PIECES = 1_000, 100
+#: Trimming steps before each colouring, finds kept apart before they are merged, and hops kept apart before the best of each vertex is rewritten.
+TRIMS, PIECES, TURNS = 1_000, 100, 32
 #: Step of the integer lengths, and the probability that stands for none.
 GRAIN = 1e-8
+#: Later than any arrival: lengths are below 2**31.
+NEVER = 1 << 62
 
 
-def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Smallest label that reaches each vertex along ``arcs`` (``case_id, src, dst``)."""
-    now = frontier = cut(labels)
-    for _ in range(ROUNDS):
-        came = frontier.join(arcs, (frontier["case_id"] == arcs["c"]) & (frontier["vertex_id"] == arcs["src"])).groupBy("case_id", F.col("dst").alias("vertex_id")).agg(F.min("label").alias("new"))
-        frontier = cut(now.join(came, ["case_id", "vertex_id"]).where("new < label").select("case_id", "vertex_id", F.col("new").alias("label")))
-        if frontier.isEmpty():
+def _jumped(ways: DataFrame) -> DataFrame:
+    """``case_id, way, vertex_id, to, low, ring`` of pointers ``case_id, way, vertex_id, to, low``, one a vertex and way: followed to where they leave the table, with the least ``low`` on the way.
+
+    Each round follows twice as many pointers at once.  Pointers in a ring never leave; ``low`` is that of the whole ring when a round lowers it nowhere, as stretches of equal length laid end to end go round it.
+    """
+    now = cut(ways.withColumn("ring", F.lit(True)))
+    for _ in range(64):
+        onward = now.select("case_id", "way", F.col("vertex_id").alias("to"), F.col("to").alias("further"), F.col("low").alias("below"))
+        least, left = F.least("low", "below"), F.col("further").isNull()
+        after = now.join(onward, ["case_id", "way", "to"], "left").select(
+            "case_id", "way", "vertex_id", F.coalesce("further", "to").alias("to"), least.alias("low"), F.col("further").isNotNull().alias("ring"), ((F.col("ring") & left) | (least < F.col("low"))).alias("news")
+        )
+        after, news = cut_counted(after, F.col("news"))
+        now = after.drop("news")
+        if not news:
             return now
-        now = cut(now.unionByName(frontier).groupBy("case_id", "vertex_id").agg(F.min("label").alias("label")))
-    raise RuntimeError("labels did not settle")
+    raise RuntimeError("pointers did not settle")
+
+
+def _sole(links: DataFrame, end: str, other: str) -> DataFrame:
+    """``case_id, vertex_id, to``: the ``other`` ends of links whose ``end`` has just one."""
+    return links.groupBy(F.col("c").alias("case_id"), F.col(end).alias("vertex_id")).agg(F.min(other).alias("to"), F.max(other).alias("most")).where("to = most").drop("most")
+
+
+def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Smallest label that reaches each vertex of ``labels`` (``case_id, vertex_id, label``) along ``arcs`` (``c, src, dst``, distinct, no loops).
+
+    A vertex with one way in takes what its parent has, so whole trees, paths and rings fold into where they hang, with rounds that grow with the
+    logarithm of their length; again as long as that takes a tenth of the vertices.  Labels spread hop by hop over what is left, each hop appended to what is known.
+    """
+    keys = ["case_id", "vertex_id"]
+    (left, n), links, folds = cut_counted(labels), arcs, []
+    while True:
+        ways = _sole(links, "dst", "src").join(left, keys).select("case_id", F.lit("in").alias("way"), "vertex_id", "to", F.col("label").alias("low"))
+        ways, m = cut_counted(ways)
+        if m:
+            fold = _jumped(ways).drop("way")
+            folds.append(fold)
+            tails = fold.select(F.col("case_id").alias("c"), F.col("vertex_id").alias("src"), "to", "low", "ring")
+            onward = cut(links.join(fold.select(F.col("case_id").alias("c"), F.col("vertex_id").alias("dst")), ["c", "dst"], "left_anti").join(tails, ["c", "src"], "left"))
+            brought = onward.where("low is not null").groupBy(F.col("c").alias("case_id"), F.col("dst").alias("vertex_id")).agg(F.min("low").alias("brought"))
+            left, rest = cut_counted(left.join(fold, keys, "left_anti").join(brought, keys, "left").select(*keys, F.least("label", "brought").alias("label")))
+            links, more = cut_counted(onward.where("ring is null or not ring").select("c", F.coalesce("to", "src").alias("src"), "dst").where("src <> dst").distinct())
+        else:
+            rest, more = n, links.limit(1).count()
+        if not more or m * 10 < n:
+            break
+        n = rest
+    known = left
+    if more:
+        reached = Buckets(labels.sparkSession, keys)
+        try:
+            reached.append(left)
+            for _ in range(ROUNDS):
+                now = reached.last()
+                came = now.join(links, (now["case_id"] == links["c"]) & (now["vertex_id"] == links["src"])).groupBy("case_id", F.col("dst").alias("vertex_id")).agg(F.min("label").alias("label"))
+                if not reached.append(came.join(reached.best(old=F.min("label")), keys).where("label < old").select(*keys, "label")):
+                    break
+                if reached.turns % TURNS == 0:
+                    reached = reached.compacted(label=F.min("label"))
+            else:
+                raise RuntimeError("labels did not settle")
+            known = cut(reached.best(label=F.min("label")))
+        finally:
+            reached.close()
+    for fold in reversed(folds):
+        anchors = known.select("case_id", F.col("vertex_id").alias("to"), "label")
+        known = cut(known.unionByName(fold.join(anchors, ["case_id", "to"], "left").select(*keys, F.when(F.col("ring"), F.col("low")).otherwise(F.least("low", "label")).alias("label"))))
+    return known
 
 
 def strong_components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """``case_id, vertex_id, component``: strongly connected components, named by their smallest vertex.
 
-    Each round first trims: vertices without a live arc in or none out are components of their own, again and again, up to TRIMS times,
-    so that paths such as rivers go from both ends.  What is left is coloured, every vertex with the smallest one that reaches it; of each colour, what reaches its root again is a component.
+    Each round takes off the vertices without a live arc in or none out, which are components of their own, and folds chains of vertices with one way in and
+    one out into one arc by pointer jumping, so that rivers and rings need rounds by the logarithm of their length.  Where neither finds anything, what is left is coloured, every
+    vertex with the smallest one that reaches it; of each colour, what reaches its root again is a component.  A folded chain belongs to its ends' component if they share one; else its vertices stand alone.
     """
-    left = cut(vertices.select("case_id", "vertex_id").distinct())
+    keys = ["case_id", "vertex_id"]
+    left = cut(vertices.select(*keys).distinct())
     links = cut(arcs.where("src <> dst").select(F.col("case_id").alias("c"), "src", "dst").distinct())
-    pieces: list[DataFrame] = [left.limit(0).withColumn("component", F.col("vertex_id"))]
+    pieces, folds, trims = [left.limit(0).withColumn("component", F.col("vertex_id"))], [], 0
+    at = lambda df, end: df.select(F.col("case_id").alias("c"), F.col("vertex_id").alias(end))
     for _ in range(ROUNDS):
         if left.isEmpty():
-            return cut(reduce(DataFrame.unionByName, pieces))
-        for _ in range(TRIMS):
-            ends = left.select(F.col("case_id").alias("c"), F.col("vertex_id"))
-            live = cut(links.join(ends.withColumnRenamed("vertex_id", "src"), ["c", "src"], "left_semi").join(ends.withColumnRenamed("vertex_id", "dst"), ["c", "dst"], "left_semi").select("c", "src", "dst"))
-            inner = live.select(F.col("c").alias("case_id"), F.col("src").alias("vertex_id")).intersect(live.select(F.col("c").alias("case_id"), F.col("dst").alias("vertex_id")))
-            kept = cut(inner)
-            single = left.join(kept, ["case_id", "vertex_id"], "left_anti").withColumn("component", F.col("vertex_id"))
-            single, n = cut_counted(single.select("case_id", "vertex_id", "component"))
-            links, left = live, kept
-            if not n:
-                break
+            break
+        live = cut(links.join(at(left, "src"), ["c", "src"], "left_semi").join(at(left, "dst"), ["c", "dst"], "left_semi").select("c", "src", "dst"))
+        kept = cut(live.select(F.col("c").alias("case_id"), F.col("src").alias("vertex_id")).intersect(live.select(F.col("c").alias("case_id"), F.col("dst").alias("vertex_id"))))
+        single, n = cut_counted(left.join(kept, keys, "left_anti").select(*keys, F.col("vertex_id").alias("component")))
+        left, links, trims = kept, live, trims + 1
+        if n:
             pieces.append(single)
-        if left.isEmpty():
+            links = cut(live.join(at(single, "src"), ["c", "src"], "left_anti").join(at(single, "dst"), ["c", "dst"], "left_anti").select("c", "src", "dst"))
+        onward, back = _sole(links, "src", "dst"), _sole(links, "dst", "src")
+        ways = onward.join(back.drop("to"), keys, "left_semi").withColumn("way", F.lit("out")).unionByName(back.join(onward.drop("to"), keys, "left_semi").withColumn("way", F.lit("in")))
+        ways, m = cut_counted(ways.select("case_id", "way", "vertex_id", "to", F.col("vertex_id").alias("low")))
+        if m:
+            far = _jumped(ways)
+            pieces.append(far.where("ring and way = 'out'").select(*keys, F.col("low").alias("component")))
+            ends = lambda way, name: far.where(F.col("way") == way).where("not ring").select(*keys, F.col("to").alias(name))
+            chain = cut(ends("in", "head").join(ends("out", "tail"), keys))
+            folds.append(chain)
+            inner = ways.where("way = 'out'").select(*keys)
+            left = cut(left.join(inner, keys, "left_anti"))
+            outer = links.join(at(inner, "src"), ["c", "src"], "left_anti").join(at(inner, "dst"), ["c", "dst"], "left_anti").select("c", "src", "dst")
+            links = cut(outer.unionByName(chain.where("head <> tail").select(F.col("case_id").alias("c"), F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct())
+        if (n or m) and trims % TRIMS:
             continue
-        colour = _spread(left.withColumn("label", F.col("vertex_id")), live)
-        inner = live.join(colour.select(F.col("case_id").alias("c"), F.col("vertex_id").alias("src"), F.col("label").alias("x")), ["c", "src"]).join(
-            colour.select(F.col("case_id").alias("c"), F.col("vertex_id").alias("dst"), F.col("label").alias("y")), ["c", "dst"]
-        )
-        back = cut(inner.where("x = y").select("c", F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = frontier = cut(colour.where("vertex_id = label"))
-        for _ in range(ROUNDS):
-            came = frontier.join(back, (frontier["case_id"] == back["c"]) & (frontier["vertex_id"] == back["src"])).select("case_id", F.col("dst").alias("vertex_id"), "label").distinct()
-            frontier = cut(came.join(found, ["case_id", "vertex_id"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            found = cut(found.unionByName(frontier))
-        pieces.append(found.withColumnRenamed("label", "component").select("case_id", "vertex_id", "component"))
+        colour = _spread(left.withColumn("label", F.col("vertex_id")), links)
+        named = lambda end, name: colour.select(F.col("case_id").alias("c"), F.col("vertex_id").alias(end), F.col("label").alias(name))
+        inside = links.join(named("src", "x"), ["c", "src"]).join(named("dst", "y"), ["c", "dst"]).where("x = y")
+        back = cut(inside.select("c", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reach = _spread(colour.select(*keys, F.when(F.col("vertex_id") == F.col("label"), 0).otherwise(1).alias("label")), back)
+        found = cut(colour.join(reach.where("label = 0"), keys, "left_semi").select(*keys, F.col("label").alias("component")))
+        pieces.append(found)
         if len(pieces) > PIECES:
             pieces = [cut(reduce(DataFrame.unionByName, pieces))]
-        left = cut(left.join(found, ["case_id", "vertex_id"], "left_anti"))
-    raise RuntimeError("components did not settle")
+        left = cut(left.join(found, keys, "left_anti"))
+    else:
+        raise RuntimeError("components did not settle")
+    known = cut(reduce(DataFrame.unionByName, pieces))
+    if not folds:
+        return known
+    for chain in reversed(folds):
+        end = lambda name, part: known.select("case_id", F.col("vertex_id").alias(name), F.col("component").alias(part))
+        lying = chain.join(end("head", "x"), ["case_id", "head"]).join(end("tail", "y"), ["case_id", "tail"])
+        known = cut(known.unionByName(lying.select(*keys, F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("vertex_id")).alias("component"))))
+    names = known.groupBy("case_id", "component").agg(F.min("vertex_id").alias("name"))
+    return cut(known.join(names, ["case_id", "component"]).select(*keys, F.col("name").alias("component")))
 
 
 def lossless_components(land: Landscape) -> DataFrame:
@@ -95,13 +172,9 @@ def drop_unfed(land: Landscape) -> Landscape:
     """Without vertices that no (possible) source quality reaches, and their arcs and improvements."""
     fed = R.sources(land.vertices).select("case_id", "vertex_id").unionByName(land.vertex_improvements.where("source_gain > 0").select("case_id", "vertex_id")).distinct()
     usable = R.fully_improved_arcs(land).where("probability > 0").select(F.col("case_id").alias("c"), "src", "dst").distinct()
-    reached = frontier = cut(fed)
-    for _ in range(ROUNDS):
-        came = frontier.join(usable, (frontier["case_id"] == usable["c"]) & (frontier["vertex_id"] == usable["src"])).select("case_id", F.col("dst").alias("vertex_id")).distinct()
-        frontier = cut(came.join(reached, ["case_id", "vertex_id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
+    usable = cut(usable.where("src <> dst"))
+    labels = land.vertices.select("case_id", "vertex_id").distinct().join(fed.withColumn("label", F.lit(0)), ["case_id", "vertex_id"], "left")
+    reached = _spread(labels.select("case_id", "vertex_id", F.coalesce("label", F.lit(1)).alias("label")), usable).where("label = 0").drop("label")
     end = lambda c: reached.withColumnRenamed("vertex_id", c)
     arcs = land.arcs.join(end("src"), ["case_id", "src"], "left_semi").join(end("dst"), ["case_id", "dst"], "left_semi").select(land.arcs.columns)
     return land.with_(
@@ -114,27 +187,41 @@ def _length(p):
     return F.floor(-F.log(F.greatest(p, F.lit(GRAIN))) / F.log1p(F.lit(GRAIN))).cast("long")
 
 
-def _race(arcs: DataFrame, seeds: DataFrame, most_hops: int, settled: DataFrame | None = None) -> DataFrame:
-    """``case_id, mu, arc_id, vertex_id, wave, dist``: who reaches each vertex first without the arc in question, for each penalty.
+def _race(arcs: DataFrame, seeds: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """``case_id, mu, arc_id, vertex_id, wave, dist``: who reaches each vertex first without the arc in question, for each penalty. Wave 0 wins ties.
 
-    Nothing moves into a vertex of ``settled`` (``case_id, mu, arc_id, vertex_id``). State is recomputed each round from the seeds and all in-neighbours, so that a wave that loses a vertex stops spreading from it. Wave 0 wins ties.
-    Paths of more than ``most_hops`` arcs are left out: around a cycle of length zero a lost wave would feed itself for ever.
+    Nothing moves into a vertex of ``settled`` (``case_id, mu, arc_id, vertex_id``). Labels are set for good: a round closes every open vertex that nothing still open can reach sooner, as
+    what comes later must leave an open vertex of its wave by an arc and enter by one.  Only what a round closes moves on, once for each vertex, so that arcs times reached vertices bound the rows of all rounds,
+    a wave that loses a vertex never spreads from it, and cycles of length zero do no harm.
     """
-    keys = ["case_id", "mu", "arc_id", "vertex_id"]
-    state = cut(seeds.groupBy(*keys).agg(F.min(F.struct("dist", "wave", "hops")).alias("s")))
+    race, keys = ["case_id", "mu", "arc_id"], ["case_id", "mu", "arc_id", "vertex_id"]
     steps = cut(arcs.select("case_id", "mu", F.col("arc_id").alias("via"), F.col("src").alias("vertex_id"), F.col("dst").alias("to"), "base", "best"))
-    for _ in range(ROUNDS):
-        moved = state.join(steps, ["case_id", "mu", "vertex_id"]).where((F.col("via") != F.col("arc_id")) & (F.col("s.hops") < most_hops))
-        length = F.when(F.col("s.wave") == 1, F.col("base")).otherwise(F.col("best"))
-        moved = moved.select("case_id", "mu", "arc_id", F.col("to").alias("vertex_id"), (F.col("s.dist") + length).alias("dist"), F.col("s.wave").alias("wave"), (F.col("s.hops") + 1).alias("hops"))
-        if settled is not None:
-            moved = moved.join(settled, keys, "left_anti")
-        after = moved.unionByName(seeds.select(moved.columns)).groupBy(*keys).agg(F.min(F.struct("dist", "wave", "hops")).alias("s"))
-        after = cut(after.join(state.withColumnRenamed("s", "old"), keys, "left").withColumn("new", F.col("old").isNull() | (F.col("old") != F.col("s"))).drop("old"))
-        # a vertex once reached stays reached, if by whom may change, so new values are all there is to look for
-        if after.where("new").isEmpty():
-            return state.select(*keys, F.col("s.wave").alias("wave"), F.col("s.dist").alias("dist"))
-        state = after.drop("new")
+    leave = steps.groupBy("case_id", "mu", "vertex_id").agg(F.min("best").alias("out0"), F.min("base").alias("out1"))
+    enter = steps.groupBy("case_id", "mu", F.col("to").alias("vertex_id")).agg(F.min("best").alias("in0"), F.min("base").alias("in1"))
+    bounds = cut(leave.join(enter, ["case_id", "mu", "vertex_id"], "full"))
+    first = lambda df: df.groupBy(*keys).agg(F.min(F.struct("dist", "wave")).alias("s")).select(*keys, "s.dist", "s.wave")
+    at = lambda w: F.when(F.col("wave") == w, F.col("dist"))
+    waiting, closed = cut(first(seeds)), Buckets(arcs.sparkSession, keys)
+    try:
+        for _ in range(ROUNDS):
+            known = waiting.join(bounds, ["case_id", "mu", "vertex_id"], "left")
+            limits = known.groupBy(*race).agg(*[F.min(at(w)).alias(f"d{w}") for w in (0, 1)], *[F.min(at(w) + F.col(f"out{w}")).alias(f"l{w}") for w in (0, 1)])
+            final = F.lit(True)
+            for w in (0, 1):
+                soonest = F.greatest(F.coalesce(f"l{w}", F.lit(NEVER)), F.coalesce(F.col(f"d{w}") + F.col(f"in{w}"), F.lit(NEVER)))
+                final = final & ((F.col("dist") < soonest) | ((F.col("dist") == soonest) & (F.col("wave") <= w)))
+            marked = cut(known.join(limits, race).select(*keys, "dist", "wave", final.alias("final")))
+            closed.append(marked.where("final").select(*keys, "dist", "wave"))
+            length = F.when(F.col("wave") == 1, F.col("base")).otherwise(F.col("best"))
+            moved = closed.last().join(steps, ["case_id", "mu", "vertex_id"]).where("via <> arc_id").select(*race, F.col("to").alias("vertex_id"), (F.col("dist") + length).alias("dist"), "wave")
+            moved = first(moved).join(closed.rows().select(*keys), keys, "left_anti")
+            if settled is not None:
+                moved = moved.join(settled, keys, "left_anti")
+            waiting, n = cut_counted(first(marked.where("not final").select(moved.columns).unionByName(moved)))
+            if not n:
+                return cut(closed.rows().select(*keys, "wave", "dist"))
+    finally:
+        closed.close()
     raise RuntimeError("race did not settle")
 
 
@@ -154,7 +241,7 @@ def _raised(land: Landscape) -> DataFrame:
     return best.join(arcs_of, ["case_id", "option_id"]).select("case_id", "arc_id", (F.col("cost") / F.col("n")).alias("share"), improved.alias("improved"), (base - improved).alias("gained"))
 
 
-def _carried_race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFrame:
+def _carried_race(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
     """``case_id, arc_id, vertex_id`` that wave 1 wins under some penalty, in rising order of these: a vertex once won is settled, nothing
     moves into it under later penalties, and wave 1 starts from it too, as late as the penalty says.
 
@@ -165,7 +252,7 @@ def _carried_race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFram
     late = arcs.select("case_id", "mu", "late").distinct()
     settled, more, before = None, seeds, None
     for _ in range(ROUNDS):
-        won = _race(arcs, more, most_hops, settled).where("wave = 1").join(late, ["case_id", "mu"])
+        won = _race(arcs, more, settled).where("wave = 1").join(late, ["case_id", "mu"])
         known = won.select(*keys, F.struct("mu", (F.col("dist") - F.col("late")).alias("own")).alias("x"))
         first = cut(known.groupBy(*keys).agg(F.min("x").alias("x")))
         state = first.agg(F.count("*"), F.sum(F.xxhash64(*keys, "x").cast("decimal(38,0)"))).first()
@@ -174,7 +261,7 @@ def _carried_race(arcs: DataFrame, seeds: DataFrame, most_hops: int) -> DataFram
         before = state
         later = cut(first.join(late, "case_id").where(F.col("mu") > F.col("x.mu")).select("case_id", "mu", "arc_id", "vertex_id", (F.col("x.own") + F.col("late")).alias("dist")))
         settled = later.drop("dist")
-        more = seeds.unionByName(later.select("case_id", "mu", "arc_id", "vertex_id", "dist", F.lit(1).alias("wave"), F.lit(0).alias("hops")))
+        more = seeds.unionByName(later.select("case_id", "mu", "arc_id", "vertex_id", "dist", F.lit(1).alias("wave")))
     raise RuntimeError("penalties did not settle")
 
 
@@ -191,13 +278,12 @@ def arc_criticality(land: Landscape, budget: float | None = None, *, n_penalties
     shortest = raised.join(mus, "case_id").groupBy("case_id", "mu", "arc_id").agg(F.min(F.col("improved") + F.floor(F.col("mu") * F.col("share")).cast("long")).alias("improved"))
     arcs = land.arcs.select("case_id", "arc_id", "src", "dst", base.alias("base")).join(mus, "case_id").join(shortest, ["case_id", "mu", "arc_id"], "left")
     arcs = cut(arcs.select("case_id", "mu", "arc_id", "src", "dst", "base", F.least("base", F.coalesce("improved", "base")).alias("best"), late.alias("late")))
-    most_hops = land.vertices.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
 
     def seed(v: str, dist, wave: int) -> DataFrame:
-        return arcs.select("case_id", "mu", "arc_id", F.col(v).alias("vertex_id"), dist.cast("long").alias("dist"), F.lit(wave).alias("wave"), F.lit(0).alias("hops"))
+        return arcs.select("case_id", "mu", "arc_id", F.col(v).alias("vertex_id"), dist.cast("long").alias("dist"), F.lit(wave).alias("wave"))
 
     def winners(seeds: DataFrame) -> DataFrame:
-        return _carried_race(arcs, seeds, most_hops) if budget is not None else _race(arcs, seeds, most_hops).where("wave = 1")
+        return _carried_race(arcs, seeds) if budget is not None else _race(arcs, seeds).where("wave = 1")
 
     strong = winners(seed("dst", F.col("base") + F.col("late"), 1).unionByName(seed("src", F.lit(0), 0)))
     useless = winners(seed("src", F.col("late"), 1).unionByName(seed("dst", F.col("best"), 0)))

@@ -27,10 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut`` and the number of rows, counted while they are written."""
+def cut_counted(df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, or of those with ``of``, counted while they are written."""
     seen = Observation()
-    found = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    found = cut(df.observe(seen, F.count_if(F.lit(True) if of is None else of).alias("n")))
     return found, seen.get["n"]
 
 
@@ -65,6 +65,14 @@ class Buckets:
         """One row for each key over all turns."""
         return self.rows().groupBy(*self.keys).agg(*[c.alias(name) for name, c in columns.items()])
 
+    def compacted(self, **columns: Column) -> "Buckets":
+        """The best of each key in one turn and what the last turn found in another; closes this one."""
+        fewer = Buckets(self.spark, self.keys)
+        fewer.append(self.best(**columns))
+        fewer.append(self.last().select(*self.keys, *columns))
+        self.close()
+        return fewer
+
     def close(self) -> None:
         """Out of the catalog; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

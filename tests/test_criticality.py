@@ -133,6 +133,23 @@ def test_budgeted_equals_penalties_one_after_another(graphs):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
 
 
+def test_a_race_moves_each_vertex_on_once(graphs, monkeypatch):
+    _, _, _, _, land = graphs
+    closed, real = [], M.Buckets.append
+    monkeypatch.setattr(M.Buckets, "append", lambda self, df: closed.append((self, real(self, df))) or closed[-1][1])
+    got = M.arc_criticality(land).count()
+    assert got and all(n for _, n in closed)  # every round closes something
+    for state in {id(b): b for b, _ in closed}.values():
+        files = state.spark.read.parquet(state.path)
+        assert files.count() == files.select(*state.keys).distinct().count()
+
+
+def test_cycles_of_length_zero_end(spark):
+    ring = [("k", f"a{i}", f"v{i}", f"v{(i + 1) % 6}", 1.0) for i in range(6)] + [("k", f"b{i}", f"v{(i + 1) % 6}", f"v{i}", 1.0) for i in range(6)]
+    land = landscape(spark, [("o", 0, 1.0)], [("k", f"v{i}", 1.0, 1.0) for i in range(6)], ring, (), ())
+    assert M.arc_criticality(land).where("kind = 'strong'").isEmpty()  # the way round is as good, and ties go against the arc
+
+
 def test_components_of_a_lossless_path_and_a_ring(spark):
     n = 24
     vertices = spark.createDataFrame([("k", f"p{i:02}") for i in range(n)] + [("k", f"r{i}") for i in range(4)], "case_id string, vertex_id string")
