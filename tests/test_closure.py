@@ -44,6 +44,26 @@ def test_blocks_add_up_to_the_whole(graph):
     assert parts == pytest.approx(whole, rel=1e-12) and len(whole) > 20
 
 
+@pytest.mark.parametrize("arcs_a_bucket, alone", [(5, 0), (300, 0)])
+def test_vectors_over_buckets_are_brute_force(spark, monkeypatch, arcs_a_bucket, alone):
+    monkeypatch.setattr(G, "ALONE", alone)
+    r = random.Random(arcs_a_bucket)
+    vertices = [(c, f"v{k}", r.choice([0.0, 0.0, 1.5, 2.0]), 1.0) for c in "xyz" for k in range(20)]
+    arcs = [(c, f"a{k}", f"v{r.randint(0, 19)}", f"v{r.randint(0, 19)}", r.choice([0.0, 0.25, 0.3, 1.0])) for c in "xy" for k in range(35)]
+    quality = {(c, v): a for c, v, a, _ in vertices}
+    want: dict[tuple[str, str], float] = {}
+    for (c, s, t), p in brute(vertices, arcs, [(c, v) for c, v, a, _ in vertices if a > 0]).items():
+        want[c, t] = want.get((c, t), 0.0) + quality[c, s] * p
+    found = G.inflow_in_blocks(landscape(spark, [], vertices, arcs), 4, arcs_a_bucket=arcs_a_bucket, values_a_block=64).collect()
+    assert len(found) == len(want) and {(x.case_id, x.t): x.inflow for x in found} == pytest.approx(want, rel=1e-12)
+
+
+def test_blocks_without_arcs_or_sources(spark):
+    land = landscape(spark, [], [("k", "a", 2.0, 1.0), ("k", "b", 0.0, 1.0)], [])
+    assert [tuple(x) for x in G.inflow_in_blocks(land).collect()] == [("k", "a", 2.0)]
+    assert G.inflow_in_blocks(land.with_(vertices=land.vertices.withColumn("source_quality", F.lit(0.0)))).collect() == []
+
+
 def test_nothing_known_is_exchanged(spark, graph):
     paths, keys = cut(G.closure(graph[0])), ["case_id", "s", "t"]
     known = Buckets(spark, keys)
