@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,7 +230,7 @@ def _packed(batches):
     for batch in batches:
         for at, texts in _steps(batch.column("text")):
             part = batch.slice(at, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("shards"), pa.array([squeeze(t or b"") for t in texts], pa.binary())], names=["rep", "shards", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([squeeze(t or b"") for t in texts], pa.binary())], names=["rep", "packed"])
 
 
 def _unpacked(packed: list[bytes], n: int) -> list[np.ndarray]:
@@ -265,6 +266,13 @@ def _join_shard(n: int, percent: int):
     return run
 
 
+def _meetings(segments: DataFrame) -> DataFrame:
+    """``rep, n_shingles, hub``: members of signatures that have more than one, with the smallest of them. Segments are most of what this operator shuffles: they are exchanged once."""
+    of = W.partitionBy("signature")
+    met = segments.select("rep", "n_shingles", F.min("rep").over(of).alias("hub"), F.count("*").over(of).alias("n"))
+    return met.where("n > 1").select("rep", "n_shingles", "hub").distinct()
+
+
 def ngram_jaccard_join(docs: DataFrame, *, words: int = 4, percent: int = 85, shard_shingles: int = 2_000_000) -> DataFrame:
     """Groups of documents linked by word n-gram sets: ``doc_id, n_shingles, component_id``.
 
@@ -288,16 +296,14 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 4, percent: int = 85, sh
     # 1. classes of equal sets
     classes = cut(described.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("signatures").alias("signatures")))
     # 2. and 3. segments, and the pairs of members and hubs
-    segments = classes.select("rep", "n_shingles", F.explode("signatures").alias("signature"))
-    hubs = segments.groupBy("signature").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("signature", "hub")
-    pairs = cut(segments.join(hubs, "signature").select("rep", "n_shingles", "hub").distinct())
+    pairs = cut(_meetings(classes.select("rep", "n_shingles", F.explode("signatures").alias("signature"))))
     # 4. shards with their texts
     blocks = pairs.groupBy("hub").agg(F.sum("n_shingles").alias("size"), F.count("*").alias("members")).where("members > 1").select("hub", F.ceil(F.col("size") / shard_shingles).cast("int").alias("n_blocks"))
     placed = pairs.join(blocks, "hub").select("rep", "hub", "n_blocks", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"))
     placed = cut(placed.groupBy("rep").agg(F.collect_list(F.struct("hub", "n_blocks", "block")).alias("shards")))
-    # a file by now, so Spark knows its size: broadcast below spark.sql.autoBroadcastJoinThreshold, else shuffled with the texts
-    picked = base.withColumnRenamed("doc_id", "rep").join(placed, "rep")
-    packed = picked.select("rep", "shards", "text").mapInArrow(_packed, T.StructType([T.StructField("rep", kind), placed.schema["shards"], T.StructField("packed", T.BinaryType())]))
+    # texts are packed before they meet their places, as the join shuffles them; by a merge at every size, so that small tables show what large ones cost
+    texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "rep").mapInArrow(_packed, T.StructType([T.StructField("rep", kind), T.StructField("packed", T.BinaryType())]))
+    packed = texts.join(placed.hint("merge"), "rep")
     spread = packed.select("rep", "packed", F.explode("shards").alias("s")).select("rep", "packed", "s.hub", "s.n_blocks", "s.block")
     spread = spread.select(
         "rep", "packed", "hub", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("block_a"), F.greatest("block", o).alias("block_b")))).alias("p")

@@ -71,6 +71,30 @@ def test_blocks_of_a_shard(spark):
     assert run(spark, rows, shard_shingles=150) == brute(rows)
 
 
+def test_segments_are_exchanged_once(spark):
+    rows = [(k, 10 + k, s) for k in range(6) for s in (k % 2, 7, 100 + k)]
+    segments = spark.createDataFrame(rows, "rep long, n_shingles long, signature long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        met = N._meetings(segments)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        found = {tuple(x) for x in met.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(k, 10 + k, hub) for k in range(6) for hub in (0, k % 2)}
+    assert plan.count("Exchange hashpartitioning(signature") == 1
+
+
+def test_texts_are_packed_before_a_join():
+    import pyarrow as pa
+
+    texts = ["the same words again " * 200, None, "é"]
+    [out] = list(N._packed([pa.RecordBatch.from_pydict({"rep": [1, 2, 3], "text": texts})]))
+    assert out.schema.names == ["rep", "packed"] and out.column("rep").to_pylist() == [1, 2, 3]
+    assert len(out.column("packed")[0].as_py()) * 10 < len(texts[0])
+    assert [len(u) for u in N._unpacked(out.column("packed").to_pylist(), 4)] == [4, 0, 1]
+
+
 def test_edge_cases(spark):
     rows = [(5, None), (4, ""), (3, " \t\n"), (9, "a b"), (2, "A\tB"), (7, "a b c"), (8, "é É é é"), (1, "é É é é"), (None, "a b"), (8, "é É é é"), (6, "x y z"), (10, "x y z"), (11, "q " * 50_000)]
     assert run(spark, rows) == brute(rows)
