@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscape.llm import bpe, decontamination, language, line_dedup, ngram_join
-from linkscape.llm.common import apart, cut, table
+from linkscape.llm.common import apart, cut, rows_at_once, table
 
 #: Least posterior of a predicted language.
 LANGUAGE_SCORE = 0.5
+#: Texts that go to Python at once where languages are predicted.
+ROWS = 1_000
 
 
 def _text_key() -> Column:
@@ -37,8 +39,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Each row is judged by its own text, also where ``doc_id`` is null or shared.
     """
-    found = language.predict(docs, language.train(docs), with_key=True)
-    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_SCORE)))
+    with rows_at_once(spark, ROWS):  # written before the texts are shuffled, so that both don't need memory at the same time
+        found = language.predict(docs, language.train(docs), with_key=True)
+        rejected = cut(found.where((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_SCORE)).select("doc_id", "text_key"))
+    return _without(docs, rejected)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

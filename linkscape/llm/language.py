@@ -31,7 +31,7 @@ PLAIN = 40
 #: Characters after which a long word's sums are scaled again.
 STRIDE = 16
 #: Words remembered in a task, and texts whose words are learned together.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 PART = 64
 #: Words: runs of letters and marks, lower case.
 WORD = re.compile(r"[^\W\d_]+")

@@ -97,3 +97,11 @@ def test_clashing_names_pass_through(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, folder)
         assert got.columns == docs.columns and all(tuple(x)[5:] == tuple(range(9)) for x in got.collect()), name
+
+
+def test_languages_are_predicted_before_the_texts_are_shuffled(spark, tmp_path):
+    rows, items = corpus()
+    folder = write(spark, tmp_path, rows, items)
+    kept = corpus_pipeline.known_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id for r in kept.collect()} == set(range(1, 41))
