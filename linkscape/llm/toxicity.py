@@ -210,14 +210,15 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     heads = [F.substring("unit", 1, k).isin([u for u in chosen if len(u) == k]) for k in range(SHORTEST, LONGEST + 1) if any(len(u) == k for u in chosen)]
     below = units.where(reduce(lambda x, y: x | y, heads, F.lit(False))).where(n >= KNOWN).orderBy(F.desc("n"), "unit").limit(MOST_UNITS)  # what begins like them, with its own share
     seen = {r["unit"]: (r["t"], r["n"]) for r in units.where(F.col("unit").isin(sorted(chosen | listed))).unionByName(below).collect()}
-    shares: dict[str, float] = {}
+    shares: dict[str, tuple[float, float]] = {}  # of toxic and of other texts; what is left of 1 after several beginnings would be rounded away
     for unit in sorted(chosen | listed | seen.keys(), key=lambda u: (len(u), u)):
-        above = next((shares[unit[:k]] for k in range(min(len(unit) - 1, LONGEST), SHORTEST - 1, -1) if unit[:k] in shares), share)
+        above = next((shares[unit[:k]] for k in range(min(len(unit) - 1, LONGEST), SHORTEST - 1, -1) if unit[:k] in shares), (share, 1 - share))
         toxic, n_seen = seen.get(unit, (0.0, 0.0))
-        more = LISTED if unit in listed else (above * KNOWN / 2, (1 - above) * KNOWN / 2)
-        shares[unit] = (toxic + more[0]) / (n_seen + sum(more))
+        more = LISTED if unit in listed else tuple(x * KNOWN / 2 for x in above)
+        whole = n_seen + sum(more)
+        shares[unit] = (toxic + more[0]) / whole, (n_seen - toxic + more[1]) / whole
     odds = math.log(share / (1 - share))
-    return Lexicon({u: min(max(math.log(x / (1 - x)) - odds, 0.0), 8.0) for u, x in shares.items()})
+    return Lexicon({u: min(max(math.log(x) - math.log(y) - odds, 0.0), 8.0) for u, (x, y) in shares.items()})
 
 
 def fit_weights(rows: list[tuple[list[float], int]]) -> np.ndarray:

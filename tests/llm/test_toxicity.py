@@ -89,6 +89,14 @@ def test_learned_beginnings_held_out_rows_and_copies(spark):
     assert again.lexicon.units == model.lexicon.units and np.allclose(again.weights, model.weights)
 
 
+def test_a_word_that_only_toxic_texts_hold_in_thousands_of_places(spark):
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(list("abdegilmnoprstu"), 4)) for _ in range(300)]
+    rows = [(" ".join(x for w in rng.choice(plain, 25) for x in ((w, "zwuxigkeiten") if i % 8 == 0 else (w,))), int(i % 8 == 0)) for i in range(1200)]
+    units = X.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")).units
+    assert [units[u] for u in X.units_of("zwuxigkeiten")] == [8.0] * 7 and all(0 <= x <= 8 for x in units.values())
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, score double"
     rows = [(1, None, 0.0), (2, "", 0.0), (2, "", 0.0), (None, "you idiot", 0.0), (3, "x" * 300_000, 0.0), (4, "1234 !!", 0.0)]
