@@ -85,3 +85,16 @@ def test_ps_inflow_writes_less_than_it_reads(spark):
     c = duckdb.connect()
     c.execute(f"create view lineitem as select * from '{sf_dir}/lineitem.parquet'")
     assert found == set(c.execute(entry.oracle_sql()["ps_inflow"]).fetchall())
+
+
+def test_components_that_fit_a_task_send_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(G, "ALONE", 0)
+
+    def never(width):
+        raise AssertionError("vectors of sources are exchanged")
+
+    monkeypatch.setattr(V, "carried", never)
+    vertices = [("k", f"{k}.{v}", 1.0, 1.0) for k in range(40) for v in range(3)]
+    arcs = [("k", f"a{k}.{v}.{w}", f"{k}.{v}", f"{k}.{w}", 0.5) for k in range(40) for v, w in ((0, 1), (1, 0), (1, 2), (2, 1))]
+    found = {x.t: x.inflow for x in G.inflow_in_blocks(landscape(spark, [], vertices, arcs)).collect()}
+    assert found == {f"{k}.{v}": (1.75, 2.0, 1.75)[v] for k in range(40) for v in range(3)}
